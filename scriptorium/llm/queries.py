@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup
+from scriptorium.llm import exact_dedup, packing, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,7 +19,17 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_token_output": op3_token_output,
+    "op5_packing": op5_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
