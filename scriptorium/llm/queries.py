@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup, packing, token_output
+from scriptorium.llm import exact_dedup, packing, quality, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,12 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op3_token_output": op3_token_output,
     "op5_packing": op5_packing,
     "op10_exact_dedup": op10_exact_dedup,
