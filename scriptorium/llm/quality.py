@@ -20,6 +20,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import string
 import zlib
 
 import numpy as np
@@ -43,11 +44,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _word_code(word: bytes) -> int:
-    """A 40-bit hash of the word and, in the low 12 bits, its shape."""
+    """A 32-bit hash of the word and, in the low 12 bits, its shape."""
     text = word.decode("utf-8", "replace")
-    core = text.rstrip("".join(c for c in set(text) if not c.isalnum()))
+    core = text.rstrip(string.punctuation)
     tail = text[len(core) :]
-    case = 0 if not core else 1 if core.isnumeric() else 2 if core.islower() else 3 if len(core) > 1 and core.isupper() else 4 if core[0].isupper() and (len(core) == 1 or core[1:].islower()) else 5
+    case = 2 if core.islower() else 0 if not core else 4 if core.istitle() else 3 if core.isupper() else 1 if core.isnumeric() else 5
     if not tail:
         mark = 0
     elif tail in (".", ","):
@@ -55,7 +56,7 @@ def _word_code(word: bytes) -> int:
     else:
         mark = 2 + zlib.crc32(tail.encode()) % 62
     size = min(7, len(core) // 3)
-    return (zlib.crc32(word) | (zlib.crc32(word[::-1] + b"#") & 0xFF) << 32) << 12 | case << 9 | size << 6 | mark
+    return zlib.crc32(word) << 12 | case << 9 | size << 6 | mark
 
 
 def _mix(a: np.ndarray, salt: int) -> np.ndarray:
@@ -108,7 +109,7 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
     return np.log(counts[0] / counts[1])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 0.1, passes: int = 12, seed: int = 0) -> np.ndarray:
+def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float = 1.0, passes: int = 30, seed: int = 0) -> np.ndarray:
     """Weights (bias last) of the L1-loss linear support vector machine over scaled indicators."""
     rng = np.random.default_rng(seed)
     values = [ratio[x] for x in rows]
@@ -143,13 +144,14 @@ def _margins(rows: list[np.ndarray], w: np.ndarray, ratio: np.ndarray) -> np.nda
 
 
 def _logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic fit (Platt's smoothed targets, Newton's method)."""
+    """Slope and shift of the logistic fit (smoothed targets, Newton's method), both classes weighing alike."""
     pos, neg = float((y == 1).sum()), float((y == 0).sum())
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    weight = np.where(y == 1, 0.5 / max(pos, 1.0), 0.5 / max(neg, 1.0)) * len(y)
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * m + b, -35, 35)))
-        g, h = p - t, p * (1 - p)
+        g, h = weight * (p - t), weight * p * (1 - p)
         grad = np.array([g @ m + 1e-6 * a, g.sum()])
         hess = np.array([[h @ (m * m) + 1e-6, h @ m], [h @ m, h.sum() + 1e-9]])
         step = np.linalg.solve(hess, grad)
