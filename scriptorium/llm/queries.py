@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup, packing, quality, token_output
+from scriptorium.llm import exact_dedup, near_dup, packing, quality, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op1_quality": op1_quality,
     "op3_token_output": op3_token_output,
     "op5_packing": op5_packing,
