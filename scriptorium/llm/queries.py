@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup, near_dup, packing, quality, token_output
+from scriptorium.llm import exact_dedup, mixing, near_dup, packing, quality, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +35,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_components(read(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
+    "op6_mixing": op6_mixing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op1_quality": op1_quality,
     "op3_token_output": op3_token_output,
