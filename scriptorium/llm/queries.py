@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup, mixing, near_dup, packing, quality, token_output
+from scriptorium.llm import exact_dedup, mixing, near_dup, packing, quality, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,7 +39,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op1_quality": op1_quality,
@@ -57,6 +62,17 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM keyed WINDOW g AS (PARTITION BY text_sha256)
 """
 
+OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_page FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_page THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_page THEN NULL ELSE first_page END AS refers_to
+FROM f
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
