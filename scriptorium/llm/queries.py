@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup, mixing, near_dup, packing, quality, token_output, warc
+from scriptorium.llm import exact_dedup, html_extract, mixing, near_dup, packing, quality, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +43,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_html": op2_html,
     "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
