@@ -121,7 +121,7 @@ def _flier(level: int, final: bool):
     """The flight over one block of a source and, at the final level, its landing."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "row", "doc_id"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "row", "doc_id"], ascending=[True, True, True], kind="stable")
         size = pdf["size"].to_numpy()
         seed = (int(pdf["block"].iloc[0]), level, int(size.sum()), int(pdf["row"].iloc[0]) & 0x7FFFFFFF)
         p = flight(pdf["p"].to_numpy(), size, np.random.default_rng(seed), LANDING if final else 2)

@@ -109,15 +109,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).mapInPandas(cut_texts, PIECE + ", ids binary" * with_ids)
 
 
-def sharded(items: DataFrame, shard: int = SHARD) -> DataFrame:
-    """``items`` plus ``__shard``: about ``shard`` pieces each, dealt by hash of id and start."""
-    shards = max(1, round(items.count() / shard))
+def sharded(items: DataFrame, count: int, shard: int = SHARD) -> DataFrame:
+    """``items``, ``count`` or so, plus ``__shard``: about ``shard`` pieces each, dealt by hash of id and start."""
+    shards = max(1, round(count / shard))
     return items.withColumn("__shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """The packing plan, a row per piece: the piece, its ``sequence_id`` and its ``offset`` there."""
-    items = sharded(cut(pieces(docs, tokenizer, window, end_id)))
+    items = cut(pieces(docs, tokenizer, window, end_id))
+    items = sharded(items, items.count())
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")

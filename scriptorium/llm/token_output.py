@@ -21,8 +21,9 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, scratch_dir, small_batches
+from scriptorium.llm.common import scratch_dir, small_batches
 from scriptorium.llm.packing import END_ID, SHARD, WINDOW, best_fit_decreasing, pieces, sharded
 
 BLOCK = (
@@ -34,7 +35,9 @@ SEGMENT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def packed_blocks(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, pad_id: int = 0, shard: int = SHARD) -> DataFrame:
     """Blocks of packed sequences, one per shard of about ``shard`` pieces."""
-    items = sharded(cut(pieces(docs, tokenizer, window, end_id, with_ids=True)), shard)
+    # A guess of the pieces sets the number of shards, so that ids are shuffled without being stored first.
+    texts, octets = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    items = sharded(pieces(docs, tokenizer, window, end_id, with_ids=True), texts + (octets or 0) // (4 * window), shard)
     position = np.dtype("<u2" if window <= 65536 else "<u4")
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:

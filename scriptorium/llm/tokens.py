@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 #: The tokenizer file that the queries name; any path can be given instead.
@@ -9,38 +11,85 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
+#: A word that is one run of Latin letters and perhaps one run of closing marks: two pre-tokens at most.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([.,;:!?#$%&*+=/\\()|-]*)")
+
+
 class WordEncoder:
     """Encodes texts word by word, remembering the ids of words already seen.
 
     Right for tokenizers whose pre-tokenizer never joins text across ASCII
     white space and drops that space (as ``word_bpe_49k.json`` does); the tests
     hold it against whole-text encoding.  ``limit`` bounds the remembered words.
+
+    Where the vocabulary marks the end of a word, new plain words are encoded
+    many at a time: their letters and marks are pre-tokens of their own, so one
+    call encodes them all and the marked ids tell where each ends.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.parts = limit, {}, {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = None
+        if suffix:
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.closing = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.closing[[i for piece, i in vocab.items() if piece.endswith(suffix)]] = True
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        for lo in range(0, len(parts), 4000):
+            part = parts[lo : lo + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("this vocabulary's end marks don't match its pre-tokens")
+            data, begin = ids.tobytes(), 0
+            for x, end in zip(part, (4 * ends).tolist(), strict=True):
+                self.parts[x] = data[begin:end]
+                begin = end
+
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of new words; those of long words aren't remembered."""
+        other, plain, fresh = [], [], set()
+        for w in words:
+            text = w.decode()
+            m = _PLAIN.fullmatch(text) if self.closing is not None else None
+            if m:
+                core, tail = m[1].lower(), m[2]
+                plain.append((w, core, tail))
+                fresh.add(core)
+                fresh.add(tail)
+            else:
+                other.append((w, text))
+        if len(self.parts) > self.limit:
+            self.parts.clear()
+        fresh.discard("")
+        self._encode_parts([x for x in fresh if x not in self.parts])
+        self.parts[""] = b""
+        once: dict[bytes, bytes] = {}
+        for w, core, tail in plain:
+            (self.known if len(w) <= 64 else once)[w] = self.parts[core] + self.parts[tail]
+        for lo in range(0, len(other), 4000):
+            part = other[lo : lo + 4000]
+            for (w, _), e in zip(part, self.tokenizer.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
+                (self.known if len(w) <= 64 else once)[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return once
 
     def encode(self, data: bytes) -> bytes:
         """Ids of one UTF-8 text as little-endian unsigned 32-bit integers."""
         words = data.split()  # ASCII white space only
-        known = self.known
-        missing = {w for w in words if w not in known}
-        long_words = {}
+        missing = set(words).difference(self.known)
         if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
+            if len(self.known) + len(missing) > self.limit:
+                self.known.clear()
                 missing = set(words)
-            order = list(missing)
-            for lo in range(0, len(order), 5000):
-                part = order[lo : lo + 5000]
-                for w, e in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                    (known if len(w) <= 64 else long_words)[w] = np.array(e.ids, dtype="<u4").tobytes()
-        if long_words:
-            return b"".join([known[w] if w in known else long_words[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+            once = self._learn(list(missing))
+            if once:
+                return b"".join([once[w] if w in once else self.known[w] for w in words])
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def encoder(path: str) -> WordEncoder:
