@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import exact_dedup, html_extract, mixing, near_dup, packing, quality, token_output, warc
+from scriptorium.llm import ann, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,7 +47,12 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
+    "op7_ann": op7_ann,
     "op2_html": op2_html,
     "op4_warc": op4_warc,
     "op6_mixing": op6_mixing,
