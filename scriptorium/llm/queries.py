@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import ann, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_output, warc
+from scriptorium.llm import ann, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_counts, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,7 +51,19 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "pipeline": pipeline,
+    "op9_token_counts": op9_token_counts,
     "op7_ann": op7_ann,
     "op2_html": op2_html,
     "op4_warc": op4_warc,
