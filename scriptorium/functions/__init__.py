@@ -1 +1 @@
-"""See the package README section for this layer."""
+"""Scalar functions over columns."""

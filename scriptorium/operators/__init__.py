@@ -1 +1 @@
-"""See the package README section for this layer."""
+"""Relational operators over document corpora, DataFrame to DataFrame."""

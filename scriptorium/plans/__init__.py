@@ -1 +1 @@
-"""See the package README section for this layer."""
+"""Named queries: operators composed over the test tables, with their SQL."""

@@ -1,6 +1,543 @@
-"""Named queries over the test tables, each with its SQL where SQL can express it."""
+"""Named queries over the test tables, each with its SQL where SQL can express it.
+
+Scores are rounded to six places here, on both sides; the operators don't round.
+"""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.functions import dates, jsons
+from scriptorium.functions import text as T
+from scriptorium.operators import aggregates, checks, chunking, quotes, relations, search, spans
+from scriptorium.session import table
+from scriptorium.sources import files
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL it is held against."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def six(column: str) -> Column:
+    return F.round(column, 6).alias(column)
+
+
+# --- rank operators -------------------------------------------------------
+
+_COSINE = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_VEC = f"SELECT vec_id AS id, {_COSINE} AS score FROM embeddings ORDER BY score DESC, id LIMIT 100"
+_KEY = f"""SELECT doc_id AS id, (len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'and'))) / len(w)::DOUBLE AS score
+FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE list_contains(w, 'the') AND list_contains(w, 'and') ORDER BY score DESC, id LIMIT 100"""
+_FUSED = f"""SELECT id, sum(1.0 / (60 + r)) AS score, min(list * 1000 + r) AS f FROM (
+SELECT id, 0 AS list, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_VEC}) UNION ALL
+SELECT id, 1 AS list, row_number() OVER (ORDER BY score DESC, id) AS r FROM ({_KEY})) GROUP BY id ORDER BY score DESC, f, id LIMIT 20"""
+LEXEMES = ["the", "and"]
+
+
+def _vector(spark: SparkSession, d: str, k: int) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return search.vector_topk(vectors, search.stored_vector(vectors, 0), k).select(F.col("vec_id").alias("id"), "score")
+
+
+def _keyword(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return search.keyword_topk(table(spark, d, "documents"), LEXEMES, k).select(F.col("doc_id").alias("id"), "score")
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_VEC}) ORDER BY score DESC, id LIMIT 20")
+def vector_topk(spark, d):
+    return _vector(spark, d, 20).select("id", six("score"))
+
+
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS score FROM embeddings WHERE vec_id <> 0 ORDER BY {_COSINE} DESC, vec_id LIMIT 10")
+def similar_to(spark, d):
+    return search.similar_to(table(spark, d, "embeddings"), 0, 10).select("vec_id", six("score"))
+
+
+@query(f"SELECT vec_id, round({_COSINE}, 6) AS score FROM embeddings WHERE label = 3 ORDER BY {_COSINE} DESC, vec_id LIMIT 10")
+def vector_topk_filtered(spark, d):
+    vectors = table(spark, d, "embeddings")
+    chosen = vectors.where("label = 3").select("vec_id")
+    return search.vector_topk(vectors, search.stored_vector(vectors, 0), 10, candidates=chosen).select("vec_id", six("score"))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_KEY}) ORDER BY score DESC, id LIMIT 20")
+def keyword_topk(spark, d):
+    return _keyword(spark, d, 20).select("id", six("score"))
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM ({_FUSED})")
+def rrf_fusion(spark, d):
+    return search.rrf([_vector(spark, d, 100), _keyword(spark, d, 100)], 20).select("id", six("score"))
+
+
+@query(f"""WITH v AS ({_VEC}), k AS ({_KEY}),
+a AS (SELECT id, (score - min(score) OVER ()) / coalesce(nullif(max(score) OVER () - min(score) OVER (), 0), 1) AS s FROM v),
+b AS (SELECT id, (score - min(score) OVER ()) / coalesce(nullif(max(score) OVER () - min(score) OVER (), 0), 1) AS s FROM k)
+SELECT coalesce(a.id, b.id) AS id, round(0.7 * coalesce(a.s, 0) + (1 - 0.7) * coalesce(b.s, 0), 6) AS score
+FROM a FULL JOIN b ON a.id = b.id ORDER BY 0.7 * coalesce(a.s, 0) + (1 - 0.7) * coalesce(b.s, 0) DESC, 1 LIMIT 20""")
+def weighted_fusion(spark, d):
+    return search.weighted_fusion(_vector(spark, d, 100), _keyword(spark, d, 100), 0.7, 20).select("id", six("score"))
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score, lang, source, n_chars FROM ({_FUSED}) JOIN documents ON doc_id = id")
+def hybrid_search(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return search.hybrid_search(table(spark, d, "documents"), vectors, search.stored_vector(vectors, 0), LEXEMES, 20).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT doc_id, lexeme, count(*) AS tf, min(pos) AS first_at FROM (SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE lang = 'de')) GROUP BY ALL")
+def inverted_index(spark, d):
+    index = search.inverted_index(table(spark, d, "documents").where("lang = 'de'"))
+    return index.select("doc_id", "lexeme", "tf", F.element_at("positions", 1).cast("long").alias("first_at"))
+
+
+_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS id, c_name AS name, {_GRAMS.format("c_name")} AS a, {_GRAMS.format("'customer 42'")} AS b FROM customer),
+t AS (SELECT id, name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE AS score FROM s)
+SELECT id, name, round(score, 6) AS score FROM t WHERE score > 0.1 ORDER BY t.score DESC, id LIMIT 10""")
+def trigram_resolve(spark, d):
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return search.fuzzy_names(names, "customer 42", 10).select("id", "name", six("score"))
+
+
+# --- filters, semi-, anti- and other joins ----------------------------------
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE lang = 'en' AND contains(lower(source), 'src1') AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def candidate_filter(spark, d):
+    good = table(spark, d, "labels").where("quality = 1").select("doc_id")
+    return relations.candidates(table(spark, d, "documents"), {"language": "en", "source": "SRC1", "extensions": ["good"]}, extensions={"good": good})
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) OR doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def candidate_filter_any(spark, d):
+    labels = table(spark, d, "labels")
+    ext = {"poor": labels.where("quality = 0").select("doc_id"), "toxic": labels.where("toxic = 1").select("doc_id")}
+    return relations.candidates(table(spark, d, "documents"), {"extensions": ["poor", "toxic"]}, extensions=ext, any_extension=True)
+
+
+@query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 87")
+def json_containment(spark, d):
+    return table(spark, d, "events").where(jsons.contains(F.col("props"), {"k": 87})).select("event_id")
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_text_groups(spark, d):
+    return table(spark, d, "events").groupBy("event_type", jsons.text_at(F.col("props"), "k").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id AS doc_id FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id HAVING count(DISTINCT event_type) = 2")
+def mentions_all(spark, d):
+    mentions = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("entity"))
+    return relations.mentions_all(mentions, ["purchase", "signup"])
+
+
+@query("SELECT count(*) AS n, sum(n_chars) AS chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def semi_join_ext(spark, d):
+    toxic = table(spark, d, "labels").where("toxic = 1")
+    return table(spark, d, "documents").join(toxic, "doc_id", "left_semi").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id)")
+def anti_join_unembedded(spark, d):
+    return table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT n_name, r_name, count(c_custkey) AS customers FROM nation LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def outer_join_counts(spark, d):
+    joined = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(table(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return joined.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("customers"))
+
+
+@query("""SELECT a.c_custkey AS source, b.c_custkey AS target FROM customer a JOIN orders o ON o.o_custkey = a.c_custkey
+JOIN customer b ON b.c_nationkey = a.c_nationkey AND b.c_mktsegment = a.c_mktsegment AND b.c_custkey > a.c_custkey WHERE o.o_totalprice > 400000 GROUP BY ALL""")
+def double_self_join(spark, d):
+    customers = table(spark, d, "customer")
+    big = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
+    a = customers.join(big, "c_custkey", "left_semi").select(F.col("c_custkey").alias("source"), "c_nationkey", "c_mktsegment")
+    b = customers.select(F.col("c_custkey").alias("target"), "c_nationkey", "c_mktsegment")
+    return a.join(b, ["c_nationkey", "c_mktsegment"]).where("target > source").select("source", "target").distinct()
+
+
+@query("SELECT o_orderkey, o_totalprice, ord FROM orders JOIN (VALUES (0, 7), (1, 1), (2, 999999999), (3, 3)) v(ord, id) ON o_orderkey = id")
+def ordered_get(spark, d):
+    return relations.ordered_get(table(spark, d, "orders"), [7, 1, 999999999, 3], "o_orderkey").select("o_orderkey", "o_totalprice", F.col("ord").alias("ord"))
+
+
+# --- spans ----------------------------------------------------------------
+
+_LINES = """l AS (SELECT doc_id, position, char_start, char_start + length(text) AS char_end, text FROM (
+  SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS position,
+         unnest(list_transform(range(1, len(lines) + 1), lambda i: coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0)))::BIGINT AS char_start
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE n_chars < 3000)) WHERE trim(text) <> '')"""
+_WINDOWS = """w AS (SELECT doc_id, i AS position, i * 1800 AS char_start, least(i * 1800 + 2000, length(text)) AS char_end, substring(text, i * 1800 + 1, 2000) AS text
+  FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 2000) / 1800.0), 0)::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0))"""
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("n_chars < 3000")
+    lines = chunking.paragraphs_native(docs)
+    return lines.select("doc_id", (F.col("doc_id") * 100000 + F.col("position")).alias("l_id"), F.col("char_start").alias("l_start"), (F.col("char_start") + F.length("text")).alias("l_end"))
+
+
+def _windows(spark: SparkSession, d: str) -> DataFrame:
+    windows = chunking.fixed_windows_native(table(spark, d, "documents"))
+    return windows.select("doc_id", (F.col("doc_id") * 100000 + F.col("position")).alias("r_id"), F.col("char_start").alias("r_start"), F.col("char_end").alias("r_end"))
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, position, char_start, char_end, md5(text) AS text_md5 FROM w")
+def fixed_window_chunks(spark, d):
+    chunks = chunking.fixed_windows_native(table(spark, d, "documents"))
+    return chunks.select("doc_id", F.col("position").cast("long").alias("position"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"), F.md5("text").alias("text_md5"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, position, char_start, md5(text) AS text_md5 FROM l")
+def paragraph_chunks(spark, d):
+    lines = chunking.paragraphs_native(table(spark, d, "documents").where("n_chars < 3000"))
+    return lines.select("doc_id", F.col("position").cast("long").alias("position"), F.col("char_start").cast("long").alias("char_start"), F.md5("text").alias("text_md5"))
+
+
+@query(f"""WITH {_LINES}, {_WINDOWS} SELECT l.doc_id, count(*) AS pairs, sum(least(l.char_end, w.char_end) - greatest(l.char_start, w.char_start))::BIGINT AS chars
+FROM l JOIN w ON l.doc_id = w.doc_id AND l.char_start < w.char_end AND l.char_end > w.char_start GROUP BY l.doc_id""")
+def span_overlap_join(spark, d):
+    pairs = spans.overlap_join(_lines(spark, d), _windows(spark, d))
+    shared = F.least("l_end", "r_end") - F.greatest("l_start", "r_start")
+    return pairs.groupBy("doc_id").agg(F.count("*").alias("pairs"), F.sum(shared).alias("chars"))
+
+
+@query(f"""WITH {_LINES}, {_WINDOWS} SELECT l_id, doc_id, r_id, overlap FROM (
+SELECT l.doc_id * 100000 + l.position AS l_id, l.doc_id, w.doc_id * 100000 + w.position AS r_id, least(l.char_end, w.char_end) - greatest(l.char_start, w.char_start) AS overlap,
+row_number() OVER (PARTITION BY l.doc_id, l.position ORDER BY least(l.char_end, w.char_end) - greatest(l.char_start, w.char_start) DESC, w.char_start) AS n
+FROM l JOIN w ON l.doc_id = w.doc_id AND l.char_start < w.char_end AND l.char_end > w.char_start) WHERE n = 1""")
+def best_overlap(spark, d):
+    return spans.best_overlap(_lines(spark, d), _windows(spark, d)).withColumn("overlap", F.col("overlap").cast("long"))
+
+
+@query(f"""WITH {_LINES}, {_WINDOWS}, n AS (SELECT doc_id, doc_id * 100000 + position AS r_id, 1 AS depth, char_start, char_end FROM w
+UNION ALL SELECT doc_id, doc_id * 100000 + 99999, 0, 0, length(text) FROM documents)
+SELECT l_id, doc_id, r_id, depth FROM (SELECT l.doc_id * 100000 + l.position AS l_id, l.doc_id, r_id, depth,
+row_number() OVER (PARTITION BY l.doc_id, l.position ORDER BY depth DESC, n.char_start, r_id) AS k FROM l JOIN n ON l.doc_id = n.doc_id AND n.char_start <= l.char_start AND l.char_end <= n.char_end) WHERE k = 1""")
+def deepest_containing(spark, d):
+    whole = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 100000 + 99999).alias("r_id"), F.lit(0).alias("r_start"), F.length("text").alias("r_end"), F.lit(0).alias("depth"))
+    nodes = _windows(spark, d).withColumn("depth", F.lit(1)).unionByName(whole)
+    return spans.deepest_containing(_lines(spark, d), nodes)
+
+
+@query(f"""WITH {_LINES}, g AS (SELECT doc_id, coalesce(max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start, char_start AS gap_end
+FROM (SELECT doc_id, char_start, char_end FROM l UNION ALL SELECT doc_id, n_chars, n_chars FROM documents WHERE n_chars < 3000))
+SELECT doc_id, count(*) AS gaps, sum(gap_end - gap_start)::BIGINT AS chars FROM g WHERE gap_end > gap_start GROUP BY doc_id""")
+def coverage_gaps(spark, d):
+    lines = _lines(spark, d).select("doc_id", F.col("l_start").cast("long").alias("start"), F.col("l_end").cast("long").alias("end"))
+    gaps = spans.coverage_gaps(lines, table(spark, d, "documents").where("n_chars < 3000").select("doc_id", "n_chars"))
+    return gaps.groupBy("doc_id").agg(F.count("*").alias("gaps"), F.sum(F.col("gap_end") - F.col("gap_start")).alias("chars"))
+
+
+@query(f"""WITH {_LINES} SELECT l.doc_id * 100000 + l.position AS l_id, coalesce(lead(char_start) OVER (PARTITION BY l.doc_id ORDER BY char_start), n_chars) AS char_end
+FROM l JOIN documents USING (doc_id)""")
+def section_ends(spark, d):
+    sections = _lines(spark, d).select("doc_id", "l_id", F.col("l_start").cast("long").alias("char_start"))
+    return spans.section_ends(sections, table(spark, d, "documents").select("doc_id", "n_chars")).select("l_id", "char_end")
+
+
+_PATHS = """p AS (SELECT r_regionkey AS doc_id, 'r' AS path FROM region UNION ALL SELECT n_regionkey, 'r.n' || n_nationkey FROM nation
+UNION ALL SELECT n_regionkey, 'r.n' || n_nationkey || '.c' || c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    nation, region, customer = (table(spark, d, t) for t in ("nation", "region", "customer"))
+    mid = nation.select(F.col("n_regionkey").alias("doc_id"), F.concat(F.lit("r.n"), "n_nationkey").alias("path"), "n_nationkey")
+    leaf = customer.join(mid, F.col("c_nationkey") == F.col("n_nationkey")).select("doc_id", F.concat("path", F.lit(".c"), "c_custkey").alias("path"))
+    return region.select(F.col("r_regionkey").alias("doc_id"), F.lit("r").alias("path")).unionByName(mid.select("doc_id", "path")).unionByName(leaf)
+
+
+@query(f"WITH {_PATHS} SELECT a.doc_id, a.path, b.path AS ancestor, len(string_split(b.path, '.')) - 1 AS depth FROM p a JOIN p b ON a.doc_id = b.doc_id AND (a.path = b.path OR starts_with(a.path, b.path || '.'))")
+def path_ancestors(spark, d):
+    return spans.ancestors(_paths(spark, d))
+
+
+@query(f"WITH {_PATHS} SELECT DISTINCT doc_id, path FROM p WHERE doc_id = 1 AND (path = 'r.n1' OR starts_with(path, 'r.n1.'))")
+def path_descendants(spark, d):
+    of = spark.createDataFrame([(1, "r.n1")], "doc_id int, ancestor string")
+    return spans.descendants(_paths(spark, d), of)
+
+
+@query("""SELECT t.conv_id, t.turn AS target, c.turn, md5(c.text) AS text_md5 FROM conversations t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn BETWEEN t.turn - 2 AND t.turn + 1
+WHERE t.turn % 3 = 2""")
+def passage_context(spark, d):
+    rows = table(spark, d, "conversations")
+    found = spans.neighbours(rows, rows.where("turn % 3 = 2"), "conv_id", "turn", 2, 1)
+    return found.select("conv_id", "target", "turn", F.md5("text").alias("text_md5"))
+
+
+# --- aggregates and windows -------------------------------------------------
+
+
+@query("SELECT coalesce(lang, 'unknown') AS language, count(*) AS n FROM documents GROUP BY 1")
+def language_distribution(spark, d):
+    return aggregates.language_distribution(table(spark, d, "documents"))
+
+
+@query("SELECT min(ts) AS earliest, max(ts) AS latest, count(ts) AS dated, count(*) AS total FROM events")
+def date_coverage(spark, d):
+    return aggregates.date_coverage(table(spark, d, "events"), "ts")
+
+
+@query("SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'embeddings', count(*) FROM embeddings")
+def corpus_statistics(spark, d):
+    return aggregates.statistics({t: table(spark, d, t) for t in ("documents", "events", "embeddings")})
+
+
+@query("""SELECT o_orderpriority AS model, o_orderstatus AS status, count(*) AS calls, sum(o_orderkey % 1000)::BIGINT AS input_tokens, sum(o_custkey % 100)::BIGINT AS output_tokens,
+round(sum(o_totalprice), 2) AS cost, count(*) FILTER (o_orderstatus <> 'ok') AS failed FROM orders GROUP BY 1, 2""")
+def usage_summary(spark, d):
+    calls = table(spark, d, "orders").select(F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("status"), (F.col("o_orderkey") % 1000).alias("input_tokens"), (F.col("o_custkey") % 100).alias("output_tokens"), F.col("o_totalprice").alias("cost"))
+    return aggregates.usage_summary(calls, ["model", "status"], ["model", "status"]).withColumn("cost", F.round("cost", 2))
+
+
+def _buckets(unit: str, key: str) -> None:
+    def run(spark, d):
+        return aggregates.time_buckets(table(spark, d, "events"), unit)
+
+    run.__name__ = f"event_buckets_{'type' if unit == 'event_type' else unit}"
+    query(f"SELECT {key} AS bucket, count(*) AS n, list_sort(list_distinct(list(event_type))) AS kinds FROM events WHERE ts IS NOT NULL GROUP BY 1")(run)
+
+
+for _unit, _key in (("day", "strftime(ts, '%Y-%m-%d')"), ("week", "strftime(ts, '%Y-W%W')"), ("month", "strftime(ts, '%Y-%m')"), ("year", "strftime(ts, '%Y')"), ("event_type", "event_type")):
+    _buckets(_unit, _key)
+
+
+@query("""SELECT 'buys' AS stream, strftime(ts, '%Y-W%W') AS bucket, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 2
+UNION ALL SELECT 'large', strftime(ts, '%Y-W%W'), count(*) FROM events WHERE value > 50 GROUP BY 2""")
+def timeline_compare(spark, d):
+    return aggregates.timeline_compare(table(spark, d, "events"), {"buys": F.col("event_type") == "purchase", "large": F.col("value") > 50}, "week")
+
+
+@query("""WITH b AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS bin, count(*) FILTER (event_type = 'view') AS forward, count(*) FILTER (event_type <> 'view') AS backward FROM events GROUP BY 1, 2)
+SELECT user_id, bin, forward, backward, round(avg(forward + backward) OVER (PARTITION BY user_id), 6) AS mean, forward + backward > 3 * avg(forward + backward) OVER (PARTITION BY user_id) AS burst FROM b""")
+def correspondence_cadence(spark, d):
+    return aggregates.cadence(table(spark, d, "events"), "user_id", "ts", "day", F.col("event_type") == "view").withColumn("mean", F.round("mean", 6))
+
+
+@query("""WITH s AS (SELECT user_id, ts, floor((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 86400000000.0)::BIGINT AS days FROM events),
+m AS (SELECT user_id, list_sort(list(days))[len(list(days)) // 2 + 1] AS median_days FROM s WHERE days IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
+SELECT user_id, ts, days, median_days FROM s JOIN m USING (user_id) WHERE days > greatest(2 * median_days, 0)""")
+def cadence_gaps(spark, d):
+    return aggregates.gaps(table(spark, d, "events"), "user_id", "ts", 0).select("user_id", "ts", "days", "median_days")
+
+
+@query("SELECT count(*) AS n FROM events WHERE (ts + INTERVAL 1 DAY >= TIMESTAMP '2024-01-10' ) AND (ts <= TIMESTAMP '2024-01-20')")
+def interval_overlap(spark, d):
+    low, high = F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp")
+    return table(spark, d, "events").where(dates.overlaps(F.col("ts"), F.col("ts") + F.expr("interval 1 day"), low, high)).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'o_orderstatus' AS "column", coalesce(o_orderstatus, '') AS value, count(*) AS n FROM orders GROUP BY 2
+UNION ALL SELECT 'o_orderpriority', coalesce(o_orderpriority, ''), count(*) FROM orders GROUP BY 2""")
+def group_counts(spark, d):
+    return aggregates.group_counts(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), t AS (SELECT source, sum(n)::BIGINT AS total, max(n) AS n FROM c GROUP BY 1)
+SELECT source, min(lang) AS lang, t.n, total FROM t JOIN c USING (source, n) WHERE total >= 5 AND t.n >= 0.5 * total GROUP BY ALL""")
+def dominant_language(spark, d):
+    counts = table(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    best = counts.groupBy("source").agg(F.min_by("lang", F.struct((-F.col("n")).alias("n"), "lang")).alias("lang"), F.max("n").alias("n"), F.sum("n").alias("total"))
+    return best.where("total >= 5 and n >= 0.5 * total")
+
+
+@query("""WITH y AS (SELECT o_custkey, year(o_orderdate) // 100 AS century FROM orders), c AS (SELECT o_custkey, century, count(*) AS n FROM y GROUP BY ALL),
+t AS (SELECT o_custkey, sum(n)::BIGINT AS total, max(n) AS n FROM c GROUP BY 1) SELECT o_custkey, min(century) AS century, t.n, total FROM t JOIN c USING (o_custkey, n) WHERE total >= 5 AND t.n >= 0.5 * total GROUP BY ALL""")
+def dominant_century(spark, d):
+    years = table(spark, d, "orders").select("o_custkey", F.floor(F.year("o_orderdate") / 100).alias("century"))
+    return aggregates.mode_share(years, "o_custkey", "century", 5, 0.5)
+
+
+_RUNS = """r AS (SELECT 'near' AS run, q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank, e.label = q.label AS hit
+  FROM embeddings q JOIN embeddings e ON q.vec_id < 5 AND e.vec_id <> q.vec_id), j AS (SELECT q.vec_id AS query, count(*) AS n_relevant FROM embeddings q JOIN embeddings e ON q.vec_id < 5 AND e.vec_id <> q.vec_id AND e.label = q.label GROUP BY 1)"""
+
+
+@query(f"""WITH {_RUNS} SELECT run, query, round(count(*) FILTER (hit) / max(n_relevant)::DOUBLE, 6) AS recall, round(count(*) FILTER (hit) / 10.0, 6) AS precision,
+round(coalesce(max(1.0 / rank) FILTER (hit), 0), 6) AS rr,
+round(coalesce(sum(1 / log2(rank + 1)) FILTER (hit), 0) / max(list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg
+FROM r JOIN j USING (query) WHERE rank <= 10 GROUP BY 1, 2""")
+def retrieval_metrics(spark, d):
+    vectors = table(spark, d, "embeddings")
+    # The five judged queries are the whole of this query set.
+    asked = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
+    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query"))
+    scored = pairs.select(F.lit("near").alias("run"), "query", F.col("vec_id").alias("id"), search.cosine(F.col("q"), F.col("embedding")).alias("score"))
+    runs = relations.top_per_group(scored, ["run", "query"], [F.desc("score"), F.col("id")], 10)
+    judged = pairs.where("label = q_label").select("query", F.col("vec_id").alias("id"), F.lit(1.0).alias("gain"))
+    return aggregates.retrieval_metrics(runs, judged, 10).select("run", "query", *[six(c) for c in ("recall", "precision", "rr", "ndcg")])
+
+
+@query("""WITH s AS (SELECT user_id, event_id, value, CASE WHEN value > lag(value) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS starts FROM events)
+SELECT user_id, event_id, sum(starts) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS run FROM s""")
+def ascending_runs(spark, d):
+    return aggregates.ascending_runs(table(spark, d, "events"), "user_id", "event_id", "value").select("user_id", "event_id", "run")
+
+
+@query("SELECT l_suppkey, l_orderkey, l_linenumber, rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3")
+def top_per_group(spark, d):
+    return relations.top_per_group(table(spark, d, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+# --- upserts, sets, checks ----------------------------------------------------
+
+
+@query("SELECT sha256(coalesce(text, '')) AS content_hash, source, min(doc_id) AS doc_id FROM documents GROUP BY 1, 2")
+def content_hash_dedup(spark, d):
+    return relations.content_dedup(table(spark, d, "documents")).select("content_hash", "source", "doc_id")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def latest_wins_upsert(spark, d):
+    return relations.latest_wins(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
+
+
+@query("SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+def update_column(spark, d):
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    new = customers.where("c_custkey % 10 = 0").select("c_custkey", F.lit(None).cast("double").alias("c_acctbal"))
+    return relations.update_column(customers, new, "c_custkey", "c_acctbal")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'error' UNION ALL SELECT event_id, 'fixed' FROM events WHERE event_type = 'error'")
+def replace_records(spark, d):
+    old = table(spark, d, "events").select("event_id", "event_type")
+    return relations.replace_rows(old, old.where("event_type = 'error'").withColumn("event_type", F.lit("fixed")), "event_id")
+
+
+@query("SELECT DISTINCT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def set_difference(spark, d):
+    return relations.set_difference(table(spark, d, "customer").select(F.col("c_custkey").alias("k")).distinct(), table(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct())
+
+
+@query("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1")
+def key_uniqueness(spark, d):
+    return relations.not_unique(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"])
+
+
+@query("""SELECT doc_id, sum(length(quote))::BIGINT AS quoted, list_sort(list_distinct(list(work))) AS works FROM (
+SELECT doc_id, substring(text, 1, 400) AS quote, source AS work FROM documents UNION ALL SELECT doc_id, substring(text, 401, 800), 'second' FROM documents) GROUP BY 1 HAVING sum(length(quote)) > 1000""")
+def license_quota(spark, d):
+    docs = table(spark, d, "documents")
+    first = docs.select("doc_id", F.substring("text", 1, 400).alias("quote"), F.col("source").alias("work"))
+    return checks.license_quota(first.union(docs.select("doc_id", F.substring("text", 401, 800), F.lit("second"))))
+
+
+_PLANTED = f"""{_WINDOWS}, x AS (SELECT doc_id * 100000 + position AS passage_id, doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE char_start END AS char_start,
+CASE WHEN doc_id % 11 = 5 THEN char_start - 1 WHEN doc_id % 13 = 1 THEN char_end + 100000 ELSE char_end END AS char_end, CASE WHEN doc_id % 17 = 2 THEN 'x' || text WHEN doc_id % 19 = 4 THEN ' ' ELSE text END AS text FROM w),
+t AS (SELECT doc_id, CASE WHEN doc_id % 23 = 7 THEN NULL ELSE text END AS canonical FROM documents), y AS (SELECT x.*, canonical FROM x JOIN t USING (doc_id))"""
+
+
+@query(f"""WITH {_PLANTED} SELECT 'passage_span_well_formed' AS "check", count(*) AS n FROM y WHERE char_end < char_start
+UNION ALL SELECT 'passage_has_offsets', count(*) FROM y WHERE canonical IS NOT NULL AND char_start IS NULL
+UNION ALL SELECT 'document_has_canonical_text', count(*) FROM y WHERE canonical IS NULL
+UNION ALL SELECT 'passage_is_not_empty', count(*) FROM y WHERE trim(text) = ''
+UNION ALL SELECT 'passage_span_within_the_text', count(*) FROM y WHERE canonical IS NOT NULL AND char_start IS NOT NULL AND char_end > length(canonical)
+UNION ALL SELECT 'passage_text_matches_its_span', count(*) FROM y WHERE canonical IS NOT NULL AND char_start IS NOT NULL AND char_end <= length(canonical) AND char_end >= char_start AND substring(canonical, char_start + 1, char_end - char_start) <> text""")
+def corpus_checks(spark, d):
+    passages = chunking.fixed_windows_native(table(spark, d, "documents"))
+    i = F.col("doc_id")
+    planted = passages.select(
+        (i * 100000 + F.col("position")).alias("passage_id"), "doc_id", F.when(i % 7 == 3, None).otherwise(F.col("char_start")).alias("char_start"),
+        F.when(i % 11 == 5, F.col("char_start") - 1).when(i % 13 == 1, F.col("char_end") + 100000).otherwise(F.col("char_end")).alias("char_end"),
+        F.when(i % 17 == 2, F.concat(F.lit("x"), "text")).when(i % 19 == 4, F.lit(" ")).otherwise(F.col("text")).alias("text"),
+    )
+    texts = table(spark, d, "documents").select("doc_id", F.when(i % 23 == 7, None).otherwise(F.col("text")).alias("canonical"))
+    return checks.passage_checks(planted, texts).groupBy("check").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT 'c' || c_custkey AS ref, CASE WHEN c_custkey % 3 = 0 THEN 'opposition' ELSE 'thesis' END AS kind, CASE WHEN c_custkey % 4 = 0 THEN 'open' ELSE 'settled' END AS status, c_custkey % 5 = 0 AS ready FROM customer),
+a AS (SELECT DISTINCT 'c' || o_custkey AS ref, CASE WHEN o_orderstatus = 'F' THEN 'p' END AS person FROM orders WHERE o_orderpriority LIKE '1%'),
+e AS (SELECT 'c' || l_suppkey AS source, 'c' || l_partkey AS target FROM lineitem WHERE l_linenumber = 1)
+SELECT 'opposition_unanchored' AS "check", ref AS id, kind AS detail FROM c WHERE kind = 'opposition' AND ref NOT IN (SELECT ref FROM a)
+UNION ALL SELECT 'rebuttal_unattributed', source, target FROM e WHERE target NOT IN (SELECT ref FROM a WHERE person IS NOT NULL)
+UNION ALL SELECT 'open_claim_public', ref, status FROM c WHERE ready AND status = 'open'""")
+def claim_audit(spark, d):
+    k = F.col("c_custkey")
+    claims = table(spark, d, "customer").select(F.concat(F.lit("c"), k).alias("ref"), F.when(k % 3 == 0, "opposition").otherwise("thesis").alias("kind"), F.when(k % 4 == 0, "open").otherwise("settled").alias("status"), (k % 5 == 0).alias("public_ready"))
+    anchors = table(spark, d, "orders").where("o_orderpriority like '1%'").select(F.concat(F.lit("c"), "o_custkey").alias("ref"), F.lit("asserts").alias("role"), F.when(F.col("o_orderstatus") == "F", F.lit("p")).alias("person"))
+    edges = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("c"), "l_suppkey").alias("source"), F.concat(F.lit("c"), "l_partkey").alias("target"), F.lit("rebuts").alias("relation"))
+    return checks.claim_audit(claims, edges, anchors)
+
+
+# --- quotes, text, dates, sources ------------------------------------------------
+
+
+@query("SELECT item_id AS quote_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
+def quote_exact(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return quotes.verify(asked, table(spark, d, "documents")).where("verdict = 'exact'").select("quote_id", "doc_id")
+
+
+@query()
+def quote_verify(spark, d):
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.upper("text").alias("quote"))
+    return quotes.verify(asked, table(spark, d, "documents"))
+
+
+@query(r"""SELECT doc_id, length(t) AS n, md5(t) AS folded_md5 FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS t FROM documents)""")
+def collapse_space(spark, d):
+    folded = T.collapse_space(F.lower("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(folded).cast("long").alias("n"), F.md5(folded).alias("folded_md5"))
+
+
+@query()
+def fold_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE AS start, o_orderdate::DATE AS \"end\", 'day' AS precision FROM orders")
+def fuzzy_dates_day(spark, d):
+    phrase = F.date_format("o_orderdate", "'about' MMMM d, yyyy")
+    parsed = table(spark, d, "orders").select("o_orderkey", dates.parse(phrase).alias("p"))
+    return parsed.select("o_orderkey", "p.start", "p.end", "p.precision")
+
+
+@query("SELECT o_orderkey, date_trunc('month', o_orderdate)::DATE AS start, last_day(o_orderdate::DATE) AS \"end\", 'month' AS precision FROM orders")
+def fuzzy_dates_month(spark, d):
+    parsed = table(spark, d, "orders").select("o_orderkey", dates.parse(F.date_format("o_orderdate", "MMM yyyy")).alias("p"))
+    return parsed.select("o_orderkey", "p.start", "p.end", "p.precision")
+
+
+@query("SELECT doc_id, least(greatest(1, floor(length(text) / greatest(1, 4.0 * length(text) / greatest(octet_length(encode(text)), 1)))), 2147483647)::INT AS tokens FROM documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
+
+
+@query()
+def prose_window_chunks(spark, d):
+    return chunking.chunk(table(spark, d, "documents"), "prose_window")
+
+
+@query()
+def whole_or_paragraph_chunks(spark, d):
+    return chunking.chunk(table(spark, d, "documents"), "whole_or_paragraph")
+
+
+@query()
+def html_sections(spark, d):
+    pages = table(spark, d, "pages").select(F.col("url").alias("path"), F.lit("html").alias("format"), F.col("html").cast("binary").alias("content"))
+    return files.parse(pages).select("path", "title", "language", F.explode("sections").alias("s"), "text").select(
+        "path", "title", "language", "s.char_start", "s.char_end", "s.heading", "s.level", T.slice_span(F.col("text"), F.col("s.char_start"), F.col("s.char_end")).alias("text")
+    )

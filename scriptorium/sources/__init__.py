@@ -1 +1 @@
-"""See the package README section for this layer."""
+"""Sources: files to documents (text, title, metadata, sections)."""

@@ -1 +1 @@
-"""See the package README section for this layer."""
+"""Structured Streaming forms of the batch operators (an extension of the engine)."""
