@@ -15,6 +15,8 @@ from pyspark.sql import types as Ty
 from scriptorium.functions import text as T
 
 NEAR_SHARE, CONTEXT = 0.5, 80
+#: Probe words up to which they are a literal of the plan.
+LITERAL_PROBES = 1000
 
 
 def probes(quotes: DataFrame) -> DataFrame:
@@ -28,8 +30,15 @@ def probes(quotes: DataFrame) -> DataFrame:
 def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """(quote_id, quote, doc_id, text) of documents that hold a quote's probe word."""
     probed = probes(quotes)
-    wanted = probed.select("probe").distinct()
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.words(T.fold_simple(F.col("text"))))).alias("probe")).join(wanted, "probe", "left_semi")
+    wanted = probed.select("probe").where("probe is not null").distinct()
+    own = T.words(T.fold_simple(F.col("text")))
+    few = [r["probe"] for r in wanted.limit(LITERAL_PROBES + 1).collect()]
+    if len(few) <= LITERAL_PROBES:
+        # A bounded set of probes is a literal: documents are searched while they are scanned.
+        hits = F.array_intersect(own, F.array(*[F.lit(w) for w in few]).cast("array<string>"))
+        found = docs.select("doc_id", "text", F.explode(hits).alias("probe")).join(probed, "probe")
+        return found.select("quote_id", "quote", "doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.array_distinct(own)).alias("probe")).join(wanted, "probe", "left_semi")
     pairs = probed.join(words, "probe").select("quote_id", "quote", "doc_id")
     return pairs.join(docs.select("doc_id", "text"), "doc_id")
 
@@ -38,8 +47,9 @@ def match(pairs: DataFrame) -> DataFrame:
     """Per (quote, document): tier (0 exact, 1 normalised) and offset, JVM-side; other pairs are left out."""
     at = T.locate0(F.col("text"), F.col("quote"))
     folded = T.locate0(T.fold_simple(F.col("text")), T.fold_simple(F.col("quote")))
-    tier = F.when(at.isNotNull(), 0).when(folded.isNotNull(), 1)
-    return pairs.select("quote_id", "doc_id", tier.alias("tier"), F.coalesce(at, folded).alias("at")).where("tier is not null")
+    exact = pairs.withColumn("exact", at)
+    hit = F.when(F.col("exact").isNotNull(), F.struct(F.lit(0).alias("tier"), F.col("exact").alias("at"))).otherwise(F.struct(F.lit(1).alias("tier"), folded.alias("at")))
+    return exact.select("quote_id", "doc_id", hit.alias("h")).where("h.at is not null").select("quote_id", "doc_id", "h.tier", "h.at")
 
 
 _PREFIX = Ty.StructType([Ty.StructField("share", Ty.DoubleType()), Ty.StructField("char_start", Ty.IntegerType()), Ty.StructField("context", Ty.StringType())])

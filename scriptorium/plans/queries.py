@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import dates, jsons
 from scriptorium.functions import text as T
-from scriptorium.operators import aggregates, checks, chunking, quotes, relations, search, spans
+from scriptorium.operators import aggregates, checks, chunking, lexicon, quotes, relations, search, spans, works
 from scriptorium.session import table
 from scriptorium.sources import files
 
@@ -541,3 +541,101 @@ def html_sections(spark, d):
     return files.parse(pages).select("path", "title", "language", F.explode("sections").alias("s"), "text").select(
         "path", "title", "language", "s.char_start", "s.char_end", "s.heading", "s.level", T.slice_span(F.col("text"), F.col("s.char_start"), F.col("s.char_end")).alias("text")
     )
+
+
+# --- lexicon and works, over tables derived from the test tables ---------------------
+
+_WORD_ROWS = """w AS (SELECT l_orderkey * 10 + l_linenumber AS word_id, l_suppkey AS doc_id, CASE WHEN l_linestatus = 'O' THEN 'he' ELSE 'arc' END AS language, (l_partkey % 7)::VARCHAR AS strong,
+CASE WHEN l_linenumber = 1 THEN 'a' WHEN l_linenumber = 2 THEN 'b' END AS homograph, l_returnflag AS prefixes, 's' || (l_partkey % 3) AS surface, 'm' || (l_linenumber % 2) AS morph,
+'B' || (l_suppkey % 5) || '.' || (l_linenumber) || '.' || (l_partkey % 9 + 1) AS ref FROM lineitem)"""
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    return table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + line).alias("word_id"), F.col("l_suppkey").alias("doc_id"), F.when(F.col("l_linestatus") == "O", "he").otherwise("arc").alias("language"), (part % 7).cast("string").alias("strong"),
+        F.when(line == 1, "a").when(line == 2, "b").alias("homograph"), F.col("l_returnflag").alias("prefixes"), F.concat(F.lit("s"), part % 3).alias("surface"), F.concat(F.lit("m"), line % 2).alias("morph"),
+        F.concat_ws(".", F.concat(F.lit("B"), F.col("l_suppkey") % 5), line, part % 9 + 1).alias("ref"),
+    )
+
+
+@query(f"WITH {_WORD_ROWS} SELECT count(*) AS occurrences, count(DISTINCT split_part(ref, '.', 1)) AS books FROM w WHERE language = 'he' AND strong = '3' AND homograph IS NULL AND split_part(ref, '.', 2)::INT BETWEEN 2 AND 5")
+def lemma_totals(spark, d):
+    return lexicon.lemma_totals(lexicon.lemma_filter(_words(spark, d), "he", "3", "", None, 2, 5))
+
+
+@query(f"""WITH {_WORD_ROWS}, h AS (SELECT *, split_part(ref, '.', 1) AS book FROM w WHERE language = 'he' AND strong = '3')
+SELECT 'surface' AS "column", surface AS value, count(*) AS n FROM h GROUP BY 2 UNION ALL SELECT 'morph', morph, count(*) FROM h GROUP BY 2 UNION ALL SELECT 'prefixes', prefixes, count(*) FROM h GROUP BY 2
+UNION ALL SELECT 'homograph', coalesce(homograph, ''), count(*) FROM h GROUP BY 2 UNION ALL SELECT 'book', book, count(*) FROM h GROUP BY 2""")
+def lemma_groups(spark, d):
+    return lexicon.lemma_groups(lexicon.lemma_filter(_words(spark, d), "he", "3"))
+
+
+_MAP = """v AS (SELECT DISTINCT ref AS from_ref, CASE WHEN strong = '2' THEN 'b' END AS part, ref || 'x' AS to_ref, 'full' AS kind FROM w WHERE strong IN ('2', '4') AND ref LIKE 'B1.%' AND ref LIKE '%.5')"""
+
+
+@query(f"""WITH {_WORD_ROWS}, {_MAP}, k AS (SELECT DISTINCT split_part(from_ref, '.', 1) AS book FROM v)
+SELECT word_id, status, CASE WHEN status = 'same' THEN ref ELSE to_ref END AS english FROM (SELECT word_id, w.ref, to_ref,
+CASE WHEN to_ref IS NOT NULL THEN CASE WHEN part IS NOT NULL OR kind = 'partial' THEN 'partial' ELSE 'full' END WHEN k.book IS NOT NULL THEN 'same' ELSE 'unmapped' END AS status
+FROM w LEFT JOIN v ON w.ref = v.from_ref LEFT JOIN k ON k.book = split_part(w.ref, '.', 1) WHERE language = 'he' AND strong = '4')""")
+def versification(spark, d):
+    words = _words(spark, d)
+    mapped = words.where("strong in ('2', '4') and ref like 'B1.%' and ref like '%.5'")
+    verse_map = mapped.select(F.col("ref").alias("from_ref"), F.when(F.col("strong") == "2", "b").alias("part"), F.concat("ref", F.lit("x")).alias("to_ref"), F.lit("full").alias("kind")).distinct()
+    return lexicon.english_reference(lexicon.lemma_filter(words, "he", "4"), verse_map).select("word_id", "status", "english")
+
+
+_BLOCKS = """b AS (SELECT n_regionkey AS work, 'k' || n_nationkey AS key, CASE WHEN n_nationkey >= 10 THEN (SELECT 'k' || max(m.n_nationkey) FROM nation m WHERE m.n_regionkey = nation.n_regionkey AND m.n_nationkey < 10) END AS parent, n_nationkey AS position FROM nation)"""
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    nation = table(spark, d, "nation")
+    top = nation.where("n_nationkey < 10").groupBy("n_regionkey").agg(F.max("n_nationkey").alias("up"))
+    joined = nation.join(top, "n_regionkey", "left")
+    return joined.select(F.col("n_regionkey").alias("work"), F.concat(F.lit("k"), "n_nationkey").alias("key"), F.when(F.col("n_nationkey") >= 10, F.concat(F.lit("k"), "up")).alias("parent"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("body"))
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, t AS (SELECT work, key, lpad(position::VARCHAR, 6, '0') AS "order", 0 AS depth FROM b WHERE parent IS NULL
+UNION ALL SELECT b.work, b.key, t."order" || '.' || lpad(b.position::VARCHAR, 6, '0'), t.depth + 1 FROM b JOIN t ON b.work = t.work AND b.parent = t.key) SELECT * FROM t""")
+def block_order(spark, d):
+    return works.block_order(_blocks(spark, d))
+
+
+@query("""SELECT c_custkey AS item_id, o_orderkey AS passage_id, n_nationkey AS doc_id, n_name AS title FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = o_orderkey % 25 WHERE c_custkey % 10 = 1""")
+def provenance_chain(spark, d):
+    orders = table(spark, d, "orders")
+    items = table(spark, d, "customer").where("c_custkey % 10 = 1").join(orders, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("item_id"), F.col("o_orderkey").alias("passage_id"))
+    passages = orders.select(F.col("o_orderkey").alias("passage_id"), (F.col("o_orderkey") % 25).alias("doc_id"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
+    documents = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("title"), F.lit("s").alias("source"))
+    return works.provenance(items, passages, documents).select("item_id", "passage_id", "doc_id", "title")
+
+
+@query("""WITH h AS (SELECT c_name AS surname, o_orderdate::DATE AS day, max(o_orderpriority) AS held_as FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' GROUP BY 1, 2)
+SELECT o_orderkey AS ref_id, CASE WHEN c_custkey % 11 = 0 THEN 'undetermined' WHEN held_as IS NOT NULL THEN 'held' ELSE 'missing' END AS verdict, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE held_as END AS held_as
+FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN h ON h.surname = c_name AND h.day = o_orderdate::DATE""")
+def letter_verdicts(spark, d):
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    day = F.col("o_orderdate").cast("date").alias("day")
+    refs = rows.select(F.col("o_orderkey").alias("ref_id"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_name")).alias("surname"), day)
+    holdings = rows.where("o_orderstatus = 'F'").select(F.col("c_name").alias("surname"), day, F.col("o_orderpriority").alias("title"))
+    return works.letter_verdicts(refs, holdings)
+
+
+@query("""SELECT p_brand AS identity, p_partkey AS match_id, providers FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size > 25 DESC, p_retailprice DESC, p_partkey) AS n FROM part)
+JOIN (SELECT p_brand AS b, list_sort(list_distinct(list(p_type))) AS providers FROM part GROUP BY 1) ON b = p_brand WHERE n = 1""")
+def source_match_merge(spark, d):
+    matches = table(spark, d, "part").select(
+        F.col("p_partkey").alias("match_id"), F.lit(None).cast("string").alias("doi"), F.col("p_brand").alias("isbn"), F.col("p_name").alias("title"), F.lit("a").alias("author"), F.lit(1).alias("year"),
+        (F.col("p_size") > 25).alias("available"), F.col("p_retailprice").alias("confidence"), F.col("p_type").alias("provider"),
+    )
+    return works.merge_matches(matches).select(F.substring("identity", 6, 100).alias("identity"), "match_id", "providers")
+
+
+@query("""SELECT event_id AS passage_id, CASE WHEN event_type = 'error' THEN 'unknown_type' WHEN json_extract(props, '$.k') IS NULL THEN 'missing_field' WHEN event_id % 3 = 0 THEN 'evidence_not_found' END AS fault,
+CASE WHEN event_type <> 'error' AND event_id % 3 <> 0 AND json_extract(props, '$.k') IS NOT NULL THEN 2 END AS evidence_start FROM events""")
+def extraction_records(spark, d):
+    events = table(spark, d, "events")
+    record = F.to_json(F.array(F.struct(F.when(F.col("event_type") == "error", "nope").otherwise("letter").alias("record_type"), F.col("props").alias("fields"), F.when(F.col("event_id") % 3 == 0, "zzz").otherwise("cd").alias("evidence"))))
+    made = events.select(F.col("event_id").cast("string").alias("extraction_id"), F.col("event_id").alias("passage_id"), record.alias("records"))
+    passages = events.select(F.col("event_id").alias("passage_id"), F.lit("abcdef").alias("text"))
+    return works.validated(works.records(made), passages, {"letter": ["k"]}).select("passage_id", "fault", "evidence_start")
