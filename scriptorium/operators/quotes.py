@@ -58,9 +58,11 @@ _PREFIX = Ty.StructType([Ty.StructField("share", Ty.DoubleType()), Ty.StructFiel
 @F.pandas_udf(_PREFIX)
 def longest_prefix(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
     """Longest beginning of a folded quote that a folded text holds (bisection), and the text where they part."""
-    rows = []
+    rows, last, folded, starts = [], None, "", []
     for text, quote in zip(texts, quotes, strict=True):
-        folded, starts = T.fold_with_offsets(text or "")
+        if text is not last and text != last:  # a document's quotes come one after the other
+            folded, starts = T.fold_with_offsets(text or "")
+            last = text
         want = T.fold_with_offsets(quote or "")[0]
         low, high = 0, len(want)
         while low < high:
@@ -73,6 +75,12 @@ def longest_prefix(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["share", "char_start", "context"])
 
 
+def exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(quote_id, doc_id) of the first document that holds each quote as it stands; other quotes are left out."""
+    held = candidates(quotes, docs).where(F.contains("text", F.col("quote")))
+    return held.groupBy("quote_id").agg(F.min("doc_id").alias("doc_id"))
+
+
 def verify(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Per quote: quote_id, verdict, doc_id, char_start; exact before normalised, then the smallest doc_id."""
     pairs = candidates(quotes, docs)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import dates, jsons
 from scriptorium.functions import text as T
 from scriptorium.operators import aggregates, checks, chunking, lexicon, quotes, relations, search, spans, works
-from scriptorium.session import table
+from scriptorium.session import spread, table
 from scriptorium.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,7 +56,7 @@ def _vector(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 
 def _keyword(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return search.keyword_topk(table(spark, d, "documents"), LEXEMES, k).select(F.col("doc_id").alias("id"), "score")
+    return search.keyword_topk(spread(table(spark, d, "documents")), LEXEMES, k).select(F.col("doc_id").alias("id"), "score")
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM ({_VEC}) ORDER BY score DESC, id LIMIT 20")
@@ -487,24 +487,24 @@ def claim_audit(spark, d):
 @query("SELECT item_id AS quote_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def quote_exact(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return quotes.verify(asked, table(spark, d, "documents")).where("verdict = 'exact'").select("quote_id", "doc_id")
+    return quotes.exact(asked, spread(table(spark, d, "documents")))
 
 
 @query()
 def quote_verify(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.upper("text").alias("quote"))
-    return quotes.verify(asked, table(spark, d, "documents"))
+    return quotes.verify(asked, spread(table(spark, d, "documents")))
 
 
 @query(r"""SELECT doc_id, length(t) AS n, md5(t) AS folded_md5 FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS t FROM documents)""")
 def collapse_space(spark, d):
     folded = T.collapse_space(F.lower("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(folded).cast("long").alias("n"), F.md5(folded).alias("folded_md5"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.length(folded).cast("long").alias("n"), F.md5(folded).alias("folded_md5"))
 
 
 @query()
 def fold_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("folded"))
+    return spread(table(spark, d, "documents")).select("doc_id", T.fold(F.col("text")).alias("folded"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS start, o_orderdate::DATE AS \"end\", 'day' AS precision FROM orders")
@@ -527,12 +527,12 @@ def token_estimate(spark, d):
 
 @query()
 def prose_window_chunks(spark, d):
-    return chunking.chunk(table(spark, d, "documents"), "prose_window")
+    return chunking.chunk(spread(table(spark, d, "documents")), "prose_window")
 
 
 @query()
 def whole_or_paragraph_chunks(spark, d):
-    return chunking.chunk(table(spark, d, "documents"), "whole_or_paragraph")
+    return chunking.chunk(spread(table(spark, d, "documents")), "whole_or_paragraph")
 
 
 @query()
