@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
@@ -163,11 +163,16 @@ def fixed_windows_native(docs: DataFrame, size: int = FIXED_CHARS, overlap: int
 
 
 def paragraphs_native(docs: DataFrame) -> DataFrame:
-    """Lines of each document with running offsets, without Python: doc_id, position, char_start, text."""
-    lines = F.split("text", "\n", -1)
-    starts = F.transform(F.sequence(F.lit(1), F.size("lines")), lambda i: F.aggregate(F.slice("lines", F.lit(1), i - 1), F.lit(0), lambda a, x: a + F.length(x) + 1))
-    rows = docs.where("text is not null").select("doc_id", lines.alias("lines")).select("doc_id", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("lines") - 1).alias("position"), starts.alias("char_start"), F.col("lines").alias("text"))).alias("p"))
-    return rows.select("doc_id", "p.position", "p.char_start", "p.text").where("trim(text) <> ''")
+    """Lines of each document with running offsets, without Python: doc_id, position, char_start, n_chars, text.
+
+    Offsets are a running sum, so work is linear in a document's lines; line
+    texts are shuffled only if the caller reads them.
+    """
+    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("position", "text"))
+    measured = lines.select("doc_id", "position", F.length("text").alias("n_chars"), (F.trim("text") == "").alias("blank"), "text")
+    before = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.col("n_chars") + 1).over(before), F.lit(0)).alias("char_start")
+    return measured.select("doc_id", "position", start, "n_chars", "text", "blank").where("not blank").drop("blank")
 
 
 _NODE = Ty.StructType([Ty.StructField("path", Ty.StringType()), Ty.StructField("depth", Ty.IntegerType()), Ty.StructField("heading", Ty.StringType()), Ty.StructField("char_start", Ty.IntegerType()), Ty.StructField("char_end", Ty.IntegerType())])

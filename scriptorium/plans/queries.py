@@ -101,9 +101,9 @@ def hybrid_search(spark, d):
     return search.hybrid_search(table(spark, d, "documents"), vectors, search.stored_vector(vectors, 0), LEXEMES, 20).withColumn("score", F.round("score", 6))
 
 
-@query(f"SELECT doc_id, lexeme, count(*) AS tf, min(pos) AS first_at FROM (SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE lang = 'de')) GROUP BY ALL")
+@query(f"SELECT doc_id, lexeme, count(*) AS tf, min(pos) AS first_at FROM (SELECT doc_id, unnest(w) AS lexeme, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) GROUP BY ALL")
 def inverted_index(spark, d):
-    index = search.inverted_index(table(spark, d, "documents").where("lang = 'de'"))
+    index = search.inverted_index(table(spark, d, "documents"))
     return index.select("doc_id", "lexeme", "tf", F.element_at("positions", 1).cast("long").alias("first_at"))
 
 
@@ -185,22 +185,20 @@ def ordered_get(spark, d):
 # --- spans ----------------------------------------------------------------
 
 _LINES = """l AS (SELECT doc_id, position, char_start, char_start + length(text) AS char_end, text FROM (
-  SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS position,
-         unnest(list_transform(range(1, len(lines) + 1), lambda i: coalesce(list_sum(list_transform(lines[1:i - 1], lambda x: length(x) + 1)), 0)))::BIGINT AS char_start
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE n_chars < 3000)) WHERE trim(text) <> '')"""
+  SELECT doc_id, text, position, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start
+  FROM (SELECT doc_id, unnest(lines) AS text, generate_subscripts(lines, 1) - 1 AS position FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))) WHERE trim(text) <> '')"""
 _WINDOWS = """w AS (SELECT doc_id, i AS position, i * 1800 AS char_start, least(i * 1800 + 2000, length(text)) AS char_end, substring(text, i * 1800 + 1, 2000) AS text
   FROM (SELECT doc_id, text, unnest(range(0, greatest(ceil((length(text) - 2000) / 1800.0), 0)::BIGINT + 1)) AS i FROM documents WHERE length(text) > 0))"""
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("n_chars < 3000")
-    lines = chunking.paragraphs_native(docs)
-    return lines.select("doc_id", (F.col("doc_id") * 100000 + F.col("position")).alias("l_id"), F.col("char_start").alias("l_start"), (F.col("char_start") + F.length("text")).alias("l_end"))
+    lines = chunking.paragraphs_native(table(spark, d, "documents"))
+    return lines.select("doc_id", (F.col("doc_id") * 10000000 + F.col("position")).alias("l_id"), F.col("char_start").alias("l_start"), (F.col("char_start") + F.col("n_chars")).alias("l_end"))
 
 
 def _windows(spark: SparkSession, d: str) -> DataFrame:
     windows = chunking.fixed_windows_native(table(spark, d, "documents"))
-    return windows.select("doc_id", (F.col("doc_id") * 100000 + F.col("position")).alias("r_id"), F.col("char_start").alias("r_start"), F.col("char_end").alias("r_end"))
+    return windows.select("doc_id", (F.col("doc_id") * 10000000 + F.col("position")).alias("r_id"), F.col("char_start").alias("r_start"), F.col("char_end").alias("r_end"))
 
 
 @query(f"WITH {_WINDOWS} SELECT doc_id, position, char_start, char_end, md5(text) AS text_md5 FROM w")
@@ -211,7 +209,7 @@ def fixed_window_chunks(spark, d):
 
 @query(f"WITH {_LINES} SELECT doc_id, position, char_start, md5(text) AS text_md5 FROM l")
 def paragraph_chunks(spark, d):
-    lines = chunking.paragraphs_native(table(spark, d, "documents").where("n_chars < 3000"))
+    lines = chunking.paragraphs_native(table(spark, d, "documents"))
     return lines.select("doc_id", F.col("position").cast("long").alias("position"), F.col("char_start").cast("long").alias("char_start"), F.md5("text").alias("text_md5"))
 
 
@@ -224,33 +222,33 @@ def span_overlap_join(spark, d):
 
 
 @query(f"""WITH {_LINES}, {_WINDOWS} SELECT l_id, doc_id, r_id, overlap FROM (
-SELECT l.doc_id * 100000 + l.position AS l_id, l.doc_id, w.doc_id * 100000 + w.position AS r_id, least(l.char_end, w.char_end) - greatest(l.char_start, w.char_start) AS overlap,
+SELECT l.doc_id * 10000000 + l.position AS l_id, l.doc_id, w.doc_id * 10000000 + w.position AS r_id, least(l.char_end, w.char_end) - greatest(l.char_start, w.char_start) AS overlap,
 row_number() OVER (PARTITION BY l.doc_id, l.position ORDER BY least(l.char_end, w.char_end) - greatest(l.char_start, w.char_start) DESC, w.char_start) AS n
 FROM l JOIN w ON l.doc_id = w.doc_id AND l.char_start < w.char_end AND l.char_end > w.char_start) WHERE n = 1""")
 def best_overlap(spark, d):
     return spans.best_overlap(_lines(spark, d), _windows(spark, d)).withColumn("overlap", F.col("overlap").cast("long"))
 
 
-@query(f"""WITH {_LINES}, {_WINDOWS}, n AS (SELECT doc_id, doc_id * 100000 + position AS r_id, 1 AS depth, char_start, char_end FROM w
-UNION ALL SELECT doc_id, doc_id * 100000 + 99999, 0, 0, length(text) FROM documents)
-SELECT l_id, doc_id, r_id, depth FROM (SELECT l.doc_id * 100000 + l.position AS l_id, l.doc_id, r_id, depth,
+@query(f"""WITH {_LINES}, {_WINDOWS}, n AS (SELECT doc_id, doc_id * 10000000 + position AS r_id, 1 AS depth, char_start, char_end FROM w
+UNION ALL SELECT doc_id, doc_id * 10000000 + 9999999, 0, 0, length(text) FROM documents)
+SELECT l_id, doc_id, r_id, depth FROM (SELECT l.doc_id * 10000000 + l.position AS l_id, l.doc_id, r_id, depth,
 row_number() OVER (PARTITION BY l.doc_id, l.position ORDER BY depth DESC, n.char_start, r_id) AS k FROM l JOIN n ON l.doc_id = n.doc_id AND n.char_start <= l.char_start AND l.char_end <= n.char_end) WHERE k = 1""")
 def deepest_containing(spark, d):
-    whole = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 100000 + 99999).alias("r_id"), F.lit(0).alias("r_start"), F.length("text").alias("r_end"), F.lit(0).alias("depth"))
+    whole = table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 10000000 + 9999999).alias("r_id"), F.lit(0).alias("r_start"), F.length("text").alias("r_end"), F.lit(0).alias("depth"))
     nodes = _windows(spark, d).withColumn("depth", F.lit(1)).unionByName(whole)
     return spans.deepest_containing(_lines(spark, d), nodes)
 
 
 @query(f"""WITH {_LINES}, g AS (SELECT doc_id, coalesce(max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gap_start, char_start AS gap_end
-FROM (SELECT doc_id, char_start, char_end FROM l UNION ALL SELECT doc_id, n_chars, n_chars FROM documents WHERE n_chars < 3000))
+FROM (SELECT doc_id, char_start, char_end FROM l UNION ALL SELECT doc_id, n_chars, n_chars FROM documents))
 SELECT doc_id, count(*) AS gaps, sum(gap_end - gap_start)::BIGINT AS chars FROM g WHERE gap_end > gap_start GROUP BY doc_id""")
 def coverage_gaps(spark, d):
     lines = _lines(spark, d).select("doc_id", F.col("l_start").cast("long").alias("start"), F.col("l_end").cast("long").alias("end"))
-    gaps = spans.coverage_gaps(lines, table(spark, d, "documents").where("n_chars < 3000").select("doc_id", "n_chars"))
+    gaps = spans.coverage_gaps(lines, table(spark, d, "documents").select("doc_id", "n_chars"))
     return gaps.groupBy("doc_id").agg(F.count("*").alias("gaps"), F.sum(F.col("gap_end") - F.col("gap_start")).alias("chars"))
 
 
-@query(f"""WITH {_LINES} SELECT l.doc_id * 100000 + l.position AS l_id, coalesce(lead(char_start) OVER (PARTITION BY l.doc_id ORDER BY char_start), n_chars) AS char_end
+@query(f"""WITH {_LINES} SELECT l.doc_id * 10000000 + l.position AS l_id, coalesce(lead(char_start) OVER (PARTITION BY l.doc_id ORDER BY char_start), n_chars) AS char_end
 FROM l JOIN documents USING (doc_id)""")
 def section_ends(spark, d):
     sections = _lines(spark, d).select("doc_id", "l_id", F.col("l_start").cast("long").alias("char_start"))
@@ -279,11 +277,10 @@ def path_descendants(spark, d):
     return spans.descendants(_paths(spark, d), of)
 
 
-@query("""SELECT t.conv_id, t.turn AS target, c.turn, md5(c.text) AS text_md5 FROM conversations t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn BETWEEN t.turn - 2 AND t.turn + 1
-WHERE t.turn % 3 = 2""")
+@query("""SELECT t.conv_id, t.turn AS target, c.turn, md5(c.text) AS text_md5 FROM conversations t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn BETWEEN t.turn - 2 AND t.turn + 1""")
 def passage_context(spark, d):
     rows = table(spark, d, "conversations")
-    found = spans.neighbours(rows, rows.where("turn % 3 = 2"), "conv_id", "turn", 2, 1)
+    found = spans.neighbours(rows, rows, "conv_id", "turn", 2, 1)
     return found.select("conv_id", "target", "turn", F.md5("text").alias("text_md5"))
 
 
@@ -370,22 +367,19 @@ def dominant_century(spark, d):
     return aggregates.mode_share(years, "o_custkey", "century", 5, 0.5)
 
 
-_RUNS = """r AS (SELECT 'near' AS run, q.vec_id AS query, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) AS rank, e.label = q.label AS hit
-  FROM embeddings q JOIN embeddings e ON q.vec_id < 5 AND e.vec_id <> q.vec_id), j AS (SELECT q.vec_id AS query, count(*) AS n_relevant FROM embeddings q JOIN embeddings e ON q.vec_id < 5 AND e.vec_id <> q.vec_id AND e.label = q.label GROUP BY 1)"""
+_RUNS = """r AS (SELECT o_custkey AS query, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank, o_orderpriority = '1-URGENT' AS hit FROM orders),
+j AS (SELECT o_custkey AS query, count(*) AS n_relevant FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)"""
 
 
-@query(f"""WITH {_RUNS} SELECT run, query, round(count(*) FILTER (hit) / max(n_relevant)::DOUBLE, 6) AS recall, round(count(*) FILTER (hit) / 10.0, 6) AS precision,
-round(coalesce(max(1.0 / rank) FILTER (hit), 0), 6) AS rr,
-round(coalesce(sum(1 / log2(rank + 1)) FILTER (hit), 0) / max(list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg
-FROM r JOIN j USING (query) WHERE rank <= 10 GROUP BY 1, 2""")
+@query(f"""WITH {_RUNS} SELECT 'price' AS run, query, CASE WHEN max(n_relevant) IS NULL THEN 1.0 ELSE round(count(*) FILTER (hit) / max(n_relevant)::DOUBLE, 6) END AS recall, round(count(*) FILTER (hit) / 10.0, 6) AS precision,
+round(coalesce(max(1.0 / rank) FILTER (hit), 0), 6) AS rr, CASE WHEN max(n_relevant) IS NULL THEN 1.0 ELSE
+round(coalesce(sum(1 / log2(rank + 1)) FILTER (hit), 0) / max(list_sum(list_transform(range(1, least(n_relevant, 10) + 1), lambda i: 1 / log2(i + 1)))), 6) END AS ndcg
+FROM r LEFT JOIN j USING (query) WHERE rank <= 10 GROUP BY query""")
 def retrieval_metrics(spark, d):
-    vectors = table(spark, d, "embeddings")
-    # The five judged queries are the whole of this query set.
-    asked = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("q_label"))
-    pairs = vectors.join(F.broadcast(asked), F.col("vec_id") != F.col("query"))
-    scored = pairs.select(F.lit("near").alias("run"), "query", F.col("vec_id").alias("id"), search.cosine(F.col("q"), F.col("embedding")).alias("score"))
-    runs = relations.top_per_group(scored, ["run", "query"], [F.desc("score"), F.col("id")], 10)
-    judged = pairs.where("label = q_label").select("query", F.col("vec_id").alias("id"), F.lit(1.0).alias("gain"))
+    # Every customer is a query, its orders by price are the run, its urgent orders are relevant.
+    orders = table(spark, d, "orders").select(F.lit("price").alias("run"), F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderpriority")
+    runs = relations.top_per_group(orders, ["run", "query"], [F.desc("o_totalprice"), F.col("id")], 10).select("run", "query", "id", "rank")
+    judged = orders.where("o_orderpriority = '1-URGENT'").select("query", "id", F.lit(1.0).alias("gain"))
     return aggregates.retrieval_metrics(runs, judged, 10).select("run", "query", *[six(c) for c in ("recall", "precision", "rr", "ndcg")])
 
 
@@ -413,10 +407,10 @@ def latest_wins_upsert(spark, d):
     return relations.latest_wins(table(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], ["event_id"])
 
 
-@query("SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
+@query("SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer")
 def update_column(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    new = customers.where("c_custkey % 10 = 0").select("c_custkey", F.lit(None).cast("double").alias("c_acctbal"))
+    new = customers.where("c_acctbal < 0").select("c_custkey", F.lit(None).cast("double").alias("c_acctbal"))
     return relations.update_column(customers, new, "c_custkey", "c_acctbal")
 
 
@@ -436,15 +430,12 @@ def key_uniqueness(spark, d):
     return relations.not_unique(table(spark, d, "orders"), ["o_custkey", "o_orderpriority"])
 
 
-@query("""SELECT doc_id, sum(length(quote))::BIGINT AS quoted, list_sort(list_distinct(list(work))) AS works FROM (
-SELECT doc_id, substring(text, 1, 400) AS quote, source AS work FROM documents UNION ALL SELECT doc_id, substring(text, 401, 800), 'second' FROM documents) GROUP BY 1 HAVING sum(length(quote)) > 1000""")
+@query("SELECT conv_id AS doc_id, sum(length(text))::BIGINT AS quoted, list_sort(list_distinct(list(role))) AS works FROM conversations GROUP BY 1 HAVING sum(length(text)) > 1000")
 def license_quota(spark, d):
-    docs = table(spark, d, "documents")
-    first = docs.select("doc_id", F.substring("text", 1, 400).alias("quote"), F.col("source").alias("work"))
-    return checks.license_quota(first.union(docs.select("doc_id", F.substring("text", 401, 800), F.lit("second"))))
+    return checks.license_quota(table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("quote"), F.col("role").alias("work")))
 
 
-_PLANTED = f"""{_WINDOWS}, x AS (SELECT doc_id * 100000 + position AS passage_id, doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE char_start END AS char_start,
+_PLANTED = f"""{_WINDOWS}, x AS (SELECT doc_id * 10000000 + position AS passage_id, doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE char_start END AS char_start,
 CASE WHEN doc_id % 11 = 5 THEN char_start - 1 WHEN doc_id % 13 = 1 THEN char_end + 100000 ELSE char_end END AS char_end, CASE WHEN doc_id % 17 = 2 THEN 'x' || text WHEN doc_id % 19 = 4 THEN ' ' ELSE text END AS text FROM w),
 t AS (SELECT doc_id, CASE WHEN doc_id % 23 = 7 THEN NULL ELSE text END AS canonical FROM documents), y AS (SELECT x.*, canonical FROM x JOIN t USING (doc_id))"""
 
@@ -459,7 +450,7 @@ def corpus_checks(spark, d):
     passages = chunking.fixed_windows_native(table(spark, d, "documents"))
     i = F.col("doc_id")
     planted = passages.select(
-        (i * 100000 + F.col("position")).alias("passage_id"), "doc_id", F.when(i % 7 == 3, None).otherwise(F.col("char_start")).alias("char_start"),
+        (i * 10000000 + F.col("position")).alias("passage_id"), "doc_id", F.when(i % 7 == 3, None).otherwise(F.col("char_start")).alias("char_start"),
         F.when(i % 11 == 5, F.col("char_start") - 1).when(i % 13 == 1, F.col("char_end") + 100000).otherwise(F.col("char_end")).alias("char_end"),
         F.when(i % 17 == 2, F.concat(F.lit("x"), "text")).when(i % 19 == 4, F.lit(" ")).otherwise(F.col("text")).alias("text"),
     )
@@ -601,10 +592,10 @@ def block_order(spark, d):
     return works.block_order(_blocks(spark, d))
 
 
-@query("""SELECT c_custkey AS item_id, o_orderkey AS passage_id, n_nationkey AS doc_id, n_name AS title FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = o_orderkey % 25 WHERE c_custkey % 10 = 1""")
+@query("""SELECT c_custkey AS item_id, o_orderkey AS passage_id, n_nationkey AS doc_id, n_name AS title FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = o_orderkey % 25""")
 def provenance_chain(spark, d):
     orders = table(spark, d, "orders")
-    items = table(spark, d, "customer").where("c_custkey % 10 = 1").join(orders, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("item_id"), F.col("o_orderkey").alias("passage_id"))
+    items = table(spark, d, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("item_id"), F.col("o_orderkey").alias("passage_id"))
     passages = orders.select(F.col("o_orderkey").alias("passage_id"), (F.col("o_orderkey") % 25).alias("doc_id"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
     documents = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("title"), F.lit("s").alias("source"))
     return works.provenance(items, passages, documents).select("item_id", "passage_id", "doc_id", "title")
