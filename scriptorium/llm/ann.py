@@ -1,17 +1,19 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search on it.
 
 Identical vectors form one class.  The graph starts from random hyperplane
-blocks (bounded in size, compared inside one task each) and is improved by
+blocks (compared inside one task each; a block above ``BLOCK`` is divided by the
+hyperplanes between members drawn from it, until none is) and is improved by
 NN-descent: every vector introduces its neighbours and a bounded sample of its
-reverse neighbours to each other through Spark joins, and each keeps its best.
+reverse neighbours to each other through Spark joins, and each keeps its best,
+until a round changes less than ``SETTLED`` of the neighbour slots.
 Queries are searched greedily, all in step: each keeps a beam of the best
 classes found, expands those not yet expanded, and stops when none is left.
 The beam's classes are then scored exactly, in double precision, on the
 original vectors.
 
 Inside the graph, vectors are 8-bit; that affects only which classes are looked
-at.  Measured recall at 5 is in the README.  ``K``, ``TREES``, ``ROUNDS`` and
-``BEAM`` trade it against work, which grows with the number of vectors.
+at.  Measured recall at 5 is in the README.  The number of trees and the beam grow
+with each doubling of the number of classes.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those of another length than most vectors have;
@@ -31,12 +33,24 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm.common import cut, discard, small_batches
 
-K, TREES, BLOCK, ROUNDS, BEAM, REVERSE = 16, 16, 1024, 2, 192, 16
+K, TREES, BLOCK, BEAM, REVERSE = 16, 16, 1024, 192, 16
+#: Share of changed neighbour slots below which the graph is settled.
+SETTLED = 0.01
+#: Classes up to which ``TREES`` and ``BEAM`` hold, and what each doubling beyond adds.
+SMALL, MORE_TREES, MORE_BEAM = 1 << 14, 2, 48
+#: Members drawn from a block that is divided, about.
+PIVOTS = 16
 #: Classes per query that are scored exactly.
 FINAL = 48
 _GRAPH = "id long, nbrs binary, sims binary"
 
 
+def effort(count: int) -> tuple[int, int]:
+    """(trees, beam) for ``count`` classes."""
+    doublings = math.ceil(max(0.0, math.log2(max(1, count) / SMALL)))
+    return TREES + MORE_TREES * doublings, BEAM + MORE_BEAM * doublings
+
+
 def _i64(parts) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=np.int64)
 
@@ -96,7 +110,8 @@ def build_graph(codes: DataFrame, count: int, dim: int, seed: int = 11) -> DataF
     """The neighbour graph of ``codes(id, q8)``: per class its K best, most similar first."""
     spark = codes.sparkSession
     bits = max(0, math.ceil(math.log2(max(1.0, count / (0.75 * BLOCK)))))
-    planes = np.random.default_rng(seed).standard_normal((TREES, bits, dim)).astype(np.float32)
+    trees = effort(count)[0]
+    planes = np.random.default_rng(seed).standard_normal((trees, bits, dim)).astype(np.float32)
 
     def sums(batches):
         for pdf in batches:
@@ -113,7 +128,7 @@ def build_graph(codes: DataFrame, count: int, dim: int, seed: int = 11) -> DataF
             if not len(pdf):
                 continue
             x = _unit(pdf["q8"], dim) - mean
-            for t in range(TREES):
+            for t in range(trees):
                 code = ((x @ planes[t].T) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
                 yield pd.DataFrame({"tree": np.int64(t), "code": code.astype(np.int64), "id": pdf["id"], "q8": pdf["q8"]})
 
@@ -128,17 +143,95 @@ def build_graph(codes: DataFrame, count: int, dim: int, seed: int = 11) -> DataF
         owner = np.repeat(ids, k)
         return _packed(*best_of(owner, ids[near].ravel(), np.take_along_axis(sim, near, 1).ravel(), k))
 
-    dealt = codes.mapInPandas(blocks, "tree long, code long, id long, q8 binary")
-    sizes = cut(codes.mapInPandas(blocks, "tree long, code long, id long, q8 binary").groupBy("tree", "code").count())
-    parts = F.ceil(F.col("count") / BLOCK).cast("long")
-    dealt = dealt.join(sizes, ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), parts)).drop("count")
-    found = dealt.groupBy("tree", "code", "part").applyInPandas(compare, _GRAPH)
-    graph = _merge(found, count)
-    for n in range(ROUNDS):
+    dealt, parts = _divided(codes.mapInPandas(blocks, "tree long, code long, id long, q8 binary"), dim)
+    found = dealt.groupBy("tree", "code").applyInPandas(compare, _GRAPH)
+    graph, n = _merge(found, count), 0
+    for part in parts:
+        discard(part)
+    while True:
         better = _merge(graph.union(_introduce(codes, graph, dim, count, n)), count)
+        new = _changed(graph, better)
         discard(graph)
-        graph = better
-    return graph
+        graph, n = better, n + 1
+        if new <= SETTLED * K * count:
+            return graph
+
+
+def _divided(dealt: DataFrame, dim: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``dealt(tree, code, id, q8)`` with blocks of at most ``BLOCK`` rows, and the tables it is read from.
+
+    The rows of a larger block go to the nearest of some members drawn from it,
+    which are hyperplanes through dense places, until no block is larger.  Rows
+    tied between members (the same code) are dealt among these by a hash, so
+    every round divides every large block.
+    """
+    done, level = [], 0
+    parts = [dealt := cut(dealt)]
+    while True:
+        sizes = cut(dealt.groupBy("tree", "code").count())
+        large = cut(sizes.where(F.col("count") > BLOCK))
+        if large.isEmpty():
+            done.append(dealt)
+            break
+        done.append(dealt.join(large, ["tree", "code"], "left_anti"))
+        rest = cut(dealt.join(large, ["tree", "code"]))
+        drawn = F.pmod(F.xxhash64("id", "tree", F.lit(level)), F.col("count")) < PIVOTS
+        pivots = cut(rest.where(drawn).groupBy("tree", "code").agg(F.array_sort(F.collect_list(F.struct("id", "q8"))).alias("p")).select("tree", "code", F.col("p.q8").alias("pivots")))
+
+        def move(batches, level=level):
+            for pdf in batches:
+                code = pdf["code"].to_numpy().copy()
+                for (tree, old), at in pdf.groupby(["tree", "code"]).indices.items():
+                    ids, x = pdf["id"].to_numpy()[at], _unit(pdf["q8"].iloc[at], dim)
+                    code[at] = _child(old, level, _nearest_pivot(x, ids, pdf["pivots"].iloc[at[0]], dim, level))
+                yield pdf[["tree", "id", "q8"]].assign(code=code)[["tree", "code", "id", "q8"]]
+
+        dealt = cut(rest.join(pivots, ["tree", "code"], "left").select("tree", "code", "id", "q8", "pivots").mapInPandas(move, "tree long, code long, id long, q8 binary"))
+        discard(rest)
+        parts.append(dealt)
+        level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out, parts
+
+
+def _mix64(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit values (splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _child(code: int, level: int, pick: np.ndarray) -> np.ndarray:
+    """Codes of the parts of a block."""
+    base = _mix64(np.array([code], dtype=np.int64).view(np.uint64) ^ np.uint64(level + 1 << 32))
+    return _mix64(base ^ (pick.astype(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def _nearest_pivot(x: np.ndarray, ids: np.ndarray, pivots, dim: int, level: int) -> np.ndarray:
+    """The nearest pivot of each row; ties by a hash of the id, as are all rows if no two pivots were drawn."""
+    if pivots is None or len(pivots) < 2:
+        return (_mix64(ids.view(np.uint64) ^ np.uint64(level)) & np.uint64(1)).astype(np.int64)
+    sim = x @ _unit(pivots, dim).T
+    tied = sim >= sim.max(axis=1, keepdims=True) - 1e-6
+    turn = (_mix64(ids.view(np.uint64) ^ np.uint64(level)) % tied.sum(axis=1).astype(np.uint64)).astype(np.int64)
+    return (np.cumsum(tied, axis=1) == turn[:, None] + 1).argmax(axis=1)
+
+
+def _changed(old: DataFrame, new: DataFrame) -> int:
+    """Neighbour slots of ``new`` that ``old`` doesn't hold."""
+
+    def compare(batches):
+        for pdf in batches:
+            none = np.zeros(0, np.int64)
+            own = [np.setdiff1d(_i64([b]), none if a is None else _i64([a]), assume_unique=True).size for a, b in zip(pdf["before"], pdf["nbrs"], strict=True)]
+            yield pd.DataFrame({"n": [np.int64(sum(own))]})
+
+    both = new.select("id", "nbrs").join(old.select("id", F.col("nbrs").alias("before")), "id", "left")
+    return both.select("nbrs", "before").mapInPandas(compare, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def _merge(found: DataFrame, count: int) -> DataFrame:
@@ -213,10 +306,11 @@ def _introduce(codes: DataFrame, graph: DataFrame, dim: int, count: int, salt: i
 _STATE = "q long, q8 binary, ids binary, sims binary, done binary, seen binary"
 
 
-def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, count: int, beam: int = BEAM, rounds: int = 60) -> DataFrame:
+def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, count: int) -> DataFrame:
     """(q, id) of the best classes found for each class of ``queries(q)``, which are graph nodes."""
     edges = cut(_edges(graph))
     links = cut(edges.union(_sampled_reverse(edges, 2 * REVERSE, 99)).distinct())
+    beam = effort(count)[1]
     bucket = lambda df: _by_bucket(df, 500, count // 50, "q")[0]
 
     def begin(batches):
@@ -249,7 +343,7 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, cou
             out.append((r.q, r.q8, ids_[top].tobytes(), sims_[top].astype(np.float32).tobytes(), done[top].tobytes(), np.concatenate([seen, got]).tobytes()))
         return pd.DataFrame(out, columns=["q", "q8", "ids", "sims", "done", "seen"])
 
-    for _ in range(rounds):
+    while True:
         todo = cut(state.select("q", "ids", "done").mapInPandas(frontier, "q long, node long"))
         if todo.isEmpty():
             break

@@ -432,6 +432,31 @@ def test_nearest_small_and_odd(spark):
     assert ann.nearest(df.limit(0)).count() == 0 and ann.nearest(df.where("vec_id in (0, 50)")).count() == 2
 
 
+def test_large_blocks_are_divided_by_nearness(spark, monkeypatch):
+    # Groups of 32 inside one dense cluster: a hash deals a group over all parts, hyperplanes keep it together.
+    monkeypatch.setattr(ann, "BLOCK", 128)
+    rng = np.random.default_rng(9)
+    centre = np.repeat(rng.standard_normal((64, 16)), 32, axis=0) * 40 + 60
+    codes = np.clip(np.rint(centre + rng.standard_normal(centre.shape) * 2), -127, 127).astype(np.int8)
+    codes[:300] = codes[0]
+    dealt = spark.createDataFrame([(0, 5, i, v.tobytes()) for i, v in enumerate(codes)], "tree long, code long, id long, q8 binary")
+    part = {r.id: r.code for r in ann._divided(dealt, 16)[0].collect()}
+    assert sorted(part) == list(range(len(codes))) and max(Counter(part.values()).values()) <= 128
+    groups = [[part[i] for i in range(g * 32, g * 32 + 32)] for g in range(10, 64)]
+    assert np.mean([max(Counter(g).values()) / 32 for g in groups]) > 0.8
+
+
+def test_effort_grows_and_graph_settles(spark):
+    assert ann.effort(1000) == (ann.TREES, ann.BEAM) and all(x > y for x, y in zip(ann.effort(10**7), ann.effort(10**5), strict=True))
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 24))
+    q8 = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8)
+    unit = q8 / np.linalg.norm(q8.astype(float), axis=1, keepdims=True)
+    graph = ann.build_graph(spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(q8)], "id long, q8 binary"), len(q8), 24).collect()
+    hits = [len(set(np.frombuffer(r.nbrs, np.int64)[:10]) & set(np.argsort(-(unit @ unit[r.id]))[1:11])) for r in graph]
+    assert len(graph) == len(q8) and np.mean(hits) / 10 >= 0.97
+
+
 # --- token counts
 
 
