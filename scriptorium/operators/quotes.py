@@ -1,8 +1,11 @@
 """Quote verification: exact, normalised, near, not found, no canonical text.
 
-Quotes meet documents through shared probe words rather than a cross join: the
-rarest long word of each quote is looked up in the documents' words, and only
-those documents are searched.  A quote that names its document joins on the id.
+Quotes meet documents through shared probe words rather than a cross join: a
+document that holds a quote, or at least the first ``NEAR_SHARE`` of it, holds
+every inner word of that beginning as a whole word.  The longest of these is
+looked up in the documents' words, and only those documents are searched.
+Quotes whose beginning has no inner word are held against all documents, in
+blocks.  A quote that names its document joins on the id.
 """
 
 from __future__ import annotations
@@ -17,20 +20,42 @@ from scriptorium.functions import text as T
 NEAR_SHARE, CONTEXT = 0.5, 80
 #: Probe words up to which they are a literal of the plan.
 LITERAL_PROBES = 1000
+#: Quotes without a probe word that meet the documents in one pass.
+UNPROBED_BLOCK = 10_000
 
 
 def probes(quotes: DataFrame) -> DataFrame:
-    """``quotes(quote_id, quote)`` plus ``probe``: the longest inner word of the folded quote (its ends may be cut words)."""
-    words = T.words(T.fold_simple(F.col("quote")))
-    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(words)
+    """``quotes(quote_id, quote)`` plus ``head``, the first ``NEAR_SHARE`` of the folded quote, and ``probe``, its longest inner word (its ends may be cut words)."""
+    folded = T.fold_simple(F.col("quote"))
+    headed = quotes.withColumn("head", F.substring(folded, F.lit(1), F.ceil(F.length(folded) * NEAR_SHARE).cast("int")))
+    words = T.words(F.col("head"))
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    return quotes.withColumn("probe", longest["w"])
+    return headed.withColumn("probe", longest["w"])
 
 
 def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(quote_id, quote, doc_id, text) of documents that hold a quote's probe word."""
-    probed = probes(quotes)
-    wanted = probed.select("probe").where("probe is not null").distinct()
+    """(quote_id, quote, doc_id, text) of all documents that may hold a quote or the first ``NEAR_SHARE`` of it."""
+    probed = probes(quotes.select("quote_id", "quote"))
+    pairs = _by_probe(probed.where("probe is not null").drop("head"), docs)
+    return pairs.unionByName(_unprobed(probed.where("probe is null and quote is not null").drop("probe"), docs))
+
+
+def _unprobed(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """As :func:`candidates` for quotes without a probe word: every document is searched for each of them."""
+    blocks = -(-asked.count() // UNPROBED_BLOCK)
+    texts = docs.select("doc_id", "text", T.fold_simple(F.col("text")).alias("folded"))
+    held = F.contains("text", F.col("quote")) | (F.contains("folded", F.col("head")) & (F.col("head") != ""))
+    out = docs.sparkSession.createDataFrame([], asked.select("quote_id", "quote").join(docs.select("doc_id", "text").limit(0)).schema)
+    for n in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("quote_id", "quote"), F.lit(blocks)) == n)
+        out = out.unionByName(texts.join(F.broadcast(block), held).select("quote_id", "quote", "doc_id", "text"))
+    return out
+
+
+def _by_probe(probed: DataFrame, docs: DataFrame) -> DataFrame:
+    """As :func:`candidates` for quotes with a probe word, through the documents that hold it."""
+    wanted = probed.select("probe").distinct()
     own = T.words(T.fold_simple(F.col("text")))
     few = [r["probe"] for r in wanted.limit(LITERAL_PROBES + 1).collect()]
     if len(few) <= LITERAL_PROBES:
@@ -83,7 +108,7 @@ def exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def verify(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     """Per quote: quote_id, verdict, doc_id, char_start; exact before normalised, then the smallest doc_id."""
-    pairs = candidates(quotes, docs)
+    pairs = candidates(quotes.where(T.collapse_space(F.col("quote")) != ""), docs)  # an empty quote is never found
     best = F.min(F.struct("tier", "doc_id", "at")).alias("b")
     found = match(pairs).groupBy("quote_id").agg(best)
     rest = pairs.join(found, "quote_id", "left_anti").select("quote_id", "doc_id", longest_prefix("text", "quote").alias("p"))

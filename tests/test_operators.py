@@ -56,6 +56,19 @@ def test_quotes(spark):
     assert {r.quote_id: r.verdict for r in quotes.verify_in_document(named, docs).collect()}[5] == "no_canonical_text"
 
 
+def test_quotes_meet_every_document_that_may_hold_them(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog near the river bank."), (2, "Other words. §§ 12-14"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame(
+        [(1, "brown fox jumps over the lazy dog, unquestionably"), (2, "rown fo"), (3, "ROWN FO"), (4, "§§"), (5, "ick"), (6, "lazy cat"), (7, "lazy dots"), (8, None), (9, "zebra"), (10, " ")], "quote_id long, quote string"
+    )
+    want = {1: ("near", 1), 2: ("exact", 1), 3: ("normalized", 1), 4: ("exact", 2), 5: ("exact", 1), 6: ("near", 1), 7: ("near", 1), 8: ("not_found", None), 9: ("not_found", None), 10: ("not_found", None)}
+    for block, literal in ((10_000, 1000), (2, 0)):
+        monkeypatch.setattr(quotes, "UNPROBED_BLOCK", block)
+        monkeypatch.setattr(quotes, "LITERAL_PROBES", literal)
+        assert {r.quote_id: (r.verdict, r.doc_id) for r in quotes.verify(asked, docs).collect()} == want
+        assert {r.quote_id: r.doc_id for r in quotes.exact(asked, docs).collect()} == {2: 1, 4: 2, 5: 1, 10: 1}
+
+
 def test_fusion_ties_and_empty_lists(spark):
     a = spark.createDataFrame([("p1", 0.95), ("p2", 0.8), ("p3", 0.6)], "id string, score double")
     b = spark.createDataFrame([("p1", 0.9), ("p3", 0.85), ("p2", 0.4)], "id string, score double")
