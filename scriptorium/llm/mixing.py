@@ -117,15 +117,15 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def _flier(level: int, final: bool):
-    """The flight over one block of a source and, at the final level, its landing."""
+def _flier(level: int):
+    """The flight over one block of a source and, if that is the whole source, its landing."""
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "row", "doc_id"], ascending=[True, True, True], kind="stable")
         size = pdf["size"].to_numpy()
         seed = (int(pdf["block"].iloc[0]), level, int(size.sum()), int(pdf["row"].iloc[0]) & 0x7FFFFFFF)
-        p = flight(pdf["p"].to_numpy(), size, np.random.default_rng(seed), LANDING if final else 2)
-        return pdf.drop(columns="block").assign(p=land(p, size) if final else p)
+        p = flight(pdf["p"].to_numpy(), size, np.random.default_rng(seed), LANDING)
+        return pdf.drop(columns=["block", "blocks"]).assign(p=land(p, size) if pdf["blocks"].iloc[0] == 1 else p)
 
     return fly
 
@@ -154,8 +154,8 @@ def mix(docs: DataFrame) -> DataFrame:
         most = per.agg(F.max("blocks")).first()[0] or 0
         final = most <= 1
 
-        dealt = units.join(per, F.col("source").eqNullSafe(F.col("__source"))).withColumn("block", F.pmod(F.xxhash64("row", "doc_id", F.lit(level)), F.col("blocks"))).drop("__source", "blocks")
-        flown = cut(dealt.groupBy("source", "block").applyInPandas(_flier(level, final), _UNIT))
+        dealt = units.join(per, F.col("source").eqNullSafe(F.col("__source"))).withColumn("block", F.pmod(F.xxhash64("row", "doc_id", F.lit(level)), F.col("blocks"))).drop("__source")
+        flown = cut(dealt.groupBy("source", "block").applyInPandas(_flier(level), _UNIT))
         if final:
             settled.append(flown)
             break

@@ -391,6 +391,18 @@ def test_mixing(spark, name):
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
 
+def test_small_sources_land_fully_beside_a_large_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rng = random.Random(8)
+    data = [(i, "w " * rng.randint(3, 7), "en", "a", 1) for i in range(400)]
+    data += [(1000 * k + i, "w " * rng.randint(500, 3000), "en", s, 1) for k, s in enumerate("bcde", 1) for i in range(20)]
+    taken, target = Counter(), {}
+    for r in mixing.mix(spark.createDataFrame(data, DOCS)).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert {s: (taken[s], t) for s, t in target.items() if abs(taken[s] - t) > 60} == {}
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
