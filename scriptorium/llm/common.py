@@ -33,10 +33,16 @@ def scratch_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back (cuts lineage).
 
-    Unlike a local checkpoint the copy survives the loss of any executor.
+    Unlike a local checkpoint the copy survives the loss of any executor.  The
+    shuffle files of the write go when it is done, as nothing reads them again.
     """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    path, conf, name = scratch_dir(df.sparkSession), df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -61,6 +67,58 @@ def with_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.drop(name).withColumn(name, value) if name in df.columns else df.withColumn(name, value)
 
 
+class WordCache(dict):
+    """What a worker remembers of words, bounded by (estimated) bytes."""
+
+    #: Bytes of a dictionary entry besides its key's characters.
+    ENTRY = 180
+
+    def __init__(self, name: str, budget: int):
+        super().__init__()
+        self.name, self.budget, self.bytes = name, budget, 0
+
+    def cost(self, words) -> int:
+        return sum(map(len, words)) + self.ENTRY * len(words)
+
+    def clear(self) -> None:
+        super().clear()
+        self.bytes = 0
+
+    def remember(self, new: dict) -> dict:
+        """A mapping that holds what is known and ``new``; kept for later only as far as the budget goes."""
+        if not new:
+            return self
+        cost = self.cost(new)
+        if self.bytes + cost > self.budget:
+            return {**self, **new}
+        self.update(new)
+        self.bytes += cost
+        return self
+
+    def values_of(self, words: list, learn) -> dict:
+        """A mapping with every one of ``words``; ``learn`` gives the values of a list of new ones."""
+        missing = list(set(words).difference(self))
+        if missing and self.bytes + self.cost(missing) > self.budget:
+            self.clear()
+            missing = list(set(words))
+        return self.remember(dict(zip(missing, learn(missing), strict=True))) if missing else self
+
+
+#: Bytes that the remembered words of one worker may take.
+CACHE_BYTES = 48 << 20
+_CACHES: dict[str, WordCache] = {}
+
+
+def worker_cache(name: str, budget: int | None = None) -> WordCache:
+    """This worker's cache of that name; those of other operators, whose stages are over, are emptied."""
+    for other, cache in _CACHES.items():
+        if other != name:
+            cache.clear()
+    if name not in _CACHES or (budget and _CACHES[name].budget != budget):
+        _CACHES[name] = WordCache(name, budget or CACHE_BYTES)
+    return _CACHES[name]
+
+
 def text_bytes(name: str = "text") -> Column:
     """The column's UTF-8 bytes; null counts as the empty text."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches
+from scriptorium.llm.common import small_batches, worker_cache
 
 SPACE_SIGN = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -33,7 +33,7 @@ _COUNTERS: dict[str, UnigramCounter] = {}
 class UnigramCounter:
     """Piece counts of texts under ``vocabulary``, (piece, score) pairs."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]], limit: int = 500_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], budget: int | None = None):
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -44,7 +44,8 @@ class UnigramCounter:
         self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
         pieces = {p for p, _ in vocabulary}
         self.bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
-        self.limit, self.known = limit, {}
+        self.budget = budget
+        worker_cache("pieces").clear()  # of another vocabulary
 
     def word(self, text: str) -> int:
         """Pieces of the best path over one word."""
@@ -84,17 +85,7 @@ class UnigramCounter:
         words = text.replace(SPACE_SIGN, " ").split(" ")
         if len(words) > 1 and words[0] == "":
             words = words[1:]
-        known = self.known
-        missing = set(words).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set(words)
-            once = {}
-            for w in missing:
-                (known if len(w) <= 64 else once)[w] = self.word(SPACE_SIGN + w)
-            if once:
-                return sum(once[w] if w in once else known[w] for w in words)
+        known = worker_cache("pieces", self.budget).values_of(words, lambda new: [self.word(SPACE_SIGN + w) for w in new])
         return sum(map(known.__getitem__, words))
 
 
