@@ -1,25 +1,28 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search on it.
 
-Identical vectors form one class.  The graph starts from random hyperplane
-blocks (compared inside one task each; a block above ``BLOCK`` is divided by the
-hyperplanes between members drawn from it, until none is) and is improved by
-NN-descent: every vector introduces its neighbours and a bounded sample of its
-reverse neighbours to each other through Spark joins, and each keeps its best,
-until a round changes less than ``SETTLED`` of the neighbour slots.
-Queries are searched greedily, all in step: each keeps a beam of the best
-classes found, expands those not yet expanded, and stops when none is left.
-The beam's classes are then scored exactly, in double precision, on the
-original vectors.
-
-Inside the graph, vectors are 8-bit; that affects only which classes are looked
-at.  Measured recall at 5 is in the README.  The number of trees and the beam grow
-with each doubling of the number of classes.
+Identical vectors form one class.  The graph starts from random neighbours and
+is improved by NN-descent until a round changes less than ``SETTLED`` of the
+neighbour slots: every class introduces a sample of its neighbours and of the
+classes that have it as theirs to each other, through Spark joins.  Pairs of
+which neither side is new there have met before and are left out.  Each class
+keeps its ``K`` best.  Queries are searched greedily, all in step: each keeps a
+beam of the best classes found, expands those not yet expanded, and stops when
+none is left.  The beam's classes are then scored exactly, in double precision,
+on the original vectors.
+
+A round ships each sampled vector once to each of its at most
+``2 * (SAMPLE + REVERSE)`` introducers, in ``PASSES`` parts, of which only one
+is stored at a time; nothing else that is shipped holds a vector.  Inside the
+graph, vectors are 8-bit; that affects only which classes are looked at.
+Measured recall at 5 is in the README.  The beam grows with each doubling of
+the number of classes.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
-components take no part, nor do those of another length than most vectors have;
-a query with fewer than five candidates gets them all; rows repeated with one
-``vec_id`` count once; a null ``vec_id`` takes no part; an empty table gives an
-empty result; other columns are not read.
+components take no part; of vectors of different lengths, the shorter counts as
+filled up with zeros (inside the graph, only as many components are looked at
+as most vectors have); a query with fewer than five candidates gets them all;
+rows repeated with one ``vec_id`` count once; a null ``vec_id`` takes no part;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,172 +31,48 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm.common import cut, discard, small_batches
 
-K, TREES, BLOCK, BEAM, REVERSE = 16, 16, 1024, 192, 16
+#: Neighbours kept; neighbours and reverse neighbours introduced a round, of new and of old ones each; proposals a member takes from one introducer.
+K, SAMPLE, REVERSE, PROPOSALS = 28, 14, 14, 4
+#: Parts of a round; random dealings at the start, and neighbours taken from each.
+PASSES, DEALINGS = 2, 4
 #: Share of changed neighbour slots below which the graph is settled.
-SETTLED = 0.01
-#: Classes up to which ``TREES`` and ``BEAM`` hold, and what each doubling beyond adds.
-SMALL, MORE_TREES, MORE_BEAM = 1 << 14, 2, 48
-#: Members drawn from a block that is divided, about.
-PIVOTS = 16
-#: Classes per query that are scored exactly.
-FINAL = 48
-_GRAPH = "id long, nbrs binary, sims binary"
+SETTLED = 0.05
+#: The beam for up to ``SMALL`` classes, and what each doubling beyond adds.
+SMALL, BEAM, MORE_BEAM = 1 << 14, 112, 24
+#: Classes per query that are scored exactly, besides 4 for each neighbour asked for.
+FINAL = 32
+_GRAPH = "id long, q8 binary, nbrs binary, sims binary, fresh binary, worst float, added int"
+_FOUND = "id long, nbrs binary, sims binary"
 
 
-def effort(count: int) -> tuple[int, int]:
-    """(trees, beam) for ``count`` classes."""
-    doublings = math.ceil(max(0.0, math.log2(max(1, count) / SMALL)))
-    return TREES + MORE_TREES * doublings, BEAM + MORE_BEAM * doublings
+def beam_width(count: int) -> int:
+    """The beam for ``count`` classes."""
+    return BEAM + MORE_BEAM * math.ceil(max(0.0, math.log2(max(1, count) / SMALL)))
 
 
 def _i64(parts) -> np.ndarray:
     return np.frombuffer(b"".join(parts), dtype=np.int64)
 
 
-def _f32(parts) -> np.ndarray:
-    return np.frombuffer(b"".join(parts), dtype=np.float32)
-
-
 def _unit(parts, dim: int) -> np.ndarray:
     x = np.frombuffer(b"".join(parts), dtype=np.int8).reshape(-1, dim).astype(np.float32)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
-def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` most similar distinct others of each owner, in order."""
-    o = np.lexsort((-sim, other, owner))
-    owner, other, sim = owner[o], other[o], sim[o]
-    new = np.ones(len(owner), dtype=bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1])
-    owner, other, sim = owner[new], other[new], sim[new]
-    o = np.lexsort((other, -sim, owner))
-    owner, other, sim = owner[o], other[o], sim[o]
-    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
-    keep = rank < k
-    return owner[keep], other[keep], sim[keep]
-
-
-def _packed(owner: np.ndarray, other: np.ndarray, sim: np.ndarray) -> pd.DataFrame:
-    """Rows of ``_GRAPH`` from sorted owners."""
-    start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
-    stop = np.append(start[1:], len(owner))[: len(start)]
-    ids, sims = np.ascontiguousarray(other, dtype=np.int64), np.ascontiguousarray(sim, dtype=np.float32)
-    return pd.DataFrame({"id": owner[start], "nbrs": [ids[a:b].tobytes() for a, b in zip(start, stop, strict=True)], "sims": [sims[a:b].tobytes() for a, b in zip(start, stop, strict=True)]}, columns=["id", "nbrs", "sims"])
-
-
-def prepare(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): rows(vec_id, id, embedding) that take part, classes(id, vec_id) the six smallest ids of each."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
-        "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    )
-    usual = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    dim = usual["dim"] if usual else 0
-    rows = cut(rows.where(F.size("embedding") == dim).withColumn("id", F.xxhash64(F.sha2(F.col("embedding").cast("string"), 256))))
-    spread = rows.select("id", "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    for keys in (("id", "salt"), ("id",)):
-        spread = spread.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where("nth <= 6")
-    return rows, cut(spread.select("id", "vec_id", "nth"))
-
-
-def _by_bucket(df: DataFrame, per: int, count: int, key: str = "id") -> tuple[DataFrame, int]:
-    buckets = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // per)
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets))), buckets
-
-
-def build_graph(codes: DataFrame, count: int, dim: int, seed: int = 11) -> DataFrame:
-    """The neighbour graph of ``codes(id, q8)``: per class its K best, most similar first."""
-    spark = codes.sparkSession
-    bits = max(0, math.ceil(math.log2(max(1.0, count / (0.75 * BLOCK)))))
-    trees = effort(count)[0]
-    planes = np.random.default_rng(seed).standard_normal((trees, bits, dim)).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
-    def sums(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"total": [_unit(pdf["q8"], dim).sum(axis=0).astype(np.float64)]})
 
-    totals = codes.select("q8").mapInPandas(sums, "total array<double>").select(F.posexplode("total").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()
-    mean = np.zeros(dim, dtype=np.float32)
-    for r in totals:
-        mean[r["at"]] = r["v"] / count
+def _starts(owner: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
 
-    def blocks(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = _unit(pdf["q8"], dim) - mean
-            for t in range(trees):
-                code = ((x @ planes[t].T) > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                yield pd.DataFrame({"tree": np.int64(t), "code": code.astype(np.int64), "id": pdf["id"], "q8": pdf["q8"]})
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(), _unit(pdf["q8"], dim)
-        if len(ids) < 2:
-            return _packed(*(np.zeros(0, t) for t in (np.int64, np.int64, np.float32)))
-        sim = x @ x.T
-        np.fill_diagonal(sim, -2)
-        k = min(K, len(ids) - 1)
-        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-        owner = np.repeat(ids, k)
-        return _packed(*best_of(owner, ids[near].ravel(), np.take_along_axis(sim, near, 1).ravel(), k))
-
-    dealt, parts = _divided(codes.mapInPandas(blocks, "tree long, code long, id long, q8 binary"), dim)
-    found = dealt.groupBy("tree", "code").applyInPandas(compare, _GRAPH)
-    graph, n = _merge(found, count), 0
-    for part in parts:
-        discard(part)
-    while True:
-        better = _merge(graph.union(_introduce(codes, graph, dim, count, n)), count)
-        new = _changed(graph, better)
-        discard(graph)
-        graph, n = better, n + 1
-        if new <= SETTLED * K * count:
-            return graph
 
-
-def _divided(dealt: DataFrame, dim: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``dealt(tree, code, id, q8)`` with blocks of at most ``BLOCK`` rows, and the tables it is read from.
-
-    The rows of a larger block go to the nearest of some members drawn from it,
-    which are hyperplanes through dense places, until no block is larger.  Rows
-    tied between members (the same code) are dealt among these by a hash, so
-    every round divides every large block.
-    """
-    done, level = [], 0
-    parts = [dealt := cut(dealt)]
-    while True:
-        sizes = cut(dealt.groupBy("tree", "code").count())
-        large = cut(sizes.where(F.col("count") > BLOCK))
-        if large.isEmpty():
-            done.append(dealt)
-            break
-        done.append(dealt.join(large, ["tree", "code"], "left_anti"))
-        rest = cut(dealt.join(large, ["tree", "code"]))
-        drawn = F.pmod(F.xxhash64("id", "tree", F.lit(level)), F.col("count")) < PIVOTS
-        pivots = cut(rest.where(drawn).groupBy("tree", "code").agg(F.array_sort(F.collect_list(F.struct("id", "q8"))).alias("p")).select("tree", "code", F.col("p.q8").alias("pivots")))
-
-        def move(batches, level=level):
-            for pdf in batches:
-                code = pdf["code"].to_numpy().copy()
-                for (tree, old), at in pdf.groupby(["tree", "code"]).indices.items():
-                    ids, x = pdf["id"].to_numpy()[at], _unit(pdf["q8"].iloc[at], dim)
-                    code[at] = _child(old, level, _nearest_pivot(x, ids, pdf["pivots"].iloc[at[0]], dim, level))
-                yield pdf[["tree", "id", "q8"]].assign(code=code)[["tree", "code", "id", "q8"]]
-
-        dealt = cut(rest.join(pivots, ["tree", "code"], "left").select("tree", "code", "id", "q8", "pivots").mapInPandas(move, "tree long, code long, id long, q8 binary"))
-        discard(rest)
-        parts.append(dealt)
-        level += 1
-    out = done[0]
-    for part in done[1:]:
-        out = out.union(part)
-    return out, parts
+def _ranks(owner: np.ndarray) -> np.ndarray:
+    """Position of each row in its run of equal values."""
+    start = _starts(owner)
+    return np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -205,44 +84,172 @@ def _mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _child(code: int, level: int, pick: np.ndarray) -> np.ndarray:
-    """Codes of the parts of a block."""
-    base = _mix64(np.array([code], dtype=np.int64).view(np.uint64) ^ np.uint64(level + 1 << 32))
-    return _mix64(base ^ (pick.astype(np.uint64) + np.uint64(1))).view(np.int64)
+def best_of(owner: np.ndarray, other: np.ndarray, sim: np.ndarray, late: np.ndarray, k: int) -> np.ndarray:
+    """Indexes of the ``k`` most similar distinct others of each owner, in order; of repeats, one that isn't ``late`` stays."""
+    o = np.lexsort((late, other, owner))
+    a, b = owner[o], other[o]
+    new = np.ones(len(o), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    o = o[new]
+    o = o[np.lexsort((other[o], -sim[o], owner[o]))]
+    return o[_ranks(owner[o]) < k]
+
+
+def _runs(owner: np.ndarray, *values: np.ndarray) -> list:
+    """The owners of sorted ``owner``, and for each array the bytes of every owner's run."""
+    start = _starts(owner)
+    stop = np.append(start[1:], len(owner))[: len(start)].tolist()
+    out: list = [owner[start]]
+    for v in values:
+        data, size = np.ascontiguousarray(v).tobytes(), v.dtype.itemsize
+        out.append([data[size * a : size * b] for a, b in zip(start.tolist(), stop, strict=True)])
+    return out
+
+
+def _sampled(owner: np.ndarray, other: np.ndarray, fresh: np.ndarray, salt: int) -> np.ndarray:
+    """Which edges take part in a round: of each owner ``SAMPLE`` fresh and ``SAMPLE`` other ones, by a hash."""
+    turn = _mix64(owner.view(np.uint64) ^ _mix64(other.view(np.uint64) + np.uint64(salt)))
+    o = np.lexsort((turn, fresh, owner))
+    group = _mix64(owner.view(np.uint64) * np.uint64(2) + fresh.astype(np.uint64))[o]
+    take = np.zeros(len(owner), dtype=bool)
+    take[o] = _ranks(group) < SAMPLE
+    return take
+
+
+def prepare(vectors: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): rows(vec_id, id, embedding) that take part, classes(id, vec_id, nth) the ``k + 1`` smallest ids of each."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
+        "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
+    )
+    rows = cut(rows.withColumn("id", F.xxhash64(F.sha2(F.col("embedding").cast("string"), 256))))
+    spread = rows.select("id", "vec_id").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    for keys in (("id", "salt"), ("id",)):
+        spread = spread.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("nth") <= k + 1)
+    return rows, cut(spread.select("id", "vec_id", "nth"))
 
 
-def _nearest_pivot(x: np.ndarray, ids: np.ndarray, pivots, dim: int, level: int) -> np.ndarray:
-    """The nearest pivot of each row; ties by a hash of the id, as are all rows if no two pivots were drawn."""
-    if pivots is None or len(pivots) < 2:
-        return (_mix64(ids.view(np.uint64) ^ np.uint64(level)) & np.uint64(1)).astype(np.int64)
-    sim = x @ _unit(pivots, dim).T
-    tied = sim >= sim.max(axis=1, keepdims=True) - 1e-6
-    turn = (_mix64(ids.view(np.uint64) ^ np.uint64(level)) % tied.sum(axis=1).astype(np.uint64)).astype(np.int64)
-    return (np.cumsum(tied, axis=1) == turn[:, None] + 1).argmax(axis=1)
+def _by_bucket(df: DataFrame, per: int, count: int, key: str = "id") -> DataFrame:
+    buckets = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // per)
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
 
 
-def _changed(old: DataFrame, new: DataFrame) -> int:
-    """Neighbour slots of ``new`` that ``old`` doesn't hold."""
+def _random_neighbours(codes: DataFrame, dim: int, count: int) -> DataFrame:
+    """``_FOUND``: the next few classes in each of some random orders."""
+    each = -(-K // DEALINGS)
+    deals = codes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALINGS - 1)))).withColumn("order", F.xxhash64("id", "deal"))
 
-    def compare(batches):
-        for pdf in batches:
-            none = np.zeros(0, np.int64)
-            own = [np.setdiff1d(_i64([b]), none if a is None else _i64([a]), assume_unique=True).size for a, b in zip(pdf["before"], pdf["nbrs"], strict=True)]
-            yield pd.DataFrame({"n": [np.int64(sum(own))]})
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["order", "id"], kind="stable")
+        ids, x, n = pdf["id"].to_numpy(), _unit(pdf["q8"], dim), len(pdf)
+        steps = range(1, min(each, n - 1) + 1)
+        owner = np.repeat(ids, len(steps))
+        other = np.stack([np.roll(ids, -s) for s in steps], axis=1).ravel() if n > 1 else ids[:0]
+        sims = np.stack([(x * np.roll(x, -s, axis=0)).sum(axis=1) for s in steps], axis=1).ravel() if n > 1 else np.zeros(0, np.float32)
+        o = np.argsort(owner, kind="stable")
+        names, nbrs, sims = _runs(owner[o], other[o], sims[o].astype(np.float32))
+        return pd.DataFrame({"id": names, "nbrs": nbrs, "sims": sims})
 
-    both = new.select("id", "nbrs").join(old.select("id", F.col("nbrs").alias("before")), "id", "left")
-    return both.select("nbrs", "before").mapInPandas(compare, "n long").agg(F.sum("n")).first()[0] or 0
+    parts = max(1, count // 4096)
+    return deals.withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts))).groupBy("deal", "part").applyInPandas(follow, _FOUND)
 
 
-def _merge(found: DataFrame, count: int) -> DataFrame:
-    """One row per class, its K best of all rows found for it."""
+def _merge(graph: DataFrame, found: list[DataFrame], count: int, salt: int) -> DataFrame:
+    """The graph with each class's K best of what it has and what was found for it."""
+    rows = graph.select("id", "q8", "nbrs", "sims", "fresh")
+    for part in found:
+        rows = rows.union(part.select("id", F.lit(None).cast("binary").alias("q8"), "nbrs", "sims", F.lit(None).cast("binary").alias("fresh")))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        old = pdf["q8"].notna().to_numpy()
+        pdf = pd.concat([pdf[old], pdf[~old]])
+        held = int(old.sum())
         sizes = pdf["nbrs"].str.len().to_numpy() // 8
-        return _packed(*best_of(np.repeat(pdf["id"].to_numpy(), sizes), _i64(pdf["nbrs"]), _f32(pdf["sims"]), K))
+        owner, other = np.repeat(pdf["id"].to_numpy(), sizes), _i64(pdf["nbrs"])
+        sim = np.frombuffer(b"".join(pdf["sims"]), np.float32)
+        kept = int(sizes[:held].sum())
+        fresh, late = np.ones(len(owner), dtype=np.int8), np.zeros(len(owner), dtype=bool)
+        late[kept:] = True
+        fresh[:kept] = np.frombuffer(b"".join(pdf["fresh"].iloc[:held]), np.int8)
+        fresh[:kept][_sampled(owner[:kept], other[:kept], fresh[:kept], salt)] = 0
+        o = best_of(owner, other, sim, late, K)
+        names, nbrs, sims, flags, lates = _runs(owner[o], other[o], sim[o], fresh[o], late[o])
+        out = pd.DataFrame({"id": names, "nbrs": nbrs, "sims": sims, "fresh": flags, "worst": np.array([np.frombuffer(s[-4:], np.float32)[0] if len(s) >= 4 * K else -2 for s in sims], np.float32), "added": np.array([sum(x) for x in lates], np.int32)})
+        own = pdf.iloc[:held][["id", "q8"]].merge(out, on="id", how="left")
+        for c in ("nbrs", "sims", "fresh"):
+            own[c] = [b"" if isinstance(v, float) else v for v in own[c]]
+        own["worst"], own["added"] = own["worst"].fillna(-2).astype(np.float32), own["added"].fillna(0).astype(np.int32)
+        return own[["id", "q8", "nbrs", "sims", "fresh", "worst", "added"]]
+
+    return cut(_by_bucket(rows, 2000, count).groupBy("bucket").applyInPandas(merge, _GRAPH))
+
+
+def _introduce(graph: DataFrame, dim: int, count: int, salt: int, part: int) -> DataFrame:
+    """``_FOUND``: what the members that one part of the introducers brings together learn of each other."""
 
-    bucketed, _ = _by_bucket(found, 2000, count)
-    return cut(bucketed.groupBy("bucket").applyInPandas(merge, _GRAPH))
+    def spread(batches):
+        for pdf in batches:
+            sizes = pdf["nbrs"].str.len().to_numpy() // 8
+            owner, other, fresh = np.repeat(pdf["id"].to_numpy(), sizes), _i64(pdf["nbrs"]), np.frombuffer(b"".join(pdf["fresh"]), np.int8)
+            take = _sampled(owner, other, fresh, salt)
+            yield pd.DataFrame({"a": owner[take], "b": other[take], "new": fresh[take] > 0})
+
+    edges = graph.select("id", "nbrs", "fresh").mapInPandas(spread, "a long, b long, new boolean")
+    mine = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(PASSES)) == part
+    nth = F.row_number().over(Window.partitionBy("b", "new").orderBy(F.xxhash64("a", F.lit(salt)), "a"))
+    back = edges.where(mine("b")).withColumn("nth", nth).where(F.col("nth") <= REVERSE).select(F.col("b").alias("hub"), F.col("a").alias("member"), "new")
+    at = edges.where(mine("a")).select(F.col("a").alias("hub"), F.col("b").alias("member"), "new").union(back)
+    joined = at.join(graph.select(F.col("id").alias("member"), "q8", "worst"), "member").select("hub", "member", "new", "q8", "worst")
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["hub", "member", "new"], ascending=[True, True, False], kind="stable")
+        hub, ids = pdf["hub"].to_numpy(), pdf["member"].to_numpy()
+        once = np.ones(len(hub), dtype=bool)
+        once[1:] = (hub[1:] != hub[:-1]) | (ids[1:] != ids[:-1])
+        hub, ids, new, worst, x = hub[once], ids[once], pdf["new"].to_numpy()[once], pdf["worst"].to_numpy()[once], _unit(pdf["q8"].to_numpy()[once], dim)
+        start = _starts(hub)
+        rank, row = _ranks(hub), np.repeat(np.arange(len(start)), np.diff(np.append(start, len(hub))))
+        width = int(rank.max()) + 1
+        place = np.full((len(start), width), -1)
+        place[row, rank] = np.arange(len(hub))
+        owner, other, sims = [], [], []
+        for lo in range(0, len(place), 128):
+            at = place[lo : lo + 128]
+            some, own = x[at], at >= 0
+            sim = some @ some.transpose(0, 2, 1)
+            fit = own[:, :, None] & own[:, None, :] & (new[at][:, :, None] | new[at][:, None, :]) & (sim > worst[at][:, :, None])
+            fit[:, np.arange(width), np.arange(width)] = False
+            sim = np.where(fit, sim, np.float32(-9))
+            best = np.argpartition(-sim, PROPOSALS - 1, axis=2)[:, :, :PROPOSALS] if width > PROPOSALS else np.broadcast_to(np.arange(width), sim.shape)
+            value = np.take_along_axis(sim, best, 2)
+            h, i, j = np.nonzero(value > -9)
+            owner.append(at[h, i])
+            other.append(at[h, best[h, i, j]])
+            sims.append(value[h, i, j])
+        owner, other, sims = ids[np.concatenate(owner)], ids[np.concatenate(other)], np.concatenate(sims).astype(np.float32)
+        o = np.argsort(owner, kind="stable")
+        names, nbrs, values = _runs(owner[o], other[o], sims[o])
+        return pd.DataFrame({"id": names, "nbrs": nbrs, "sims": values})
+
+    return cut(_by_bucket(joined, 1000, count, "hub").groupBy("bucket").applyInPandas(meet, _FOUND))
+
+
+def build_graph(codes: DataFrame, count: int, dim: int, rounds: int | None = None) -> DataFrame:
+    """The neighbour graph of ``codes(id, q8)``: per class its K best, most similar first.
+
+    ``rounds`` ends the descent early (0: random neighbours only), to see what it brings.
+    """
+    nothing = codes.select("id", "q8", *[F.lit(b"").alias(c) for c in ("nbrs", "sims", "fresh")])
+    graph, n = _merge(nothing, [_random_neighbours(codes, dim, count)], count, 0), 0
+    while rounds is None or n < rounds:
+        n += 1
+        found = [_introduce(graph, dim, count, n, part) for part in range(PASSES)]
+        better = _merge(graph, found, count, n)
+        for old in (graph, *found):
+            discard(old)
+        graph = better
+        if (graph.agg(F.sum("added")).first()[0] or 0) <= SETTLED * K * count:
+            break
+    return graph
 
 
 def _edges(graph: DataFrame) -> DataFrame:
@@ -256,62 +263,24 @@ def _edges(graph: DataFrame) -> DataFrame:
     return graph.select("id", "nbrs").mapInPandas(spread, "a long, b long")
 
 
-def _sampled_reverse(edges: DataFrame, most: int, salt: int) -> DataFrame:
-    """(a, b): for each a about ``most`` of the classes that have it as a neighbour (by a hash of the edge)."""
-    indegree = cut(edges.groupBy("b").count()).withColumnRenamed("b", "__b")
-    chance = F.pmod(F.xxhash64("a", "b", F.lit(salt)), F.lit(1_000_000)) * F.col("count") < F.lit(1_000_000 * most)
-    return edges.join(indegree, F.col("b") == F.col("__b")).where(chance).select(F.col("b").alias("a"), F.col("a").alias("b"))
-
-
-def _introduce(codes: DataFrame, graph: DataFrame, dim: int, count: int, salt: int) -> DataFrame:
-    """One NN-descent round: what neighbours and reverse neighbours of each class learn of each other."""
+def _links(graph: DataFrame) -> DataFrame:
+    """(a, b): every edge, and up to 2K of those that lead to each class, taken backwards."""
     edges = cut(_edges(graph))
-    at = edges.union(_sampled_reverse(edges, REVERSE, salt)).union(codes.select("id", F.col("id").alias("b"))).distinct()
-
-    def known(batches):
-        # A member travels with its vector, its worst similarity and short hashes of the neighbours it has.
-        for pdf in batches:
-            if len(pdf):
-                worst = [np.frombuffer(s[-4:], np.float32)[0] if len(n) >= 8 * K else np.float32(-2) for s, n in zip(pdf["sims"], pdf["nbrs"], strict=True)]
-                short = [np.frombuffer(n, np.int64).astype(np.int32).tobytes() for n in pdf["nbrs"]]
-                yield pd.DataFrame({"member": pdf["id"], "q8": pdf["q8"], "worst": worst, "has": short})
-
-    members = cut(codes.join(graph, "id").mapInPandas(known, "member long, q8 binary, worst float, has binary"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("a", kind="stable")
-        hub, ids, worst = pdf["a"].to_numpy(), pdf["member"].to_numpy(), pdf["worst"].to_numpy()
-        x, has = _unit(pdf["q8"], dim), pdf["has"].tolist()
-        start = np.flatnonzero(np.concatenate([[True], hub[1:] != hub[:-1]]))
-        owner, other, sims = [], [], []
-        for lo, hi in zip(start, np.append(start[1:], len(hub)), strict=True):
-            sim = x[lo:hi] @ x[lo:hi].T
-            np.fill_diagonal(sim, -2)
-            i, j = np.nonzero(sim > worst[lo:hi, None])
-            owner.append(lo + i)
-            other.append(lo + j)
-            sims.append(sim[i, j])
-        owner, other, sims = np.concatenate(owner), np.concatenate(other), np.concatenate(sims)
-        have = np.frombuffer(b"".join(has), np.int32).astype(np.int64)
-        at_row = np.repeat(np.arange(len(ids)), [len(h) // 4 for h in has])
-        mark = lambda row, short: row.astype(np.int64) << 32 | (short & 0xFFFFFFFF)
-        fresh = ~np.isin(mark(owner, ids[other].astype(np.int32).astype(np.int64)), mark(at_row, have))
-        return _packed(*best_of(ids[owner[fresh]], ids[other[fresh]], sims[fresh], K))
-
-    joined = at.join(members, F.col("b") == F.col("member")).select("a", "member", "q8", "worst", "has")
-    bucketed, _ = _by_bucket(joined, 500, count, "a")
-    return bucketed.groupBy("bucket").applyInPandas(meet, _GRAPH)
+    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(99)), "a"))
+    back = edges.withColumn("nth", nth).where(F.col("nth") <= 2 * K).select(F.col("b").alias("a"), F.col("a").alias("b"))
+    links = cut(edges.union(back).distinct())
+    discard(edges)
+    return links
 
 
 _STATE = "q long, q8 binary, ids binary, sims binary, done binary, seen binary"
 
 
-def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, count: int) -> DataFrame:
+def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, count: int, final: int = FINAL) -> DataFrame:
     """(q, id) of the best classes found for each class of ``queries(q)``, which are graph nodes."""
-    edges = cut(_edges(graph))
-    links = cut(edges.union(_sampled_reverse(edges, 2 * REVERSE, 99)).distinct())
-    beam = effort(count)[1]
-    bucket = lambda df: _by_bucket(df, 500, count // 50, "q")[0]
+    links = _links(graph)
+    beam = beam_width(count)
+    bucket = lambda df: _by_bucket(df, 500, count // 50, "q")
 
     def begin(batches):
         for pdf in batches:
@@ -356,40 +325,47 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, cou
 
     def leaders(batches):
         for pdf in batches:
-            ids = [np.frombuffer(i, np.int64)[:FINAL] for i in pdf["ids"]]
+            ids = [np.frombuffer(i, np.int64)[:final] for i in pdf["ids"]]
             yield pd.DataFrame({"q": np.repeat(pdf["q"].to_numpy(), [len(t) for t in ids]), "id": np.concatenate([np.zeros(0, np.int64), *ids])})
 
+    discard(links)
     return cut(state.select("q", "ids").mapInPandas(leaders, "q long, id long"))
 
 
-def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+def _dot(a: Column, b: Column) -> Column:
+    """Of arrays of different lengths, the shorter counts as filled up with zeros."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+
+def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rounds: int | None = None) -> DataFrame:
     """For each vec_id divisible by ``every``: its ``k`` nearest others found, (query_id, rank, vec_id, score)."""
-    spark = vectors.sparkSession
-    small_batches(spark, "16m")
-    rows, classes = prepare(vectors)
-    one = rows.select("id", "embedding").dropDuplicates(["id"])
+    small_batches(vectors.sparkSession, "16m")
+    rows, classes = prepare(vectors, k)
+    exact = cut(rows.select("id", "embedding").dropDuplicates(["id"]))
+    usual = exact.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    dim = usual["dim"] if usual else 1
 
     def shrink(batches):
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["embedding"].to_list())
-                x /= np.abs(x).max(axis=1, keepdims=True)
+                x = np.zeros((len(pdf), dim))
+                for row, v in zip(x, pdf["embedding"], strict=True):
+                    row[: len(v)] = v[:dim]
+                x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), np.finfo(float).tiny)
                 yield pd.DataFrame({"id": pdf["id"], "q8": [v.tobytes() for v in np.rint(x * 127).astype(np.int8)]})
 
-    exact = cut(one)
     codes = cut(exact.mapInPandas(shrink, "id long, q8 binary"))
-    head = exact.select(F.size("embedding").alias("dim")).first()
-    dim, count = (head["dim"] if head else 1), codes.count()
+    count = codes.count()
     asked = cut(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")).distinct())
-    graph = build_graph(codes, count, dim)
-    found = search(codes, graph, asked.select("q").distinct(), dim, count)
-    unit = exact.select("id", "embedding")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    graph = build_graph(codes, count, dim, rounds)
+    found = search(codes, graph, asked.select("q").distinct(), dim, count, FINAL + 4 * k)
+    discard(graph)
+    u, v = F.col("u"), F.col("v")
     pairs = (
-        found.join(unit, "id").withColumnRenamed("embedding", "v")
-        .join(unit.select(F.col("id").alias("q"), F.col("embedding").alias("u")), "q")
-        .select("q", "id", (dot(F.col("u"), F.col("v")) / (F.sqrt(dot(F.col("u"), F.col("u"))) * F.sqrt(dot(F.col("v"), F.col("v"))))).alias("score"))
+        found.join(exact.withColumnRenamed("embedding", "v"), "id")
+        .join(exact.select(F.col("id").alias("q"), F.col("embedding").alias("u")), "q")
+        .select("q", "id", (_dot(u, v) / (F.sqrt(_dot(u, u)) * F.sqrt(_dot(v, v)))).alias("score"))
     )
-    scored = cut(pairs).join(classes.where(F.col("nth") <= k + 1).select("id", "vec_id"), "id").join(asked, "q").where("vec_id <> query_id")
+    scored = cut(pairs).join(classes.select("id", "vec_id"), "id").join(asked, "q").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
