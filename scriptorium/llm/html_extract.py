@@ -1,43 +1,57 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Each page becomes text lines (one per block) with the region its markup
-declares: dropped (menus, headers, footers, asides, forms, scripts, notices,
-adverts, comments), main (article or main element) or neutral.  Pages are sorted by
-host and URL path, so each meets the nearest URL of its host on either side;
-the lines are aligned by longest common subsequence, and shared lines, the
-template, are deleted:
-
-* neutral lines that either neighbour shares go, unless the neighbour is a copy
-  of the page (``COPY`` of its text shared), from which nothing can be learned;
-* lines inside a declared main element go only in a run that both neighbours
-  share at its very beginning or end, of lines up to ``SIGN_OFF`` characters
-  (share bars, sign-offs), so that what articles have in common stays.
-
-A page with main lines yields only those; another yields its neutral lines.
+Each page becomes text lines, one per block.  Pages are ordered by host and URL
+path, so each meets the nearest page of its host on either side whose html
+differs; the lines are aligned by longest common subsequence, and lines that
+are shared, the template, are deleted:
+
+* lines that both neighbours share go, and lines that the only neighbour shares;
+* lines that one of two neighbours shares go too, unless they are most of what
+  is left, which makes that neighbour a near copy rather than a page with the
+  same template;
+* inside an article that markup declares, lines go only in a run that both
+  neighbours share at its very beginning or end, of lines up to ``SIGN_OFF``
+  characters (share bars, sign-offs), and only if neither neighbour shares more
+  than half of the article, so that what articles have in common stays.
+
 If differencing leaves nothing of a page, its lines before differencing stay.
 
+Markup decides only what differencing can't see, as it may differ from page to
+page: elements that are never article text (scripts, menus, footers, asides,
+buttons, hidden ones) are left out, and so are forms and elements whose class,
+id or role names a menu, notice, advert or comment list, unless hardly anything
+or no declared article is left without them.  Declared articles (article or
+main element) are taken alone if they hold ``MAIN_SHARE`` of what is left or
+``MAIN_CHARS`` characters; next to shorter ones (cards), the other lines stay.
+
+The order is cut into ranges.  Each range gets the pages just outside it that
+its first and last pages need, so results don't depend on how pages are dealt.
+
 Defined results: null html gives the empty text; a page whose host has no other
-page is judged by markup alone; an unparsable url counts as a host without
-neighbours' help (the empty host); repeated rows are copies of each other; an
-empty table gives an empty result; other input columns are not read.
+page is judged by markup alone; an unparsable url belongs to the empty host;
+repeated rows are copies of each other and get the same text; an empty table
+gives an empty result; other input columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches, text_bytes
+from scriptorium.llm.common import cut, small_batches
 
 SIGN_OFF = 60
-DROP, NEUTRAL, MAIN = 0, 1, 2
-#: Share of a page's text, shared with a neighbour, above which that is a copy.
-COPY = {NEUTRAL: 0.9, MAIN: 0.5}
+MAIN_SHARE, MAIN_CHARS = 0.2, 250
+NEUTRAL, MAIN = 1, 2
+#: Bytes of html in a range, and how many ranges there are at most (larger inputs get larger ranges, which are streamed).
+RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -48,55 +62,74 @@ _TOKEN = re.compile(
 #: HTML elements by their role.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROPPED = set("nav footer aside form menu dialog button fieldset input".split())
+_NEVER = set("nav footer aside menu dialog button".split())
+_FORM = {"form", "fieldset"}
 _MAIN = {"article", "main"}
-_ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-#: Words in class, id or role that declare a part of a page other than its article.
-_BOILER = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|topbar|footer|foot|copyright|legal|"
-    r"side-?bar|aside|widget|related|recommend\w*|share|sharing|social|comments?|disqus|respond|reply|replies|discussion|reviews?|cookies?|consent|gdpr|notice|alert|"
-    r"newsletter|subscribe|signup|login|modal|popup|overlay|form|search|pagination|pager|toolbar|skip|tags|hidden|navigation|complementary|contentinfo)(?:$|[\s_\d-])"
+#: Words that name a part of a page other than its article, and words that may stand beside them in such a name.
+_PARTS = set(
+    "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead topbar footer sidebar widget related recommended "
+    "share sharing social comment comments disqus respond replies cookie cookies consent gdpr notice alert newsletter subscribe signup login modal popup overlay search pagination pager toolbar "
+    "skip complementary contentinfo".split()
 )
+_HEADS = {"header", "head", "heading"}
+_BESIDE = set("section area list container wrapper wrap box block bar slot unit top bottom left right site page global primary secondary inner outer links link form thread items item group the".split())
+_ATTR = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"\s+")
-
-
-def _declares(tag: str, attr: str, inside_main: bool) -> int | None:
-    """The region that an element opens, if it declares one."""
-    if tag in _DROPPED or (tag == "header" and not inside_main):
-        return DROP
-    if attr:
-        for name, a, b, c in _ATTR.findall(attr):
-            name, value = name.lower(), a or b or c
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"(?i)display\s*:\s*none", value)):
-                return DROP
-            if name in ("class", "id", "role") and _BOILER.search(value):
-                return None if tag in _MAIN or tag in ("html", "body") else DROP
-            if (name == "role" and value.lower() in ("main", "article")) or (name == "itemprop" and value.lower() == "articlebody"):
-                return MAIN
-    return MAIN if tag in _MAIN else None
-
-
-def page_lines(page: str) -> list[tuple[int, str]]:
-    """(region, line) of each block of a page, in order, white space collapsed and references decoded."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
-    region, pos, parts = NEUTRAL, 0, []
+_NAME = re.compile(r"[-_\d]+")
+
+
+def _names_a_part(value: str, inside_main: bool) -> bool:
+    """Whether a class, id or role value has a name that is made of such words only."""
+    for name in value.lower().split():
+        words = set(filter(None, _NAME.split(name)))
+        if words & _PARTS and words <= _PARTS | _BESIDE | _HEADS:
+            return True
+        if not inside_main and words & _HEADS and words & {"site", "page", "global"} and words <= _BESIDE | _HEADS:
+            return True
+    return False
+
+
+def _declares(tag: str, attr: str, inside_main: bool) -> str | None:
+    """What an element is declared to be: never (article text), part (most likely none), main, or nothing."""
+    if tag in _NEVER or (tag == "header" and not inside_main):
+        return "never"
+    found = "part" if tag in _FORM else None
+    for name, a, b, c in _ATTR.findall(attr) if attr else ():
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"(?i)display\s*:\s*none", value)):
+            return "never"
+        if name in ("class", "id", "role") and tag not in _MAIN and tag not in ("html", "body") and _names_a_part(value, inside_main):
+            found = "part"
+        if not found and ((name == "role" and value.lower() in ("main", "article")) or (name == "itemprop" and value.lower() == "articlebody")):
+            found = "main"
+    return found or ("main" if tag in _MAIN else None)
+
+
+Line = tuple[int, str]
+
+
+def page_lines(page: str) -> list[Line]:
+    """(region, line) of each block of a page that may be article text, in order, white space collapsed and references decoded."""
+    out: list[tuple[int, tuple[int, ...], str]] = []
+    stack: list[tuple[str, tuple]] = []
+    state: tuple = (NEUTRAL, (), False)  # region, the parts around, whether inside what is never article text
+    parts_seen, pos, pieces = 0, 0, []
 
     def flush() -> None:
-        if parts:
-            line = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+        if pieces:
+            line = "" if state[2] else _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
             if line:
-                out.append((region, line))
-            parts.clear()
+                out.append((state[0], state[1], line))
+            pieces.clear()
 
     end = len(page)
     while pos < end:
         m = _TOKEN.search(page, pos)
         if m is None:
-            parts.append(page[pos:])
+            pieces.append(page[pos:])
             break
         if m.start() > pos:
-            parts.append(page[pos : m.start()])
+            pieces.append(page[pos : m.start()])
         pos = m.end()
         raw, tag = m["raw"], m["tag"]
         if raw:
@@ -117,24 +150,42 @@ def page_lines(page: str) -> list[tuple[int, str]]:
         if m["close"]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    if stack[depth][1] != region and tag in _INLINE:
+                    if stack[depth][1] != state and tag in _INLINE:
                         flush()
-                    region = stack[depth][1]
+                    state = stack[depth][1]
                     del stack[depth:]
                     break
             continue
         if tag in _VOID or (m["attr"] or "").endswith("/"):
             continue
-        found = _declares(tag, m["attr"], region == MAIN)
+        found = _declares(tag, m["attr"], state[0] == MAIN)
         if tag in ("p", "li", "b", "i", "span", "a", "td", "tr", "option", "dt", "dd") and found is None:
             continue  # often left open, and of no consequence
-        stack.append((tag, region))
-        if found is not None and region != DROP and not (region == MAIN and found == MAIN):
+        stack.append((tag, state))
+        if found:
             if tag in _INLINE:
                 flush()
-            region = found
+            if found == "part":
+                parts_seen += 1
+            state = (MAIN if found == "main" else state[0], (*state[1], parts_seen) if found == "part" else state[1], state[2] or found == "never")
     flush()
-    return out
+    return _without_parts(out, parts_seen)
+
+
+def _without_parts(lines: list[tuple[int, tuple[int, ...], str]], parts: int) -> list[Line]:
+    """Leave out the lines of declared parts, outer ones first, but for parts that hold the article."""
+    for part in range(1, parts + 1):
+        sizes = {(inside, main): 0 for inside in (True, False) for main in (True, False)}
+        for region, around, text in lines:
+            # What is outside counts only if no other part is around it.
+            if part in around or not [x for x in around if x > part]:
+                sizes[(part in around, region == MAIN)] += len(text)
+        inside, outside = (sizes[(i, True)] + sizes[(i, False)] for i in (True, False))
+        if not inside:
+            continue
+        holds = not sizes[(False, True)] and (sizes[(True, True)] > 0 or 9 * outside < inside)
+        lines = [(r, tuple(x for x in around if x != part), t) if holds else (r, around, t) for r, around, t in lines if holds or part not in around]
+    return [(r, t) for r, _, t in lines]
 
 
 def shared_lines(a: list[str], b: list[str]) -> np.ndarray:
@@ -217,68 +268,168 @@ def _row_lengths(a: list[str], b: list[str]) -> list[int]:
     return out
 
 
-def main_text(lines: list[tuple[int, str]], neighbours: list[list[tuple[int, str]]]) -> str:
+def _template(texts: list[str], hits: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(gone, both): which lines differencing deletes, and which both of two neighbours share."""
+    nothing = np.zeros(len(texts), dtype=bool)
+    if not hits:
+        return nothing, nothing
+    if len(hits) == 1:
+        return hits[0], nothing
+    sizes = np.array([len(t) for t in texts])
+    both = hits[0] & hits[1]
+    gone = both.copy()
+    for hit in hits:
+        only = hit & ~both
+        if 2 * sizes[only].sum() < sizes[~both].sum():
+            gone |= only
+    return gone, both
+
+
+def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
     """The lines of a page that are its article, joined by one space."""
-    wanted = MAIN if any(r == MAIN for r, _ in lines) else NEUTRAL
-    own = [x for x in lines if x[0] != DROP]
-    texts = [t for _, t in own]
-    regions = np.array([r for r, _ in own], dtype=np.int8)
+    texts = [t for _, t in lines]
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    keep = regions == wanted
-    votes = np.zeros(len(own), dtype=np.int64)
-    learned = 0
-    for other in neighbours:
-        hit = shared_lines(texts, [t for r, t in other if r != DROP])
-        if sizes[hit & keep].sum() <= COPY[wanted] * sizes[keep].sum():
-            votes += hit
-            learned += 1
-    if wanted == MAIN:
-        both = np.flatnonzero(keep)
-        agreed = (votes[both] >= 2) & (sizes[both] <= SIGN_OFF) if learned == 2 else np.zeros(len(both), dtype=bool)
-        edge = np.logical_and.accumulate(agreed) | np.logical_and.accumulate(agreed[::-1])[::-1]
-        gone = np.zeros(len(own), dtype=bool)
-        gone[both[edge]] = True
-    else:
-        gone = votes >= 1
-    left = keep & ~gone
-    return " ".join(t for t, k in zip(texts, left if left.any() else keep, strict=True) if k)
+    main = np.array([r == MAIN for r, _ in lines], dtype=bool)
+    hits = [shared_lines(texts, [t for _, t in n]) for n in neighbours if n != lines]
+    gone, both = _template(texts, hits)
+    inside = np.flatnonzero(main)
+    # From near copies nothing can be learned about the article.
+    strange = all(2 * sizes[hit & main].sum() <= sizes[main].sum() for hit in hits)
+    agreed = both[inside] & (sizes[inside] <= SIGN_OFF) & strange
+    edge = np.logical_and.accumulate(agreed) | np.logical_and.accumulate(agreed[::-1])[::-1]
+    if not edge.all():
+        gone = gone & ~main
+        gone[inside[edge]] = True
+    elif main.any():
+        gone = gone & ~main
+    left = ~gone
+    held = sizes[left & main].sum()
+    if held and held >= min(MAIN_CHARS, MAIN_SHARE * sizes[left].sum()):
+        left &= main
+    return " ".join(t for t, k in zip(texts, left if left.any() else ~left, strict=True) if k)
+
+
+_KEY = ["host", "path", "page_id", "digest"]
+
+
+def _order(key) -> tuple:
+    """A page's place in the order: nulls first, as Spark sorts them, and strings by their bytes."""
+    host, path, page_id, digest = key
+    return host.encode(), path.encode(), (0, 0) if page_id is None else (1, page_id), digest
+
+
+def _ranges(keys: DataFrame, count: int) -> tuple[list[tuple], DataFrame]:
+    """(first places of the ranges, halo): halo has a row per range and page outside it that its pages need.
+
+    A range is summed up by its first and last page, and the nearest pages to
+    these of the same host with other html; the driver sees these four keys of each range.
+    """
+
+    def ends(batches):
+        first = second = last = before = None
+        for pdf in batches:
+            for key in zip(*(pdf[c] for c in _KEY), strict=True):
+                key = (key[0], key[1], None if pd.isna(key[2]) else int(key[2]), int(key[3]))
+                if first is None:
+                    first = key
+                if second is None and key[0] == first[0] and key[3] != first[3]:
+                    second = key
+                if last is not None and key[0] != last[0]:
+                    before = None
+                elif last is not None and key[3] != last[3]:
+                    before = last
+                last = key
+        if first is not None:
+            pick = lambda k: None if k is None else {"host": k[0], "path": k[1], "page_id": k[2], "digest": k[3]}
+            yield pd.DataFrame({"first": [pick(first)], "second": [pick(second)], "last": [pick(last)], "before": [pick(before)]})
+
+    place = "struct<host:string,path:string,page_id:long,digest:long>"
+    summed = keys.repartitionByRange(count, *_KEY).sortWithinPartitions(*_KEY).mapInPandas(ends, f"first {place}, second {place}, last {place}, before {place}")
+    found = sorted(((*(None if r[c] is None else tuple(r[c]) for c in ("first", "second", "last", "before")),) for r in summed.collect()), key=lambda r: _order(r[0]))
+    halo: list[tuple] = []
+    for sign, run in ((1, range(len(found))), (-1, range(len(found) - 1, -1, -1))):
+        # near: the page next to the range under way; far: the nearest of that host with other html.
+        near = far = None
+        for i in run:
+            first, second, last, before = found[i]
+            head, head2, tail, tail2 = (first, second, last, before) if sign > 0 else (last, before, first, second)
+            if near is not None and near[0] == head[0]:
+                halo += [(i, *near)] + ([(i, *far)] if far is not None else [])
+            if tail2 is None and head[0] == tail[0] and near is not None and near[0] == tail[0]:
+                # The range is one run of copies: look beyond it.
+                tail2 = near if near[3] != tail[3] else far
+            near, far = tail, tail2
+    return [r[0] for r in found], keys.sparkSession.createDataFrame(halo, "part int, host string, path string, page_id long, digest long").distinct()
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (its main text), n_chars (code points)."""
-    small_batches(pages.sparkSession, "8m")
+    spark = pages.sparkSession
+    small_batches(spark, "8m")
     url = F.coalesce("url", F.lit(""))
     bare = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.lower(F.substring_index(F.substring_index(F.substring_index(bare, "/", 1), "?", 1), "#", 1))
     path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?#]*([^?#]*)", 1), r"(?:/|\.html?)$", "")
-    located = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), text_bytes("html").alias("html"))
-    near = located.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    html = F.coalesce("html", F.lit(""))
+    located = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(html).alias("digest"), html.cast("binary").alias("html"))
+    keys = cut(located.select(*_KEY, F.octet_length("html").cast("long").alias("bytes")))
+    total = keys.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_BYTES + 1))
+    firsts, halo = _ranges(keys.select(*_KEY), parts)
+    bounds = spark.sparkContext.broadcast([_order(k) for k in firsts])
+
+    @F.pandas_udf("int")
+    def part_of(host: pd.Series, path: pd.Series, page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        known = bounds.value
+        return pd.Series([max(0, bisect.bisect_right(known, _order((h, p, None if pd.isna(i) else int(i), d))) - 1) for h, p, i, d in zip(host, path, page_id, digest, strict=True)], dtype="int32")
+
+    own = located.withColumn("part", part_of(*_KEY)).withColumn("outside", F.lit(False))
+    # Four rows a range at most: the driver made them.
+    outside = located.join(F.broadcast(halo.select(F.col("part"), *[F.col(c).alias(f"__{c}") for c in _KEY])), (F.col("digest") == F.col("__digest")) & (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")) & F.col("page_id").eqNullSafe(F.col("__page_id")))
+    near = own.unionByName(outside.drop(*[f"__{c}" for c in _KEY]).withColumn("outside", F.lit(True)))
 
     def differ(batches):
-        # A page is settled once the next one in order is known; two pages are held at a time.
-        last = held = None
-        out = []
-
-        def settle(nxt):
-            around = [x[3] for x in (last, nxt) if x is not None and x[2] == held[2]]
-            out.append((held[0], held[1], main_text(held[3], around)))
-
-        def emit():
-            frame = pd.DataFrame(out, columns=["page_id", "url", "text"])
-            frame["page_id"], frame["n_chars"] = frame["page_id"].astype("Int64"), frame["text"].str.len().astype("Int64")
-            out.clear()
-            return frame
-
-        for pdf in batches:
-            for page_id, link, site, data in zip(pdf["page_id"], pdf["url"], pdf["host"], pdf["html"], strict=True):
-                page = (page_id, link, site, page_lines(data.decode("utf-8", "replace")))
-                if held is not None:
-                    settle(page)
-                last, held = held, page
-            if out:
-                yield emit()
-        if held is not None:
-            settle(None)
-            yield emit()
-
-    return near.select("page_id", "url", "host", "html").mapInPandas(differ, "page_id long, url string, text string, n_chars long")
+        def rows():
+            for pdf in batches:
+                for row in zip(*(pdf[c] for c in ("part", "host", "digest", "outside", "page_id", "url", "html")), strict=True):
+                    yield row
+
+        # Runs of copies: a run is settled once the next one in order is known.
+        out: list[tuple] = []
+        last = held = None  # (part and host, lines, rows of the run)
+        for (where, _), run in groupby(rows(), key=lambda r: ((r[0], r[1]), r[2])):
+            lines, wanted = None, []
+            for row in run:
+                if lines is None:
+                    lines = page_lines(row[6].decode("utf-8", "replace"))
+                if not row[3]:
+                    wanted.append((row[4], row[5]))
+            now = (where, lines, wanted)
+            yield from _settle(last, held, now, out)
+            last, held = held, now
+        yield from _settle(last, held, None, out)
+        if out:
+            yield _frame(out)
+
+    shuffled = near.repartition(parts, "part").sortWithinPartitions("part", *_KEY, "url")
+    return shuffled.select("part", "host", "digest", "outside", "page_id", "url", "html").mapInPandas(differ, "page_id long, url string, text string, n_chars long")
+
+
+def _settle(last, held, now, out: list[tuple]):
+    """Add the texts of the run ``held`` to ``out``, and yield that as a frame when it is long enough."""
+    if held is None:
+        return
+    where, lines, wanted = held
+    if wanted:
+        text = main_text(lines, [x[1] for x in (last, now) if x is not None and x[0] == where])
+        for page_id, url in wanted:
+            out.append((page_id, url, text))
+            if len(out) >= 2000:
+                yield _frame(out)
+
+
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(out, columns=["page_id", "url", "text"])
+    frame["page_id"], frame["n_chars"] = frame["page_id"].astype("Int64"), frame["text"].str.len().astype("Int64")
+    out.clear()
+    return frame
