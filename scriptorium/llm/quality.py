@@ -7,9 +7,11 @@ of word shapes (case, closing punctuation, length, same as the word before), so
 that patterns carry over to words never seen in training.  Margins become
 scores by a logistic fit on training rows set aside for it.
 
-Learning uses a bounded sample of labelled rows (``max_train``, chosen by a
-hash of ``doc_id``; only ids and labels of that sample are broadcast); scoring
-covers every row and whole texts.
+Learning uses a bounded sample of labelled rows: about ``max_train`` labels,
+chosen by a hash of ``doc_id`` (only ids and labels of that sample are
+broadcast), and of their documents, in the order of another hash, at most
+``2 * max_train`` rows whose features fill ``max_bytes``.  Scoring covers every
+row and whole texts.
 
 Defined results: null and empty texts have no n-gram, so the bias alone scores
 them; labels that are null, not 0 or 1, or conflicting for one document are not
@@ -28,14 +30,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import small_batches, text_bytes
+from scriptorium.llm.common import cut, discard, small_batches, text_bytes, worker_cache
 
-#: Labelled rows that a fit uses at most.
-MAX_TRAIN = 8000
+#: Labelled rows that a fit uses at most, about, and the bytes of their features.
+MAX_TRAIN, MAX_TRAIN_BYTES = 8000, 96 << 20
 BUCKETS = 1 << 18
 THRESHOLD = 0.3
-_WORDS: dict[bytes, int] = {}
-_WORD_LIMIT = 400_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -71,14 +71,7 @@ def features(data: bytes) -> np.ndarray:
     words = data.split()
     if not words:
         return np.zeros(0, dtype=np.int32)
-    known = _WORDS
-    missing = set(words).difference(known)
-    if missing:
-        if len(known) > _WORD_LIMIT:
-            known.clear()
-            missing = set(words)
-        for w in missing:
-            known[w] = _word_code(w)
+    known = worker_cache("quality").values_of(words, lambda new: list(map(_word_code, new)))
     code = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     shape = code & np.uint64(0xFFF)
     word = code >> np.uint64(12)
@@ -190,8 +183,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     return Model(w, ratio, *_logistic(_margins([x for x, c in zip(rows, check, strict=True) if c], w, ratio), y[check]))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most about ``max_train`` labelled rows, none of them held out."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
+    """Fit on a bounded sample of labelled rows (see above), none of them held out."""
     small_batches(docs.sparkSession, "8m")
     usable = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -206,12 +199,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [features(d).tobytes() for d in pdf["data"]]})
 
-    rows = (
+    # In the order of a hash: the fit doesn't depend on how Spark dealt the rows.
+    order = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = cut(
         docs.select("doc_id", text_bytes().alias("data")).join(F.broadcast(usable), F.col("doc_id") == F.col("__labelled"))
-        .select("doc_id", "y", "data").mapInPandas(rows_of, "doc_id long, y int, x binary").toArrow().to_pandas()
+        .select("doc_id", "y", "data").mapInPandas(rows_of, "doc_id long, y int, x binary").withColumn("order", order)
     )
-    # In the order of a hash: the fit doesn't depend on how Spark dealt the rows.
-    rows["order"] = [zlib.crc32(str(i).encode()) for i in rows["doc_id"]]
+    sizes = rows.select("order", F.octet_length("x").alias("bytes")).orderBy("order", "doc_id", "bytes").limit(2 * max_train).toPandas()
+    fits = sizes["order"][sizes["bytes"].cumsum() <= max_bytes]
+    last = int(fits.iloc[-1]) if len(fits) else -1
+    if len(fits) < len(sizes):
+        last = min(last, int(sizes["order"].iloc[len(fits)]) - 1)
+    rows, stored = rows.where(F.col("order") <= last).toArrow().to_pandas(), rows
+    discard(stored)
     rows = rows.sort_values(["order", "doc_id", "x"], kind="stable").head(2 * max_train)
     return fit([np.frombuffer(x, np.int32) for x in rows["x"]], rows["y"].to_numpy())
 
