@@ -70,9 +70,11 @@ def records(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, min_revisit: int =
     revisit = F.coalesce(F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page")), F.lit(False))
     rows = rows.withColumn("revisit", revisit).withColumn("refers", F.when(F.col("revisit"), F.col("first_page")))
     segments = F.when(F.col("revisit"), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("bytes") / chunk_bytes)).cast("int"))
-    rows = rows.withColumn("segments", segments).withColumn("no", F.explode(F.sequence(F.lit(1), F.col("segments"))))
-    body = F.when(F.col("revisit"), F.lit("").cast("binary")).otherwise(F.when(F.col("segments") == 1, F.col("payload")).otherwise(F.substring(F.col("payload"), (F.col("no") - 1) * chunk_bytes + 1, F.lit(chunk_bytes))))
-    rows = rows.withColumn("body", body)
+    rows = rows.withColumn("segments", segments)
+    # All segments of a payload are cut before the rows multiply, so that none of these carries the whole payload.
+    part = lambda no: F.when(F.col("revisit"), F.lit("").cast("binary")).when(F.col("segments") == 1, F.col("payload")).otherwise(F.substring(F.col("payload"), (no - 1) * chunk_bytes + 1, F.lit(chunk_bytes)))
+    parts = F.transform(F.sequence(F.lit(1), F.col("segments")), lambda no: F.struct(no.alias("no"), part(no).alias("body")))
+    rows = rows.select("page_id", "url", "hex", "bytes", "revisit", "refers", "segments", F.inline(parts))
     first = F.col("no") == 1
     head = F.when(first, F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))).otherwise(F.lit(""))
     origin = F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.substring("hex", 1, 16), F.lit(">"))
