@@ -28,6 +28,25 @@ def test_stages_work_on_all_that_is_kept(spark):
     assert plan.where("start = 0").count() == sizes[3]
 
 
+@pytest.mark.parametrize("n", range(5))
+def test_stages_take_odd_empty_and_clashing_tables(spark, n):
+    import corpus_pipeline
+    from tests.llm.test_ops import ODD, empty, odd
+
+    name, stage = corpus_pipeline.STAGES[n]
+    assert stage(spark, empty(spark), SF).count() == 0
+    for clash in (False, True):
+        docs = odd(spark, clash)
+        out = stage(spark, docs, SF)
+        got = [r.asDict() for r in out.collect()]
+        if n < 4:
+            assert out.columns == docs.columns and {(r["doc_id"], r["text"]) for r in got} <= {r[:2] for r in ODD}
+        if name == "exact dedup":
+            assert len(got) == 10 - 1
+        if name == "packing":
+            assert sum(r["start"] == 0 for r in got) == len(ODD)
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
