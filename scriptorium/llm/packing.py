@@ -18,10 +18,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.common import cut, small_batches, text_bytes
+from scriptorium.llm.common import cut, small_batches
 from scriptorium.llm.tokens import encoder, tokenizer_path
 
 WINDOW, END_ID, SHARD = 2048, 1, 2048
@@ -85,28 +86,31 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     """
     small_batches(docs.sparkSession, "8m")
     path = tokenizer or tokenizer_path()
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut_texts(batches):
-        encode = encoder(path).encode
-        narrow = with_ids and encoder(path).tokenizer.get_vocab_size() <= 65536
-        for pdf in batches:
-            out = []
-            for doc_id, data in zip(pdf["doc_id"].tolist(), pdf["data"].tolist(), strict=True):
-                ids = encode(data) + end
-                total = len(ids) // 4
-                for start in range(0, total, window):
-                    piece = ids[4 * start : 4 * (start + window)]
-                    row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), total)
-                    if with_ids:
-                        row += (np.frombuffer(piece, "<u4").astype("<u2").tobytes() if narrow else piece,)
-                    out.append(row)
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-            frame = pd.DataFrame(out, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("data")).mapInPandas(cut_texts, PIECE + ", ids binary" * with_ids)
+        own = encoder(path)
+        narrow = own.tokenizer.get_vocab_size() <= 65536
+        for batch in batches:
+            ids, ends = own.encode_texts(batch.column("text"), end_id)
+            total = np.diff(ends, prepend=0)
+            count = -(-total // window)
+            doc = np.repeat(np.arange(len(total)), count)
+            start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * window
+            length = np.minimum(window, total[doc] - start)
+            begin = (ends - total)[doc] + start
+            data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            sums = [zlib.crc32(data[4 * b : 4 * (b + n)]) for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()), pa.array(total[doc])]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+            if with_ids:
+                # Pieces follow each other in ``ids``, so one buffer holds them all.
+                plain = ids.astype("<u2") if narrow else ids.astype("<u4", copy=False)
+                at = np.append(begin, len(ids)) * plain.itemsize
+                columns.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(plain)]).cast(pa.binary()))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(cut_texts, PIECE + ", ids binary" * with_ids)
 
 
 def sharded(items: DataFrame, count: int, shard: int = SHARD) -> DataFrame:
