@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,53 +68,55 @@ def with_column(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.drop(name).withColumn(name, value) if name in df.columns else df.withColumn(name, value)
 
 
-class WordCache(dict):
+class WordCache:
     """What a worker remembers of words, bounded by (estimated) bytes."""
 
     #: Bytes of a dictionary entry besides its key's characters.
     ENTRY = 180
 
     def __init__(self, name: str, budget: int):
-        super().__init__()
-        self.name, self.budget, self.bytes = name, budget, 0
+        # A plain dictionary: sets are compared fast only with that, not with a subclass.
+        self.name, self.budget, self.bytes, self.known = name, budget, 0, {}
 
     def cost(self, words) -> int:
         return sum(map(len, words)) + self.ENTRY * len(words)
 
     def clear(self) -> None:
-        super().clear()
+        self.known.clear()
         self.bytes = 0
 
     def remember(self, new: dict) -> dict:
         """A mapping that holds what is known and ``new``; kept for later only as far as the budget goes."""
-        if not new:
-            return self
         cost = self.cost(new)
         if self.bytes + cost > self.budget:
-            return {**self, **new}
-        self.update(new)
+            return {**self.known, **new}
+        self.known.update(new)
         self.bytes += cost
-        return self
+        return self.known
 
     def values_of(self, words: list, learn) -> dict:
         """A mapping with every one of ``words``; ``learn`` gives the values of a list of new ones."""
-        missing = list(set(words).difference(self))
-        if missing and self.bytes + self.cost(missing) > self.budget:
+        distinct = set(words)
+        missing = list(distinct.difference(self.known))
+        if not missing:
+            return self.known
+        if self.bytes + self.cost(missing) > self.budget:
             self.clear()
-            missing = list(set(words))
-        return self.remember(dict(zip(missing, learn(missing), strict=True))) if missing else self
+            missing = list(distinct)
+        return self.remember(dict(zip(missing, learn(missing), strict=True)))
 
 
 #: Bytes that the remembered words of one worker may take.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 32 << 20
 _CACHES: dict[str, WordCache] = {}
 
 
 def worker_cache(name: str, budget: int | None = None) -> WordCache:
     """This worker's cache of that name; those of other operators, whose stages are over, are emptied."""
     for other, cache in _CACHES.items():
-        if other != name:
+        if other != name and cache.known:
             cache.clear()
+            pa.default_memory_pool().release_unused()
     if name not in _CACHES or (budget and _CACHES[name].budget != budget):
         _CACHES[name] = WordCache(name, budget or CACHE_BYTES)
     return _CACHES[name]

@@ -84,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW,
     With ``with_ids`` each piece carries its ids as little-endian 16-bit (if
     the vocabulary allows) or 32-bit integers in ``ids``.
     """
-    small_batches(docs.sparkSession, "8m")
+    small_batches(docs.sparkSession, "4m")
     path = tokenizer or tokenizer_path()
 
     def cut_texts(batches):

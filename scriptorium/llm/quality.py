@@ -185,7 +185,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     """Fit on a bounded sample of labelled rows (see above), none of them held out."""
-    small_batches(docs.sparkSession, "8m")
+    small_batches(docs.sparkSession, "4m")
     usable = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("__high"))
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train:
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` plus its ``score`` (in place of a column of that name): every row, whole texts, one pass."""
-    small_batches(docs.sparkSession, "8m")
+    small_batches(docs.sparkSession, "4m")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -15,7 +15,7 @@ DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: A word that is one run of Latin letters and perhaps one run of closing marks: two pre-tokens at most.
 _PLAIN = "^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<tail>[.,;:!?#$%&*+=/\\\\()|-]*)$"
 #: Words whose ids are copied at a time; bounds what a very long text takes besides its ids.
-_STEP = 1 << 19
+_STEP = 1 << 18
 #: Parts encoded by one call.
 _CALL = 4000
 
@@ -59,7 +59,7 @@ class WordEncoder:
 
     def _keep(self, keys: list[str]) -> None:
         """Make room: forget all words but ``keys``."""
-        slots = np.fromiter(map(self.cache.__getitem__, keys), dtype=np.int64, count=len(keys))
+        slots = np.fromiter(map(self.cache.known.__getitem__, keys), dtype=np.int64, count=len(keys))
         size = np.diff(self.begin)[slots]
         ids = ragged(self.ids, self.begin[slots], size)
         self._forget()
@@ -89,11 +89,11 @@ class WordEncoder:
 
     def _slots(self, groups: list[tuple[list[str], bool]]) -> list[np.ndarray]:
         """The slot in ``ids`` of every key of each group; the flag says whether keys are plain parts."""
-        if len(self.begin) != len(self.cache) + 1:  # emptied for another operator, or the last batch was too large to keep
+        if len(self.begin) != len(self.cache.known) + 1:  # emptied for another operator, or the last batch was too large to keep
             self._forget()
-        missing = [[k for k in keys if k not in self.cache] for keys, _ in groups]
+        missing = [[k for k in keys if k not in self.cache.known] for keys, _ in groups]
         if self.cache.bytes + sum(map(self.cache.cost, missing)) > self.cache.budget:
-            self._keep([k for keys, _ in groups for k in keys if k in self.cache])
+            self._keep([k for keys, _ in groups for k in keys if k in self.cache.known])
         ids, sizes = [self.ids], [np.diff(self.begin)]
         slot = len(self.begin) - 1
         new: dict[str, int] = {}
@@ -113,10 +113,11 @@ class WordEncoder:
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = lists.flatten().dictionary_encode()
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct, which = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct, which = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+        del lists, words
         begin, size, pool = self._distinct(distinct)
         if end_id is not None:
-            which = np.insert(which, np.cumsum(per_text), len(begin))
+            which = np.insert(which, np.cumsum(per_text), len(begin))  # 32 bits: there are fewer words than bytes in a batch
             begin, size, pool, per_text = np.append(begin, len(pool)), np.append(size, 1), np.append(pool, np.uint32(end_id)), per_text + 1
         out = [ragged(pool, begin[which[lo : lo + _STEP]], size[which[lo : lo + _STEP]]) for lo in range(0, len(which), _STEP)]
         ends = np.concatenate([[0], np.cumsum(size[which])])[np.cumsum(per_text)] if len(per_text) else np.zeros(0, np.int64)
