@@ -50,8 +50,8 @@ from scriptorium.llm.common import cut, small_batches
 SIGN_OFF = 60
 MAIN_SHARE, MAIN_CHARS = 0.2, 250
 NEUTRAL, MAIN = 1, 2
-#: Bytes of html in a range, and how many ranges there are at most (larger inputs get larger ranges, which are streamed).
-RANGE_BYTES, MOST_RANGES = 32 << 20, 20_000
+#: Bytes of html in a range, how many ranges there are at most (larger inputs get larger ranges, which are streamed), and ranges a task.
+RANGE_BYTES, MOST_RANGES, RANGES_A_TASK = 8 << 20, 40_000, 4
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -374,7 +374,7 @@ def extract(pages: DataFrame) -> DataFrame:
     located = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(html).alias("digest"), html.cast("binary").alias("html"))
     keys = cut(located.select(*_KEY, F.octet_length("html").cast("long").alias("bytes")))
     total = keys.agg(F.sum("bytes")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_BYTES + 1))
+    parts = max(RANGES_A_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, total // RANGE_BYTES + 1))
     firsts, halo = _ranges(keys.select(*_KEY), parts)
     bounds = spark.sparkContext.broadcast([_order(k) for k in firsts])
 
@@ -411,7 +411,7 @@ def extract(pages: DataFrame) -> DataFrame:
         if out:
             yield _frame(out)
 
-    shuffled = near.repartition(parts, "part").sortWithinPartitions("part", *_KEY, "url")
+    shuffled = near.repartition(-(-parts // RANGES_A_TASK), "part").sortWithinPartitions("part", *_KEY, "url")
     return shuffled.select("part", "host", "digest", "outside", "page_id", "url", "html").mapInPandas(differ, "page_id long, url string, text string, n_chars long")
 
 
