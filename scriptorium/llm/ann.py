@@ -39,7 +39,7 @@ from scriptorium.llm.common import cut, discard, small_batches
 #: Neighbours kept; neighbours and reverse neighbours introduced a round, of new and of old ones each; proposals a member takes from one introducer.
 K, SAMPLE, REVERSE, PROPOSALS = 28, 14, 14, 4
 #: Parts of a round; random dealings at the start, and neighbours taken from each.
-PASSES, DEALINGS = 2, 4
+PASSES, DEALINGS = 3, 4
 #: Share of changed neighbour slots below which the graph is settled.
 SETTLED = 0.05
 #: The beam for up to ``SMALL`` classes, and what each doubling beyond adds.
@@ -118,7 +118,9 @@ def _sampled(owner: np.ndarray, other: np.ndarray, fresh: np.ndarray, salt: int)
 
 def prepare(vectors: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows(vec_id, id, embedding) that take part, classes(id, vec_id, nth) the ``k + 1`` smallest ids of each."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
+    # Floats stay floats, which halves what is stored; scores are taken in double precision.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where(
         "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     )
     rows = cut(rows.withColumn("id", F.xxhash64(F.sha2(F.col("embedding").cast("string"), 256))))
@@ -357,13 +359,14 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rounds: int | None
     codes = cut(exact.mapInPandas(shrink, "id long, q8 binary"))
     count = codes.count()
     asked = cut(rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")).distinct())
+    discard(rows)
     graph = build_graph(codes, count, dim, rounds)
     found = search(codes, graph, asked.select("q").distinct(), dim, count, FINAL + 4 * k)
     discard(graph)
     u, v = F.col("u"), F.col("v")
     pairs = (
-        found.join(exact.withColumnRenamed("embedding", "v"), "id")
-        .join(exact.select(F.col("id").alias("q"), F.col("embedding").alias("u")), "q")
+        found.join(exact.select("id", F.col("embedding").cast("array<double>").alias("v")), "id")
+        .join(exact.select(F.col("id").alias("q"), F.col("embedding").cast("array<double>").alias("u")), "q")
         .select("q", "id", (_dot(u, v) / (F.sqrt(_dot(u, u)) * F.sqrt(_dot(v, v)))).alias("score"))
     )
     scored = cut(pairs).join(classes.select("id", "vec_id"), "id").join(asked, "q").where("vec_id <> query_id")
