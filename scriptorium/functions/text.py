@@ -49,8 +49,12 @@ def fold_simple(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Canonical matching form: NFKC, soft hyphens, line-end hyphens, case, marks, white space."""
-    return fold_simple(nfkc(text))
+    """Canonical matching form: NFKC, soft hyphens, line-end hyphens, case, marks, white space.
+
+    ASCII texts, which NFKC leaves as they are, don't leave the JVM.
+    """
+    other = F.when(F.octet_length(text) != F.length(text), text)
+    return fold_simple(F.coalesce(nfkc(other), text))
 
 
 FOLD_MAP = Ty.StructType([Ty.StructField("text", Ty.StringType()), Ty.StructField("starts", Ty.ArrayType(Ty.IntegerType()))])

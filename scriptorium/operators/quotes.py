@@ -26,7 +26,7 @@ UNPROBED_BLOCK = 10_000
 
 def probes(quotes: DataFrame) -> DataFrame:
     """``quotes(quote_id, quote)`` plus ``head``, the first ``NEAR_SHARE`` of the folded quote, and ``probe``, its longest inner word (its ends may be cut words)."""
-    folded = T.fold_simple(F.col("quote"))
+    folded = T.fold(F.col("quote"))
     headed = quotes.withColumn("head", F.substring(folded, F.lit(1), F.ceil(F.length(folded) * NEAR_SHARE).cast("int")))
     words = T.words(F.col("head"))
     inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2))
@@ -44,7 +44,7 @@ def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 def _unprobed(asked: DataFrame, docs: DataFrame) -> DataFrame:
     """As :func:`candidates` for quotes without a probe word: every document is searched for each of them."""
     blocks = -(-asked.count() // UNPROBED_BLOCK)
-    texts = docs.select("doc_id", "text", T.fold_simple(F.col("text")).alias("folded"))
+    texts = docs.select("doc_id", "text", T.fold(F.col("text")).alias("folded"))
     held = F.contains("text", F.col("quote")) | (F.contains("folded", F.col("head")) & (F.col("head") != ""))
     out = docs.sparkSession.createDataFrame([], asked.select("quote_id", "quote").join(docs.select("doc_id", "text").limit(0)).schema)
     for n in range(blocks):
@@ -56,7 +56,7 @@ def _unprobed(asked: DataFrame, docs: DataFrame) -> DataFrame:
 def _by_probe(probed: DataFrame, docs: DataFrame) -> DataFrame:
     """As :func:`candidates` for quotes with a probe word, through the documents that hold it."""
     wanted = probed.select("probe").distinct()
-    own = T.words(T.fold_simple(F.col("text")))
+    own = T.words(T.fold(F.col("text")))
     few = [r["probe"] for r in wanted.limit(LITERAL_PROBES + 1).collect()]
     if len(few) <= LITERAL_PROBES:
         # A bounded set of probes is a literal: documents are searched while they are scanned.
@@ -71,7 +71,7 @@ def _by_probe(probed: DataFrame, docs: DataFrame) -> DataFrame:
 def match(pairs: DataFrame) -> DataFrame:
     """Per (quote, document): tier (0 exact, 1 normalised) and offset, JVM-side; other pairs are left out."""
     at = T.locate0(F.col("text"), F.col("quote"))
-    folded = T.locate0(T.fold_simple(F.col("text")), T.fold_simple(F.col("quote")))
+    folded = T.locate0(T.fold(F.col("text")), T.fold(F.col("quote")))
     exact = pairs.withColumn("exact", at)
     hit = F.when(F.col("exact").isNotNull(), F.struct(F.lit(0).alias("tier"), F.col("exact").alias("at"))).otherwise(F.struct(F.lit(1).alias("tier"), folded.alias("at")))
     return exact.select("quote_id", "doc_id", hit.alias("h")).where("h.at is not null").select("quote_id", "doc_id", "h.tier", "h.at")
@@ -124,6 +124,6 @@ def verify_in_document(requests: DataFrame, docs: DataFrame) -> DataFrame:
     """As :func:`verify` for quotes that name their document; a document without text is its own verdict."""
     joined = requests.join(docs.select("doc_id", "text"), "doc_id", "left")
     at = T.locate0(F.col("text"), F.col("quote"))
-    folded = T.locate0(T.fold_simple(F.col("text")), T.fold_simple(F.col("quote")))
+    folded = T.locate0(T.fold(F.col("text")), T.fold(F.col("quote")))
     verdict = F.when(F.col("text").isNull(), "no_canonical_text").when(at.isNotNull(), "exact").when(folded.isNotNull(), "normalized").otherwise("not_found")
     return joined.select("quote_id", "doc_id", verdict.alias("verdict"), at.alias("char_start"))

@@ -586,8 +586,8 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(F.col("n_regionkey").alias("work"), F.concat(F.lit("k"), "n_nationkey").alias("key"), F.when(F.col("n_nationkey") >= 10, F.concat(F.lit("k"), "up")).alias("parent"), F.col("n_nationkey").alias("position"), F.col("n_name").alias("body"))
 
 
-@query(f"""WITH RECURSIVE {_BLOCKS}, t AS (SELECT work, key, lpad(position::VARCHAR, 6, '0') AS "order", 0 AS depth FROM b WHERE parent IS NULL
-UNION ALL SELECT b.work, b.key, t."order" || '.' || lpad(b.position::VARCHAR, 6, '0'), t.depth + 1 FROM b JOIN t ON b.work = t.work AND b.parent = t.key) SELECT * FROM t""")
+@query(f"""WITH RECURSIVE {_BLOCKS}, t AS (SELECT work, key, lpad(position::VARCHAR, 12, '0') AS "order", 0 AS depth FROM b WHERE parent IS NULL
+UNION ALL SELECT b.work, b.key, t."order" || '.' || lpad(b.position::VARCHAR, 12, '0'), t.depth + 1 FROM b JOIN t ON b.work = t.work AND b.parent = t.key) SELECT * FROM t""")
 def block_order(spark, d):
     return works.block_order(_blocks(spark, d))
 

@@ -5,7 +5,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.operators import aggregates, checks, chunking, quotes, relations, search, spans
+from scriptorium.operators import aggregates, checks, chunking, quotes, relations, search, spans, works
 from scriptorium.sources import files
 from scriptorium.streaming import events as streams
 
@@ -141,3 +141,17 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     latest = {(r.window_start, r.event_type): r.n for r in seen}
     assert sum(latest.values()) == base.count()
+
+
+def test_quotes_cut_inside_words_of_marks_and_ligatures(spark):
+    docs = spark.createDataFrame([(1, "Running theatres are warm."), (2, "What ... ?! he said"), (3, "The oﬃce is open"), (4, "plain")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "ing theat"), (2, "... ?!"), (3, "unnin"), (4, "the office is"), (5, "FFICE IS O"), (6, "nothing of this")], "quote_id long, quote string")
+    got = {r.quote_id: (r.verdict, r.doc_id) for r in quotes.verify(asked, docs).collect()}
+    assert got == {1: ("exact", 1), 2: ("exact", 2), 3: ("exact", 1), 4: ("normalized", 3), 5: ("normalized", 3), 6: ("not_found", None)}
+    assert {r.quote_id: r.doc_id for r in quotes.exact(asked, docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_block_order_of_a_deep_chain(spark):
+    rows = [(1, f"k{i}", f"k{i - 1}" if i else None, 10_000_000 + i) for i in range(40)] + [(1, "x", "k0", 9_000_000), (1, "y", "gone", 1), (2, "a", "b", 1), (2, "b", "a", 1)]
+    got = sorted((r.order, r.key) for r in works.block_order(spark.createDataFrame(rows, "work int, key string, parent string, position long")).collect())
+    assert [k for _, k in got] == ["k0", "x", *[f"k{i}" for i in range(1, 40)]]
