@@ -118,41 +118,49 @@ def _local(tag: str) -> str:
 
 
 def parse_tei(data: bytes, name: str) -> Parsed:
-    """TEI: title from the header, one section per body div with a head, its own prose only."""
+    """TEI: title from the header, one section per body div, its own prose only: heads, children, and the text between them.
+
+    Inline pieces (list items, lines) are joined by a space, so that none are welded.
+    """
     root = ElementTree.fromstring(data)
     find = lambda node, tag: next((x for x in node.iter() if _local(x.tag) == tag), None)
-    flat = lambda node: re.sub(r"\s+", " ", "".join(node.itertext())).strip()
+    clean = lambda text: re.sub(r"\s+", " ", text or "").strip()
     header, body = find(root, "teiHeader"), find(root, "body")
     title = find(header, "title") if header is not None else None
     pieces: list[str] = []
     sections: list[dict] = []
     size = 0
 
-    def walk(node, level: int) -> None:
+    def add(text: str) -> bool:
         nonlocal size
-        start, head, own = size, None, False
+        if text:
+            pieces.append(text)
+            size += len(text) + 1
+        return bool(text)
+
+    def walk(node, level: int) -> None:
+        start, head, own = size, None, add(clean(node.text))
+
+        def close() -> None:
+            if level and (own or head):
+                sections.append({"char_start": start, "char_end": max(start, size - 1), "heading": head or "", "level": level})
+
         for child in node:
-            tag = _local(child.tag)
-            if tag.startswith("div"):
-                if own or head:
-                    sections.append({"char_start": start, "char_end": max(start, size - 1), "heading": head or "", "level": level})
+            if _local(child.tag).startswith("div"):
+                close()
                 walk(child, level + 1)
                 start, own, head = size, False, None
-                continue
-            piece = flat(child)
-            if tag == "head":
-                head = piece
-            if piece:
-                own = True
-                pieces.append(piece)
-                size += len(piece) + 1
-        if own and level:
-            sections.append({"char_start": start, "char_end": max(start, size - 1), "heading": head or "", "level": level})
+            else:
+                piece = clean(" ".join(filter(None, map(clean, child.itertext()))))
+                head = piece if _local(child.tag) == "head" else head
+                own = add(piece) or own
+            own = add(clean(child.tail)) or own
+        close()
 
     if body is not None:
         walk(body, 0)
     language = root.get("{http://www.w3.org/XML/1998/namespace}lang")
-    return Parsed(flat(title) if title is not None else name, "\n".join(pieces), language, [s for s in sections if s["level"]])
+    return Parsed(clean("".join(title.itertext())) if title is not None else name, "\n".join(pieces), language, sections)
 
 
 def parse_epub(data: bytes, name: str) -> Parsed:

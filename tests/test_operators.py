@@ -155,3 +155,11 @@ def test_block_order_of_a_deep_chain(spark):
     rows = [(1, f"k{i}", f"k{i - 1}" if i else None, 10_000_000 + i) for i in range(40)] + [(1, "x", "k0", 9_000_000), (1, "y", "gone", 1), (2, "a", "b", 1), (2, "b", "a", 1)]
     got = sorted((r.order, r.key) for r in works.block_order(spark.createDataFrame(rows, "work int, key string, parent string, position long")).collect())
     assert [k for _, k in got] == ["k0", "x", *[f"k{i}" for i in range(1, 40)]]
+
+
+def test_tei_keeps_lead_texts_tails_and_items_apart():
+    data = b"<TEI><text><body><div>lead<head>One</head><p>al<hi>ph</hi>a</p>tail<list><item>first</item><item>second</item></list><div><p>in</p></div>after</div></body></text></TEI>"
+    parsed = files.parse_tei(data, "x")
+    text = parsed["text"]
+    assert text == "lead\nOne\nal ph a\ntail\nfirst second\nin\nafter"
+    assert [(text[s["char_start"] : s["char_end"]], s["heading"], s["level"]) for s in parsed["sections"]] == [("lead\nOne\nal ph a\ntail\nfirst second", "One", 1), ("in", "", 2), ("after", "", 1)]
