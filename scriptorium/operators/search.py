@@ -14,6 +14,14 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 
 RRF_OFFSET = 60
+#: Text-search configurations by ISO 639-1 code, that of other languages, and the weight of a lexeme.
+CONFIGS = {
+    "ar": "arabic", "da": "danish", "de": "german", "el": "greek", "en": "english", "es": "spanish", "eu": "basque", "fi": "finnish", "fr": "french", "ga": "irish",
+    "hi": "hindi", "hu": "hungarian", "hy": "armenian", "id": "indonesian", "it": "italian", "lt": "lithuanian", "ne": "nepali", "nl": "dutch", "no": "norwegian",
+    "pt": "portuguese", "ro": "romanian", "ru": "russian", "sr": "serbian", "sv": "swedish", "ta": "tamil", "tr": "turkish", "yi": "yiddish",
+}
+SIMPLE, WEIGHT = "simple", 0.1
+MODES = ("rrf", "weighted", "vector", "keyword")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -52,6 +60,12 @@ def similar_to(vectors: DataFrame, vec_id: int, k: int) -> DataFrame:
     return vector_topk(vectors.where(F.col("vec_id") != vec_id), stored_vector(vectors, vec_id), k)
 
 
+def language_config(lang: Column) -> Column:
+    """The configuration that a language (``de``, ``de-CH``) is indexed under."""
+    table = F.create_map(*[F.lit(x) for pair in CONFIGS.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.substring(F.lower(F.trim(lang)), 1, 2)), F.lit(SIMPLE))
+
+
 def inverted_index(docs: DataFrame, lang: Column | None = None) -> DataFrame:
     """(doc_id, lang_config, lexeme, tf, positions): write it partitioned by lang_config to reuse it."""
     config = F.coalesce(lang, F.lit("simple")) if lang is not None else F.lit("simple")
@@ -59,6 +73,43 @@ def inverted_index(docs: DataFrame, lang: Column | None = None) -> DataFrame:
     return exploded.groupBy("doc_id", "lang_config", "lexeme").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """Store an inverted index: a folder per configuration, files in order of lexemes, so that a query's scan skips most.
+
+    Ranges are cut by document too, so a frequent lexeme fills many files rather than one task.
+    """
+    order = ["lang_config", "lexeme", "doc_id"]
+    index.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("lang_config").parquet(path)
+
+
+def cover_topk(index: DataFrame, lexemes: list[str], k: int, config: str | None = None, candidates: DataFrame | None = None) -> DataFrame:
+    """Documents that hold all lexemes, ranked by cover density: doc_id, score; in one configuration or all, optionally among ``candidates(doc_id)``.
+
+    A cover is a shortest stretch of words that holds all lexemes; it counts ``WEIGHT`` over one more than its other
+    words.  Only the asked lexemes of the index are read, and only their positions move.
+    """
+    if not lexemes:
+        raise ValueError("no lexemes")
+    if config is not None and config not in {SIMPLE, *CONFIGS.values()}:
+        raise ValueError(f"unknown text-search configuration {config!r}")
+    wanted = list(dict.fromkeys(w.lower() for w in lexemes))
+    rows = index.where(F.col("lexeme").isin(wanted))
+    if config is not None:
+        rows = rows.where(F.col("lang_config") == config)
+    if candidates is not None:
+        rows = rows.join(candidates, "doc_id", "left_semi")
+    # From the last position to the first, the smallest position met so far of a lexeme is its next one.
+    back = Window.partitionBy("doc_id").orderBy(F.desc("pos"))
+    placed = rows.select("doc_id", "lexeme", F.explode("positions").alias("pos")).withColumn("here", F.struct("pos", F.row_number().over(back).alias("n")))
+    following = [F.min(F.when(F.col("lexeme") == w, F.col("here"))).over(back.rowsBetween(Window.unboundedPreceding, 0)).alias(f"next{i}") for i, w in enumerate(wanted)]
+    ahead = placed.select("doc_id", "here", *following).dropna(subset=[f"next{i}" for i in range(len(wanted))])
+    last = F.greatest(*[f"next{i}" for i in range(len(wanted))], F.col("here"))
+    covers = ahead.select("doc_id", "here", last.alias("last")).groupBy("doc_id", "last").agg(F.max("here").alias("first"))
+    others = (F.col("last.pos") - F.col("first.pos")) - (F.col("first.n") - F.col("last.n"))
+    scored = covers.groupBy("doc_id").agg(F.round(F.sum(WEIGHT / (1 + others)), 12).alias("score"))
+    return scored.orderBy(F.desc("score"), "doc_id").limit(k)
+
+
 def _equals(word: str) -> Callable[[Column], Column]:
     return lambda token: token == F.lit(word)
 
@@ -120,6 +171,36 @@ def hybrid_search(docs: DataFrame, vectors: DataFrame, query_vector: list[float]
     return docs.select("doc_id", "lang", "source", "n_chars").join(F.broadcast(fused), F.col("doc_id") == F.col("id")).select("doc_id", "score", "lang", "source", "n_chars")
 
 
+def find(
+    docs: DataFrame, vectors: DataFrame, index: DataFrame, query_vector: list[float], lexemes: list[str], k: int, mode: str = "rrf", alpha: float = 0.5,
+    config: str | None = None, candidates: DataFrame | None = None, pool: int = 100, scorer: Column | None = None, rerank_n: int = 50,
+) -> DataFrame:
+    """Hybrid search in full: doc_id, score, lang, source, n_chars.
+
+    ``mode``: both lists fused by rank or by weight, or one alone; ``candidates(doc_id)``, if given, are searched only,
+    and keywords only under ``config``.  With ``scorer``, a column over ``docs``, the first ``rerank_n`` are put in its order.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}")
+    most = k if scorer is None else max(k, rerank_n)
+    width = pool if mode in ("rrf", "weighted") else most
+    among = None if candidates is None else candidates.select(F.col("doc_id").alias("vec_id"))
+    vector = lambda: vector_topk(vectors, query_vector, width, candidates=among).select(F.col("vec_id").alias("id"), "score")
+    keyword = lambda: cover_topk(index, lexemes, width, config, candidates).select(F.col("doc_id").alias("id"), "score")
+    if mode == "rrf":
+        fused = rrf([vector(), keyword()], most)
+    elif mode == "weighted":
+        fused = weighted_fusion(vector(), keyword(), alpha, most)
+    else:
+        fused = vector() if mode == "vector" else keyword()
+    kept = [c for c in docs.columns if c not in ("id", "score", "rank")]
+    # At most ``most`` rows: the broadcast side has a fixed bound.
+    hits = docs.select(*kept).join(F.broadcast(with_rank(fused)), F.col("doc_id") == F.col("id"))
+    if scorer is not None:
+        hits = rerank(hits, scorer, k).drop("score").withColumnRenamed("rerank_score", "score")
+    return hits.select("doc_id", "score", "lang", "source", "n_chars")
+
+
 def rerank(fused: DataFrame, score: Column, k: int) -> DataFrame:
     """Order by a scorer's column, ties in the order given by ``rank``."""
     return fused.withColumn("rerank_score", score).orderBy(F.desc("rerank_score"), "rank", "id").limit(k)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.operators import catalog, reading, reindex
-from scriptorium.plans.queries import query
+from scriptorium.functions import dates
+from scriptorium.operators import catalog, reading, reindex, search, works
+from scriptorium.plans.queries import _COSINE, _WORDS, LEXEMES, query, six
 from scriptorium.session import table
 
 _D = "d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0)"
@@ -426,3 +427,69 @@ def entity_upsert(spark, d):
     nation = table(spark, d, "nation")
     names = nation.where("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("string").alias("entity_id"), F.col("n_name").alias("name"))
     return catalog.upsert_entities(nation.select(F.col("n_nationkey").alias("draft_id"), F.col("n_name").alias("name")), names).select("draft_id", "entity_id", "created")
+
+
+# --- search by language and filter
+
+_COVER = f"""w AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE lang = 'en')),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM w WHERE word IN ('the', 'and')),
+e AS (SELECT *, greatest(min(pos) FILTER (word = 'the') OVER ahead, pos) AS t, greatest(min(pos) FILTER (word = 'and') OVER ahead, pos) AS a, min(pos) FILTER (word = 'the') OVER ahead AS t0, min(pos) FILTER (word = 'and') OVER ahead AS a0
+FROM h WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+c AS (SELECT doc_id, greatest(t, a) AS stop, max(pos) AS start FROM e WHERE t0 IS NOT NULL AND a0 IS NOT NULL GROUP BY ALL),
+s AS (SELECT c.doc_id, round(sum(0.1::DOUBLE / (1 + (stop - start) - (y.n - x.n))), 12) AS score FROM c JOIN h x ON x.doc_id = c.doc_id AND x.pos = start JOIN h y ON y.doc_id = c.doc_id AND y.pos = stop GROUP BY 1)"""
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return search.inverted_index(table(spark, d, "documents"), search.language_config(F.col("lang")))
+
+
+@query(f"WITH {_COVER} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 20")
+def keyword_by_language(spark, d):
+    return search.cover_topk(_index(spark, d), LEXEMES, 20, "english").select("doc_id", six("score"))
+
+
+@query(f"""WITH {_COVER}, k AS (SELECT doc_id AS id, score FROM s ORDER BY score DESC, id LIMIT 100),
+v AS (SELECT vec_id AS id, {_COSINE} AS score FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY score DESC, id LIMIT 100),
+p AS (SELECT id, (score - min(score) OVER ()) / coalesce(nullif(max(score) OVER () - min(score) OVER (), 0), 1) AS s FROM v),
+r AS (SELECT id, (score - min(score) OVER ()) / coalesce(nullif(max(score) OVER () - min(score) OVER (), 0), 1) AS s FROM k),
+f AS (SELECT coalesce(p.id, r.id) AS id, 0.6 * coalesce(p.s, 0) + (1 - 0.6) * coalesce(r.s, 0) AS score FROM p FULL JOIN r ON p.id = r.id ORDER BY 2 DESC, 1 LIMIT 20)
+SELECT doc_id, round(score, 6) AS score, lang, source, n_chars FROM f JOIN documents ON doc_id = id""")
+def hybrid_filtered(spark, d):
+    docs, vectors = table(spark, d, "documents"), table(spark, d, "embeddings")
+    english = docs.where("lang = 'en'").select("doc_id")
+    hits = search.find(docs, vectors, _index(spark, d), search.stored_vector(vectors, 0), LEXEMES, 20, "weighted", 0.6, "english", english)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+# --- dates of letters
+
+_Y = "year(o_orderdate)"
+
+
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 7 WHEN 3 THEN make_date({_Y}, 12, 1) WHEN 4 THEN make_date({_Y} // 10 * 10, 1, 1) WHEN 5 THEN make_date({_Y}, 1, 1) ELSE o_orderdate::DATE END AS start,
+CASE o_orderkey % 7 WHEN 3 THEN last_day(make_date({_Y} + 1, 2, 1)) WHEN 4 THEN make_date({_Y} // 10 * 10 + 9, 12, 31) WHEN 5 THEN make_date({_Y}, 12, 31) WHEN 6 THEN o_orderdate::DATE + 6 ELSE o_orderdate::DATE END AS "end",
+CASE o_orderkey % 7 WHEN 3 THEN 'season' WHEN 4 THEN 'decade' WHEN 5 THEN 'year' WHEN 6 THEN 'week' ELSE 'day' END AS precision FROM orders""")
+def fuzzy_date_forms(spark, d):
+    written = ["'Dated 'MMM. d'd, 'yyyy'.'", "'yours of the 'd'th 'MMMM, yyyy", "M/d/yyyy", "'the winter of 'yyyy", "yyyy", "yyyy", "'week of 'MMMM d, yyyy"]
+    phrase = F.element_at(F.array(*[F.date_format("o_orderdate", w) for w in written]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    phrase = F.when(F.col("o_orderkey") % 7 == 4, F.concat(F.substring(phrase, 1, 3), F.lit("0's"))).otherwise(phrase)
+    return table(spark, d, "orders").select("o_orderkey", dates.parse(phrase).alias("p")).select("o_orderkey", "p.start", "p.end", "p.precision")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN n <= day(last_day(a - INTERVAL 1 MONTH)) THEN date_trunc('month', a - INTERVAL 1 MONTH)::DATE + n - 1 END WHEN 1 THEN CASE WHEN n <= day(last_day(a)) THEN date_trunc('month', a)::DATE + n - 1 END
+WHEN 2 THEN CASE WHEN n <= day(last_day(date_trunc('month', a) + INTERVAL 1 MONTH)) THEN (date_trunc('month', a) + INTERVAL 1 MONTH)::DATE + n - 1 END
+WHEN 3 THEN CASE WHEN n <= day(a) THEN date_trunc('month', a)::DATE + n - 1 WHEN n <= day(last_day(date_trunc('month', a) - INTERVAL 1 MONTH)) THEN (date_trunc('month', a) - INTERVAL 1 MONTH)::DATE + n - 1 END
+WHEN 4 THEN make_date(year(a) - CASE WHEN month(a) < 7 THEN 1 ELSE 0 END, 7, n) ELSE a - 1 END AS day FROM (SELECT o_orderkey, o_orderdate::DATE AS a, (o_orderkey % 31 + 1)::INT AS n FROM orders)""")
+def anchored_dates(spark, d):
+    written = ["yours of the %sth ult.", "the %s inst.", "%sd proximo", "the %s", "July %s", "yesterday"]
+    phrase = F.replace(F.element_at(F.array(*[F.lit(w) for w in written]), (F.col("o_orderkey") % 6 + 1).cast("int")), F.lit("%s"), (F.col("o_orderkey") % 31 + 1).cast("string"))
+    return table(spark, d, "orders").select("o_orderkey", dates.anchored(phrase, F.to_date("o_orderdate")).alias("day"))
+
+
+@query("""SELECT o_orderkey, length('No. ' || o_orderkey || ' Camp, ') AS char_start, length('No. ' || o_orderkey || ' Camp, ') + 6 + length(day(a)::VARCHAR) + CASE WHEN o_orderkey % 2 = 0 THEN 11 ELSE 5 END AS char_end,
+make_date(year(a), 3, day(a)) AS day FROM (SELECT o_orderkey, o_orderdate::DATE AS a FROM orders)""")
+def scanned_dates(spark, d):
+    dateline = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "'Mareh 'd' 11 am 'yyyy")).otherwise(F.date_format("o_orderdate", "'Marcli'd yyyy"))
+    text = F.concat(F.lit("No. "), F.col("o_orderkey"), F.lit(" Camp, "), dateline, F.lit(". Sir, room 12 of 1999 is let"))
+    found = table(spark, d, "orders").select("o_orderkey", F.inline(dates.scan(text)))
+    return found.select("o_orderkey", "char_start", "char_end", "day")

@@ -25,7 +25,7 @@ def test_fuzzy_dates(spark, phrase, start, end, precision):
     assert (got["start"], got["end"], got["precision"]) == (day(start), day(end), precision)
 
 
-@pytest.mark.parametrize(("phrase", "want"), [("today", "1862-03-15"), ("yesterday", "1862-03-14"), ("5th inst.", "1862-03-05"), ("30th ult.", None), ("2d prox", None), ("2 prox.", "1862-04-02")])
+@pytest.mark.parametrize(("phrase", "want"), [("today", "1862-03-15"), ("yesterday", "1862-03-14"), ("5th inst.", "1862-03-05"), ("30th ult.", None), ("2d prox", "1862-04-02"), ("31 prox", None), ("2 prox.", "1862-04-02")])
 def test_anchored_dates(spark, phrase, want):
     got = one(spark, dates.anchored(F.col("p"), F.to_date(F.lit("1862-03-15"))), p=phrase)
     assert got == (datetime.date.fromisoformat(want) if want else None)
