@@ -18,6 +18,8 @@ from pyspark.sql import types as Ty
 from scriptorium.functions import text as T
 
 NEAR_SHARE, CONTEXT = 0.5, 80
+#: Characters around a window that are searched with it, beside the length of the quote.
+WINDOW_SLACK = 256
 #: Probe words up to which they are a literal of the plan.
 LITERAL_PROBES = 1000
 #: Quotes without a probe word that meet the documents in one pass.
@@ -77,27 +79,38 @@ def match(pairs: DataFrame) -> DataFrame:
     return exact.select("quote_id", "doc_id", hit.alias("h")).where("h.at is not null").select("quote_id", "doc_id", "h.tier", "h.at")
 
 
-_PREFIX = Ty.StructType([Ty.StructField("share", Ty.DoubleType()), Ty.StructField("char_start", Ty.IntegerType()), Ty.StructField("context", Ty.StringType())])
+_HIT = Ty.StructType([
+    Ty.StructField("share", Ty.DoubleType()), Ty.StructField("char_start", Ty.IntegerType()), Ty.StructField("char_end", Ty.IntegerType()), Ty.StructField("context", Ty.StringType())
+])
 
 
-@F.pandas_udf(_PREFIX)
-def longest_prefix(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
-    """Longest beginning of a folded quote that a folded text holds (bisection), and the text where they part."""
+@F.pandas_udf(_HIT)
+def folded_hit(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
+    """Longest beginning of a folded quote that a folded text holds (bisection): its share, its raw span, and the text where they part.
+
+    A null text or an empty quote has share 0 and no span.
+    """
     rows, last, folded, starts = [], None, "", []
     for text, quote in zip(texts, quotes, strict=True):
+        if text is None or pd.isna(text):
+            rows.append((0.0, None, None, None))
+            continue
         if text is not last and text != last:  # a document's quotes come one after the other
-            folded, starts = T.fold_with_offsets(text or "")
+            folded, starts = T.fold_with_offsets(text)
             last = text
         want = T.fold_with_offsets(quote or "")[0]
-        low, high = 0, len(want)
+        low, high = (len(want), len(want)) if want in folded else (0, len(want))
         while low < high:
             mid = (low + high + 1) // 2
             low, high = (mid, high) if want[:mid] in folded else (low, mid - 1)
-        at = folded.find(want[:low]) if low else -1
-        raw = starts[at] if at >= 0 and starts else -1
-        parted = starts[min(at + low, len(starts) - 1)] if at >= 0 and starts else 0
-        rows.append((low / len(want) if want else 0.0, raw, (text or "")[parted : parted + CONTEXT]))
-    return pd.DataFrame(rows, columns=["share", "char_start", "context"])
+        if not low:
+            rows.append((0.0, None, None, None))
+            continue
+        at = folded.find(want[:low])
+        end = starts[at + low - 1] + 1
+        rows.append((low / len(want), starts[at], end, text[end : end + CONTEXT]))
+    hits = pd.DataFrame(rows, columns=["share", "char_start", "char_end", "context"])
+    return hits.astype({"char_start": "Int32", "char_end": "Int32"})
 
 
 def exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -107,23 +120,56 @@ def exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def verify(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per quote: quote_id, verdict, doc_id, char_start; exact before normalised, then the smallest doc_id."""
-    pairs = candidates(quotes.where(T.collapse_space(F.col("quote")) != ""), docs)  # an empty quote is never found
+    """Per quote: quote_id, verdict, doc_id, char_start (raw); exact before normalised, then the smallest doc_id; near by the longest beginning.
+
+    Of a normalised hit that can't be traced to a raw offset (combining marks), char_start is null.
+    """
+    asked = quotes.where(T.collapse_space(F.col("quote")) != "")  # an empty quote is never found
+    pairs = candidates(asked, docs)
     best = F.min(F.struct("tier", "doc_id", "at")).alias("b")
     found = match(pairs).groupBy("quote_id").agg(best)
-    rest = pairs.join(found, "quote_id", "left_anti").select("quote_id", "doc_id", longest_prefix("text", "quote").alias("p"))
-    near = rest.where(F.col("p.share") >= NEAR_SHARE).groupBy("quote_id").agg(F.min(F.struct((-F.col("p.share")).alias("s"), "doc_id", F.col("p.char_start").alias("at"))).alias("n"))
+    # The winners' texts alone are traced back to raw offsets.
+    folded = found.where("b.tier = 1").select("quote_id", "b.doc_id").join(asked.select("quote_id", "quote"), "quote_id").join(docs.select("doc_id", "text"), "doc_id")
+    raw = folded.select("quote_id", folded_hit("text", "quote").alias("r")).where("r.share = 1").groupBy("quote_id").agg(F.min("r.char_start").alias("raw"))
+    # Only documents that hold the first half of a quote can be near; that is tested before texts leave the JVM.
+    rest = probes(pairs.join(found, "quote_id", "left_anti")).where(F.contains(T.fold(F.col("text")), F.col("head")))
+    tried = rest.select("quote_id", "doc_id", folded_hit("text", "quote").alias("p")).where(F.col("p.share") >= NEAR_SHARE)
+    near = tried.groupBy("quote_id").agg(F.min(F.struct((-F.col("p.share")).alias("s"), "doc_id", F.col("p.char_start").alias("at"))).alias("n"))
     verdict = F.when(F.col("b.tier") == 0, "exact").when(F.col("b.tier") == 1, "normalized").when(F.col("n").isNotNull(), "near").otherwise("not_found")
-    return (
-        quotes.select("quote_id").join(found, "quote_id", "left").join(near, "quote_id", "left")
-        .select("quote_id", verdict.alias("verdict"), F.coalesce("b.doc_id", "n.doc_id").alias("doc_id"), F.coalesce("b.at", "n.at").alias("char_start"))
-    )
+    at = F.when(F.col("b.tier") == 0, F.col("b.at")).when(F.col("b.tier") == 1, F.col("raw")).otherwise(F.col("n.at"))
+    joined = quotes.select("quote_id").join(found, "quote_id", "left").join(raw, "quote_id", "left").join(near, "quote_id", "left")
+    return joined.select("quote_id", verdict.alias("verdict"), F.coalesce("b.doc_id", "n.doc_id").alias("doc_id"), at.alias("char_start"))
 
 
 def verify_in_document(requests: DataFrame, docs: DataFrame) -> DataFrame:
-    """As :func:`verify` for quotes that name their document; a document without text is its own verdict."""
-    joined = requests.join(docs.select("doc_id", "text"), "doc_id", "left")
-    at = T.locate0(F.col("text"), F.col("quote"))
-    folded = T.locate0(T.fold(F.col("text")), T.fold(F.col("quote")))
-    verdict = F.when(F.col("text").isNull(), "no_canonical_text").when(at.isNotNull(), "exact").when(folded.isNotNull(), "normalized").otherwise("not_found")
-    return joined.select("quote_id", "doc_id", verdict.alias("verdict"), at.alias("char_start"))
+    """Quotes that name their document, ``requests(quote_id, quote, doc_id[, window_start, window_end])``, against its text.
+
+    Returns quote_id, doc_id, verdict, char_start, char_end, share, context.  A window is where the quote is thought to
+    stand: it and some characters around it are searched first, then the whole text.  ``share`` is how much of the quote
+    the text holds from its beginning on (1 if all), ``context`` what the text says where a near quote departs from it.
+    A document without text is its own verdict.
+    """
+    for c in ("window_start", "window_end"):
+        requests = requests if c in requests.columns else requests.withColumn(c, F.lit(None).cast("int"))
+    asked = requests.select("quote_id", "doc_id", F.trim("quote").alias("quote"), "window_start", "window_end")
+    joined = asked.join(docs.select("doc_id", "text"), "doc_id", "left")
+    slack = F.length("quote") + WINDOW_SLACK
+    low = F.greatest(F.col("window_start") - slack, F.lit(0))
+    around = joined.withColumn("low", low).withColumn("around", T.slice_span(F.col("text"), low, F.col("window_end") + slack))
+    stands = F.when(F.col("quote") != "", F.lit(True))
+    exactly = around.select("*", F.when(stands, T.locate0(F.col("around"), F.col("quote")) + F.col("low")).alias("near_at"), F.when(stands, T.locate0(F.col("text"), F.col("quote"))).alias("at"))
+    # Only what isn't found as it stands is folded, and the window before the whole text.
+    first = exactly.withColumn("w", folded_hit(F.when(F.col("near_at").isNull(), F.col("around")), "quote"))
+    whole = first.withColumn("f", folded_hit(F.when(F.col("near_at").isNull() & (F.col("w.share") < 1) & F.col("at").isNull(), F.col("text")), "quote"))
+    span = lambda tier, start, end, share, context: F.struct(F.lit(tier).alias("verdict"), start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), share.alias("share"), context.alias("context"))
+    none, one, n = F.lit(None).cast("string"), F.lit(1.0), F.length("quote")
+    hit = (
+        F.when(F.col("text").isNull(), span("no_canonical_text", F.lit(None), F.lit(None), F.lit(None).cast("double"), none))
+        .when(F.col("near_at").isNotNull(), span("exact", F.col("near_at"), F.col("near_at") + n, one, none))
+        .when(F.col("w.share") == 1, span("normalized", F.col("w.char_start") + F.col("low"), F.col("w.char_end") + F.col("low"), one, none))
+        .when(F.col("at").isNotNull(), span("exact", F.col("at"), F.col("at") + n, one, none))
+        .when(F.col("f.share") == 1, span("normalized", F.col("f.char_start"), F.col("f.char_end"), one, none))
+        .when(F.col("f.share") >= NEAR_SHARE, span("near", F.col("f.char_start"), F.col("f.char_end"), F.col("f.share"), F.col("f.context")))
+        .otherwise(span("not_found", F.lit(None), F.lit(None), F.coalesce(F.col("f.share"), F.lit(0.0)), none))
+    )
+    return whole.select("quote_id", "doc_id", hit.alias("h")).select("quote_id", "doc_id", "h.*")

@@ -481,7 +481,14 @@ def quote_exact(spark, d):
     return quotes.exact(asked, spread(table(spark, d, "documents")))
 
 
-@query()
+# Texts of these tables fold by case and white space alone; the offset is that of the beginning held, white space written as it stands.
+@query(r"""WITH q AS (SELECT item_id AS quote_id, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS f FROM benchmark WHERE trim(text) <> ''),
+t AS (SELECT doc_id, lower(text) AS low, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS f FROM documents),
+p AS (SELECT quote_id, doc_id, q.f AS quote, t.f AS held, low FROM q JOIN t ON contains(t.f, left(q.f, ceil(length(q.f) * 0.5)::INT))),
+l AS (SELECT *, list_max(list_filter(generate_series(1, length(quote)), lambda n: contains(held, left(quote, n)))) AS n FROM p),
+b AS (SELECT quote_id, arg_min({'doc_id': doc_id, 'low': low, 'begin': left(quote, n), 'whole': n = length(quote)}, (-n::BIGINT * 1000000000 + doc_id)) AS x FROM l GROUP BY 1)
+SELECT item_id AS quote_id, CASE WHEN x.whole THEN 'normalized' WHEN x IS NOT NULL THEN 'near' ELSE 'not_found' END AS verdict, x.doc_id AS doc_id,
+length(regexp_extract(x.low, '(?s)^(.*?)' || replace(replace(regexp_escape(x.begin), '\ ', ' '), ' ', '\s+'), 1)) AS char_start FROM benchmark LEFT JOIN b ON quote_id = item_id""")
 def quote_verify(spark, d):
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.upper("text").alias("quote"))
     return quotes.verify(asked, spread(table(spark, d, "documents")))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import dates
-from scriptorium.operators import catalog, reading, reindex, search, works
+from scriptorium.operators import catalog, quotes, reading, reindex, search, works
 from scriptorium.plans.queries import _COSINE, _WORDS, LEXEMES, query, six
 from scriptorium.session import table
 
@@ -493,3 +493,24 @@ def scanned_dates(spark, d):
     text = F.concat(F.lit("No. "), F.col("o_orderkey"), F.lit(" Camp, "), dateline, F.lit(". Sir, room 12 of 1999 is let"))
     found = table(spark, d, "orders").select("o_orderkey", F.inline(dates.scan(text)))
     return found.select("o_orderkey", "char_start", "char_end", "day")
+
+
+# --- quotes that name their document
+
+
+@query("""WITH q AS (SELECT doc_id, text, length(text) AS n, trim(substr(text, length(text) // 2 + 1, 40), ' ') AS cut FROM documents),
+a AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'zzqq ' || cut WHEN cut = '' THEN NULL ELSE cut END AS quote FROM q),
+w AS (SELECT *, greatest(0, n // 2 - length(quote) - 256) AS low, n // 2 + 40 + length(quote) + 256 AS high FROM a),
+f AS (SELECT *, CASE WHEN doc_id % 4 = 1 THEN strpos(text, quote) - 1 ELSE low + strpos(substr(text, low + 1, high - low), quote) - 1 END AS spot FROM w)
+SELECT doc_id, CASE WHEN text IS NULL THEN 'no_canonical_text' WHEN doc_id % 4 = 0 OR quote IS NULL THEN 'not_found' ELSE 'exact' END AS verdict,
+(CASE WHEN doc_id % 4 <> 0 THEN spot END)::INT AS char_start, (CASE WHEN doc_id % 4 <> 0 THEN spot + length(quote) END)::INT AS char_end FROM f""")
+def quote_in_document(spark, d):
+    docs = table(spark, d, "documents")
+    middle = F.floor(F.length("text") / 2).cast("int")
+    cut = F.trim(F.substring(F.col("text"), middle + 1, F.lit(40)))
+    bare = F.col("doc_id") % 4 == 1  # these name no window
+    asked = docs.select(
+        F.col("doc_id").alias("quote_id"), "doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("zzqq "), cut)).otherwise(cut).alias("quote"),
+        F.when(~bare, middle).alias("window_start"), F.when(~bare, middle + 40).alias("window_end"),
+    )
+    return quotes.verify_in_document(asked, docs).select("doc_id", "verdict", "char_start", "char_end")

@@ -98,3 +98,25 @@ def test_find_by_mode_and_scorer(spark):
     assert set(ids(search.find(docs, vectors, index, [1.0, 0.0], ["a"], 9))) == {0, 1, 2, 3}
     assert ids(search.find(docs, vectors, index, [1.0, 0.0], ["a"], 2, candidates=docs.where("doc_id > 1").select("doc_id"))) == [3, 2]
     assert ids(search.find(docs, vectors, index, [1.0, 0.0], ["a"], 2, scorer=F.length("text"))) == [1, 0]
+
+
+def test_quotes_that_name_their_document(spark):
+    from scriptorium.operators import quotes
+
+    long = "start alpha beta. " + "filler words here. " * 60 + "Alpha  beta gamma delta “quoted” of­fice end. " + "filler words here. " * 60 + "alpha beta gamma delta"
+    far = long.index("Alpha  beta")
+    docs = spark.createDataFrame([(1, long), (2, None), (3, "")], "doc_id long, text string")
+    asked = [
+        (1, "alpha beta", 1, None, None, ("exact", 6, 16, 1.0)), (2, "ALPHA BETA GAMMA", 1, None, None, ("normalized", far, far + 17, 1.0)), (3, "alpha beta gamma delta", 1, None, None, ("exact", len(long) - 22, len(long), 1.0)),
+        (4, "alpha beta gamma delta", 1, far, far + 20, ("normalized", far, far + 23, 1.0)), (5, "start alpha", 1, far, far + 20, ("exact", 0, 11, 1.0)), (6, '"quoted" office', 1, far, far + 5, ("normalized", far + 24, far + 40, 1.0)),
+        (7, "start alpha beta, or not", 1, None, None, ("near", 0, 16, 16 / 24)), (8, "zz", 1, 0, 5, ("not_found", None, None, 0.0)), (9, "x", 2, 0, 5, ("no_canonical_text", None, None, None)), (10, "x", 3, None, None, ("not_found", None, None, 0.0)),
+        (11, "", 1, None, None, ("not_found", None, None, 0.0)), (12, None, 1, 0, 4, ("not_found", None, None, 0.0)), (13, "x", 99, None, None, ("no_canonical_text", None, None, None)),
+    ]
+    rows = spark.createDataFrame([r[:5] for r in asked], "quote_id long, quote string, doc_id long, window_start int, window_end int")
+    got = {r["quote_id"]: r for r in quotes.verify_in_document(rows, docs).collect()}
+    for quote_id, *_, want in asked:
+        r = got[quote_id]
+        assert (r["verdict"], r["char_start"], r["char_end"], r["share"]) == pytest.approx(want), quote_id
+    assert got[7]["context"].startswith(". filler words")
+    anywhere = spark.createDataFrame([(1, "BETA GAMMA DELTA"), (2, "start alpha beta, or not")], "quote_id long, quote string")
+    assert {r["quote_id"]: (r["verdict"], r["char_start"]) for r in quotes.verify(anywhere, docs).collect()} == {1: ("normalized", far + 7), 2: ("near", 0)}
