@@ -481,8 +481,8 @@ def quote_exact(spark, d):
     return quotes.exact(asked, spread(table(spark, d, "documents")))
 
 
-# Texts of these tables fold by case and white space alone; the offset is that of the beginning held, white space written as it stands.
-@query(r"""WITH q AS (SELECT item_id AS quote_id, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS f FROM benchmark WHERE trim(text) <> ''),
+# Quotes are asked in capitals, where ß is SS.  Texts of these tables fold by case and white space alone; the offset is that of the beginning held, white space written as it stands.
+@query(r"""WITH q AS (SELECT item_id AS quote_id, trim(regexp_replace(lower(replace(text, 'ß', 'ss')), '[\s\p{Z}]+', ' ', 'g')) AS f FROM benchmark WHERE trim(text) <> ''),
 t AS (SELECT doc_id, lower(text) AS low, trim(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g')) AS f FROM documents),
 p AS (SELECT quote_id, doc_id, q.f AS quote, t.f AS held, low FROM q JOIN t ON contains(t.f, left(q.f, ceil(length(q.f) * 0.5)::INT))),
 l AS (SELECT *, list_max(list_filter(generate_series(1, length(quote)), lambda n: contains(held, left(quote, n)))) AS n FROM p),
