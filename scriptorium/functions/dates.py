@@ -166,16 +166,16 @@ SCANNED = Ty.ArrayType(Ty.StructType([Ty.StructField("char_start", Ty.IntegerTyp
 #: A word and a day, with what an editor or a scanner puts between; a short year, after a slash only.
 _DATELINE = re.compile(r"\b([A-Za-z]{3,9})\.?[\s\]\)\[\(\|,]{0,4}(\d{1,2})(?:st|nd|rd|th|d)?\.?")
 _SHORT_YEAR = re.compile(r"[\s\]\)\[\(\|,]{0,3}/\s?(\d{2})\b")
-_ANY_YEAR = re.compile(FULL_YEAR)
+ANY_YEAR = re.compile(FULL_YEAR)
 
 
-def _scan(text: str, century: int | None) -> list[tuple[int, int, datetime.date]]:
+def stated(text: str, century: int | None) -> list[tuple[int, int, datetime.date]]:
     out = []
     for hit in _DATELINE.finditer(text):
         month, day, after = damaged_month(hit[1]), int(hit[2]), text[hit.end() : hit.end() + YEAR_WINDOW]
         if month is None:
             continue
-        full, short = _ANY_YEAR.search(after), _SHORT_YEAR.match(after)
+        full, short = ANY_YEAR.search(after), _SHORT_YEAR.match(after)
         if full:
             year, length = int(full[1]), full.end()
         elif short and century is not None:
@@ -194,4 +194,4 @@ def scan(texts: pd.Series) -> pd.Series:
     A word that may be a month (damaged ones too), a day, and a full year shortly after, or else a short year after
     a slash, of the century that the text's full years are of.
     """
-    return texts.map(lambda t: _scan(t, century_of(_ANY_YEAR.findall(t))) if t else [])
+    return texts.map(lambda t: stated(t, century_of(ANY_YEAR.findall(t))) if t else [])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import dates
-from scriptorium.operators import catalog, quotes, reading, reindex, search, works
+from scriptorium.operators import catalog, chapters, quotes, reading, reindex, search, works
 from scriptorium.plans.queries import _COSINE, _WORDS, LEXEMES, query, six
 from scriptorium.session import table
 
@@ -514,3 +514,30 @@ def quote_in_document(spark, d):
         F.when(~bare, middle).alias("window_start"), F.when(~bare, middle + 40).alias("window_end"),
     )
     return quotes.verify_in_document(asked, docs).select("doc_id", "verdict", "char_start", "char_end")
+
+
+# --- sections by chapter lines; records with dates and parties
+
+
+@query("""WITH c AS (SELECT n_nationkey AS doc_id, unnest([0, 1, 2, 3]) AS position, 6028 + n_nationkey AS each FROM nation)
+SELECT doc_id, position, position * each AS char_start, (position + 1) * each - 1 AS char_end, ['Chapter I', 'Chapter 2', 'Chapter 3', 'Chapter 4'][position + 1] AS heading, 1 AS level,
+CASE WHEN position <> 2 THEN make_date(1862, CASE position WHEN 1 THEN 4 ELSE 5 END, position + 1) END AS date FROM c""")
+def dated_sections(spark, d):
+    heads = ["Chapter I\nCamp, May 1 1862\n", "Chapter 2\nCamp, Apl 2 1862\n", "Chapter 3\nno date is here.\n", "Chapter 4\nCamp, May 4 1862\n"]
+    assert {len(h) for h in heads} == {27}
+    bodies = [F.concat(F.lit(h), F.repeat(F.lit("x"), F.col("n_nationkey").cast("int") + 6000), F.lit("\n")) for h in heads]
+    docs = table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(*bodies).alias("text"))
+    return chapters.dated_sections(docs)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE '{"start":"' || d || '","end":"' || d || '","precision":"day"}' END AS day, n_nationkey AS party
+FROM (SELECT event_id, strftime(ts::DATE - INTERVAL 1 MONTH, '%Y-%m-') || lpad((event_id % 28 + 1)::VARCHAR, 2, '0') AS d FROM events) LEFT JOIN nation ON n_nationkey = event_id % 26""")
+def extraction_enriched(spark, d):
+    events, nation = table(spark, d, "events"), table(spark, d, "nation")
+    known = events.select("event_id", "ts", (F.col("event_id") % 26).alias("n_nationkey")).join(nation, "n_nationkey", "left")
+    day = F.when(F.col("event_id") % 3 == 0, "some day").otherwise(F.concat(F.lit("the "), (F.col("event_id") % 28 + 1).cast("string"), F.lit("th ult.")))
+    fields = F.to_json(F.struct(day.alias("day"), F.coalesce(F.lower("n_name"), F.lit("nobody at all")).alias("party")))
+    rows = known.select(F.col("event_id").alias("extraction_id"), F.col("event_id").alias("passage_id"), F.lit(0).alias("n"), F.lit("letter").alias("record_type"), fields.alias("fields"))
+    names = nation.select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name"))
+    done = works.enrich(rows, events.select(F.col("event_id").alias("passage_id"), F.to_date("ts").alias("anchor")), names, {"letter": {"day": "fuzzy_date", "party": "entity_ref"}})
+    return done.select(F.col("extraction_id").alias("event_id"), F.col("resolved")["day"].alias("day"), F.get_json_object(F.col("resolved")["party"], "$.entity_id").cast("long").alias("party"))

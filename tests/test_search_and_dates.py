@@ -120,3 +120,27 @@ def test_quotes_that_name_their_document(spark):
     assert got[7]["context"].startswith(". filler words")
     anywhere = spark.createDataFrame([(1, "BETA GAMMA DELTA"), (2, "start alpha beta, or not")], "quote_id long, quote string")
     assert {r["quote_id"]: (r["verdict"], r["char_start"]) for r in quotes.verify(anywhere, docs).collect()} == {1: ("normalized", far + 7), 2: ("near", 0)}
+
+
+def test_surnames_and_directions(spark):
+    from scriptorium.operators import works
+
+    names = [("Stanton", "stanton"), ("Hon E M Stanton Secty of War", "stanton"), ("Genl. Edwin M. Stanton.", "stanton"), ("GBM to Lincoln", "lincoln"), ("you", None), ("Mr. X", None), ("the 42", None), ("", None), (None, None), ("Li", None)]
+    got = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(names)], "i int, n string").select("i", works.surname(F.col("n")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in got} == {i: s for i, (_, s) in enumerate(names)}
+    kinds = spark.createDataFrame([("enclosure",), ("received_letter",), ("else",), (None,)], "k string")
+    assert [r[0] for r in kinds.select(works.letter_direction(F.col("k"))).collect()] == ["sent_by_author", "received_by_author", "unknown", "unknown"]
+
+
+def test_chapters():
+    from scriptorium.operators import chapters
+
+    assert [chapters.chapter_number(t) for t in ("Seven", "XIV", "12", "TwentyFive", "xxvi", "zero")] == [7, 14, 12, 25, None, None]
+    body = "y" * 6000 + "\n"
+    contents = "Chapter 1\nChapter 2\nChapter 3\n"
+    book = contents + "".join(f"Chapter {i}\n{body}" for i in (1, 2)) + "Chapter 1 and 2 above\n" + "".join(f"Chapter {i}\n{body}" for i in (3, 4))
+    # The stray line begins an ascent of its own, 1, 3, 4, the only one of three lines a chapter apart.
+    assert [(a, line) for a, _, line, _ in chapters.chapter_sections(book)] == [(30 + 2 * 6011, "Chapter 1 and 2 above"), (30 + 2 * 6011 + 22, "Chapter 3"), (30 + 3 * 6011 + 22, "Chapter 4")]
+    whole = contents + "".join(f"Chapter {i}\n{body}" for i in (1, 2, 3, 4))
+    assert [(book_line, whole[a : a + 9]) for a, _, book_line, _ in chapters.chapter_sections(whole)] == [(f"Chapter {i}", f"Chapter {i}") for i in (1, 2, 3, 4)]
+    assert chapters.chapter_sections(whole + "z" * 40_000) == [] and chapters.chapter_sections("") == [] and chapters.chapter_sections(contents) == []
