@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import ann, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_counts, token_output, warc
+from scriptorium.llm import ann, divergence, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_counts, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_output": op3_token_output,
     "op5_packing": op5_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_divergence": op12_divergence,
 }
 
 OP10_SQL = r"""
@@ -94,7 +99,47 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+),
+words AS (
+  SELECT row_id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+),
+counts AS (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT row_id) >= 3),
+kept_counts AS (SELECT lang, source, term, n FROM counts JOIN kept USING (lang, term)),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+totals AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total, any_value(coalesce(v, 0)) AS v FROM groups g LEFT JOIN kept_counts k ON g.lang = k.lang AND g.source = k.source LEFT JOIN sizes s ON g.lang = s.lang GROUP BY ALL),
+grid AS (
+  SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 1) // (total + v) AS p
+  FROM totals t JOIN kept k ON t.lang = k.lang LEFT JOIN counts c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+),
+whole AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 1) // ((SELECT sum(total) FROM totals t WHERE t.lang = k.lang) + (SELECT v FROM sizes s WHERE s.lang = k.lang)) AS q
+  FROM kept_counts k GROUP BY lang, term
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM grid a JOIN grid b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+part_pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+),
+part_term AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM grid JOIN whole USING (lang, term) WHERE n > 0 AND p > q
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (FROM part_pair UNION ALL FROM part_term)
+)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_divergence": OP12_SQL,
     "op4_warc": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
