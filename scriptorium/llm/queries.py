@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import ann, divergence, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_counts, token_output, warc
+from scriptorium.llm import ann, clusters, divergence, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_counts, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,10 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents"))
 
 
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clusters(read(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op5_packing": op5_packing,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_divergence": op12_divergence,
+    "op13_clusters": op13_clusters,
 }
 
 OP10_SQL = r"""
@@ -138,7 +143,36 @@ ranked AS (
 SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
+
+
+def _op13_sql(k: int = 16, rounds: int = 3, width: int = 64) -> str:
+    """Plain k-means, round by round: the vectors' components as rows."""
+    parts = [
+        f"""kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: isfinite(x))) = {width}
+)""",
+        f"""centre0 AS (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INTEGER AS cluster, v AS c FROM kept ORDER BY sha256('1:' || vec_id) LIMIT {k})""",
+    ]
+    square = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for r in range(rounds + 1):
+        parts.append(f"near{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(struct_pack(d := {square}, cluster := cluster)) AS best FROM kept CROSS JOIN centre{r} GROUP BY vec_id)")
+        if r < rounds:
+            parts.append(
+                f"""mean{r} AS (
+  SELECT cluster, list(m ORDER BY i) AS c FROM (
+    SELECT best.cluster AS cluster, i, floor(sum(v[i])::DOUBLE / count(*))::BIGINT AS m FROM near{r}, range(1, {width + 1}) t(i) GROUP BY ALL
+  ) GROUP BY cluster
+), centre{r + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, o.c) AS c FROM centre{r} o LEFT JOIN mean{r} m USING (cluster))"""
+            )
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM near{rounds} JOIN centre{rounds} ON cluster = best.cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_clusters": _op13_sql(),
     "op12_divergence": OP12_SQL,
     "op4_warc": OP4_SQL,
     "op10_exact_dedup": OP10_SQL,
