@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import ann, clusters, divergence, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_counts, token_output, warc
+from scriptorium.llm import ann, clusters, decontaminate, divergence, exact_dedup, html_extract, mixing, near_dup, packing, quality, token_counts, token_output, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(read(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op3_token_output": op3_token_output,
     "op5_packing": op5_packing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_decontamination": op11_decontamination,
     "op12_divergence": op12_divergence,
     "op13_clusters": op13_clusters,
 }
@@ -171,7 +176,27 @@ SELECT vec_id, cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY clust
 FROM near{rounds} JOIN centre{rounds} ON cluster = best.cluster"""
 
 
+OP11_SQL = r"""
+WITH item_words AS (
+  SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+),
+windows AS (
+  SELECT DISTINCT item_id, list_slice(w, i + 1, i + 10) AS win FROM (SELECT item_id, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i FROM item_words WHERE len(w) > 0)
+),
+lengths AS (SELECT DISTINCT len(win) AS n FROM windows),
+doc_words AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+slices AS (SELECT row_id, i, n, list_slice(w, i + 1, i + n) AS win FROM (SELECT row_id, w, unnest(range(len(w))) AS i FROM doc_words), lengths WHERE i + n <= len(w)),
+hits AS (SELECT row_id, i, n, item_id FROM slices JOIN windows USING (win)),
+hit_words AS (SELECT row_id, count(DISTINCT pos) AS n_hit FROM (SELECT row_id, unnest(range(i, i + n)) AS pos FROM (SELECT DISTINCT row_id, i, n FROM hits)) GROUP BY row_id),
+hit_items AS (SELECT row_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY encode(item_id))) AS items_sha256 FROM (SELECT DISTINCT row_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (row_id) LEFT JOIN hit_items USING (row_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_decontamination": OP11_SQL,
     "op13_clusters": _op13_sql(),
     "op12_divergence": OP12_SQL,
     "op4_warc": OP4_SQL,
