@@ -145,6 +145,11 @@ def _per_document(found: DataFrame, owners: DataFrame) -> DataFrame:
         .groupBy("set_key", "windows").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
         .select(F.col("set_key").alias("of_set"), F.col("windows").alias("of_windows"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     )
-    out = rows.join(named, (F.col("set_key") == F.col("of_set")) & (F.col("windows") == F.col("of_windows")), "left")
-    out = out.select("doc_id", "n_words", "n_hit", F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "times")
+    # Written first, so that the join's sides are plain tables and a set that very many documents share can be split.
+    named = cut(named)
+    hit = rows.where(F.size("windows") > 0).join(named, (F.col("set_key") == F.col("of_set")) & (F.col("windows") == F.col("of_windows")), "left")
+    none = rows.where(F.size("windows") == 0)
+    result = lambda df, n, digest: df.select("doc_id", "n_words", "n_hit", n.alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "times")
+    no_items, no_digest = F.lit(0).cast("long"), F.sha2(F.lit(""), 256)
+    out = result(hit, F.coalesce("n_items", no_items), F.coalesce("items_sha256", no_digest)).union(result(none, no_items, no_digest))
     return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("times", "col")
