@@ -263,7 +263,8 @@ def kept_counts(docs: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
     """(lang, term, source, n): occurrences of each term that at least ``least`` documents of its language hold."""
     name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     counts = docs.select(name("lang"), name("source"), text_bytes().alias("data")).mapInArrow(_count_blocks, _COUNTS)
-    return counts.repartition("lang", "term").sortWithinPartitions("lang", "term", "source", "block").mapInArrow(_kept_runs(least), _KEPT)
+    # The same runs as with the language first, but a term's first bytes tell most rows apart.
+    return counts.repartition("lang", "term").sortWithinPartitions("term", "lang", "source", "block").mapInArrow(_kept_runs(least), _KEPT)
 
 
 def _p(n: Column, total: Column) -> Column:
