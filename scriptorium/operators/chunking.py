@@ -1,7 +1,9 @@
 """Chunkers: documents to passages whose text is exactly the canonical slice.
 
 Each chunker is a small function of one text; Spark deals documents to Arrow
-batches and explodes the spans.  Spans are half-open code points, trimmed.
+batches and explodes the spans.  Spans are half-open code points.  Sizes are in
+tokens, estimated by script, so that a window holds as much in Greek or Chinese
+as in English; pure ASCII texts count four characters a token.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from scriptorium.functions import tokens as K
+
 Span = tuple[int, int]
 #: Sizes in tokens or characters that chunkers must share with the stored passages.
 FIXED_CHARS, FIXED_OVERLAP = 2000, 200
 PROSE_TOKENS, PROSE_OVERLAP = 500, 50
 WHOLE_TOKENS, CEILING_TOKENS = 600, 2000
-CHARS_PER_TOKEN = 4.0
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
-_BLANK = re.compile(r"\n[ \t]*\n\s*")
+_BLANK = re.compile(r"\n\s*\n")
 _HEADING = re.compile(r"(?m)^(#{1,6})[ \t]+(.+?)[ \t]*#*[ \t]*$")
 
 
@@ -45,30 +48,33 @@ def between(text: str, breaks: re.Pattern) -> list[Span]:
     return out
 
 
-def tokens(n_chars: int) -> float:
-    return n_chars / CHARS_PER_TOKEN
-
-
 def split_long(text: str, span: Span, most: int) -> list[Span]:
-    """A span in pieces of at most ``most`` characters: cut at the last newline, else space, else hard."""
+    """A span in pieces of at most ``most`` characters, each up to the last newline in reach, else space, else full; blank ones are left out."""
     start, end = span
     out = []
     while end - start > most:
-        window = text[start : start + most]
-        at = max(window.rfind("\n"), 0) or max(window.rfind(" "), 0) or most
-        if piece := trim(text, (start, start + at)):
-            out.append(piece)
-        start += at
-        while start < end and text[start].isspace():
-            start += 1
-    if piece := trim(text, (start, end)):
-        out.append(piece)
+        reach = (start + 1, start + most)
+        at = next((x for x in (text.rfind("\n", *reach), text.rfind(" ", *reach)) if x > start), reach[1])
+        out.append((start, at))
+        start = at
+    return [(a, b) for a, b in [*out, (start, end)] if text[a:b].strip()]
+
+
+def capped(text: str, spans: list[Span], most: int) -> list[Span]:
+    """Spans of more than ``most`` tokens by their own script mix, split at their densest script."""
+    out = []
+    for a, b in spans:
+        own = text[a:b]
+        fits = K.count(len(own), K.rate(own)) <= most
+        out += [(a, b)] if fits else split_long(text, (a, b), K.budget(most, K.densest(own)))
     return out
 
 
 def fixed_window(text: str, size: int = FIXED_CHARS, overlap: int = FIXED_OVERLAP) -> list[Span]:
-    """Windows of ``size`` characters, each beginning ``size - overlap`` after the last."""
-    out, step = [], size - overlap
+    """Trimmed windows of ``size`` characters (of ASCII; fewer in a denser script), each beginning ``overlap`` before the end of the last."""
+    scale = K.rate(text) / K.ASCII
+    size, overlap = max(1, int(size * scale)), int(overlap * scale)
+    step, out = max(1, size - overlap), []
     for start in range(0, max(len(text), 1), step):
         if span := trim(text, (start, min(start + size, len(text)))):
             out.append(span)
@@ -81,36 +87,47 @@ def paragraphs(text: str) -> list[Span]:
     return between(text, _BLANK)
 
 
+def sentences(text: str) -> list[Span]:
+    """Spans between sentence ends; the white space there is in none."""
+    ends = [(0, 0), *(m.span() for m in _SENTENCE.finditer(text)), (len(text), len(text))]
+    return [(a[1], b[0]) for a, b in zip(ends, ends[1:], strict=False) if a[1] < b[0]]
+
+
 def prose_window(text: str, budget: int = PROSE_TOKENS, overlap: int = PROSE_OVERLAP) -> list[Span]:
     """Whole sentences up to ``budget`` tokens; a window repeats the last sentences that fit ``overlap`` tokens."""
-    most = int(budget * CHARS_PER_TOKEN)
-    sentences = [p for s in between(text, _SENTENCE) for p in split_long(text, s, most)]
+    if not text.strip():
+        return []
+    rate = K.rate(text)
+    size = lambda span: K.count(span[1] - span[0], rate)
+    units = capped(text, [p for s in sentences(text) for p in split_long(text, s, K.budget(budget, rate))], budget)
     out: list[Span] = []
     window: list[Span] = []
-    for s in sentences:
-        if window and s[1] - window[0][0] > most:
+    held = 0
+    for unit in units:
+        if window and held + size(unit) > budget:
             out.append((window[0][0], window[-1][1]))
-            tail: list[Span] = []
-            while window and tokens(window[-1][1] - window[-1][0] + sum(b - a for a, b in tail)) <= overlap and s[1] - window[-1][0] <= most:
-                tail.insert(0, window.pop())
-            window = tail
-        window.append(s)
-    if window:
-        out.append((window[0][0], window[-1][1]))
-    return out
+            kept, held = len(window), 0
+            while kept and held + size(window[kept - 1]) <= overlap:
+                kept -= 1
+                held += size(window[kept])
+            window = window[kept:]
+        window.append(unit)
+        held += size(unit)
+    return [*out, (window[0][0], window[-1][1])] if window else out
 
 
 def whole_or_paragraph(text: str) -> list[Span]:
     """The whole text if short, else its paragraphs, none above the ceiling."""
-    whole = trim(text, (0, len(text)))
-    if whole is None or tokens(len(text)) <= WHOLE_TOKENS:
-        return [whole] if whole else []
-    return paragraph_passages(text)
+    if not text.strip():
+        return []
+    short = K.count(len(text), K.rate(text)) <= WHOLE_TOKENS and len(text) <= K.budget(CEILING_TOKENS, K.densest(text))
+    return [(0, len(text))] if short else paragraph_passages(text)
 
 
 def paragraph_passages(text: str) -> list[Span]:
-    """Paragraphs, none above the ceiling."""
-    return [p for s in paragraphs(text) for p in split_long(text, s, int(CEILING_TOKENS * CHARS_PER_TOKEN))]
+    """Paragraphs, none above the ceiling, which is that of the text's densest script."""
+    most = K.budget(CEILING_TOKENS, K.densest(text))
+    return [p for s in paragraphs(text) for p in split_long(text, s, most)]
 
 
 def markdown_sections(text: str) -> list[tuple[int, int, str, int]]:
@@ -120,7 +137,7 @@ def markdown_sections(text: str) -> list[tuple[int, int, str, int]]:
 
 
 def structural(text: str) -> list[Span]:
-    """A section is a passage if it fits a prose window, else prose windows; without sections, prose windows."""
+    """A section is a passage if it fits a prose window by its own scripts, else prose windows; text before the first heading is one too. Without sections, prose windows."""
     sections = markdown_sections(text)
     if not sections:
         return prose_window(text)
@@ -128,10 +145,11 @@ def structural(text: str) -> list[Span]:
     out = []
     for start, end, _, _ in lead + sections:
         span = trim(text, (start, end))
-        if span and tokens(span[1] - span[0]) <= PROSE_TOKENS:
+        own = text[slice(*span)] if span else ""
+        if own and K.count(len(own), K.rate(own)) <= PROSE_TOKENS:
             out.append(span)
-        elif span:
-            out += [(span[0] + a, span[0] + b) for a, b in prose_window(text[span[0] : span[1]])]
+        elif own:
+            out += [(span[0] + a, span[0] + b) for a, b in prose_window(own)]
     return out
 
 
@@ -141,16 +159,21 @@ CHUNKERS: dict[str, Callable[[str], list[Span]]] = {
 
 
 def chunk(docs: DataFrame, chunker: str | Callable[[str], list[Span]]) -> DataFrame:
-    """Passages of each document: doc_id, position, char_start, char_end, text."""
+    """Passages of each document: doc_id, position, char_start, char_end, text, tokens (estimated at the passage's own rate by ``structural``, else at the document's)."""
     cut = CHUNKERS[chunker] if isinstance(chunker, str) else chunker
+    own_rate = cut is structural
 
-    @F.pandas_udf("array<struct<char_start int, char_end int>>")
+    @F.pandas_udf("array<struct<char_start int, char_end int, tokens int>>")
     def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"char_start": a, "char_end": b} for a, b in cut(t or "")])
+        def of(text: str) -> list[dict]:
+            rate = K.rate(text)
+            return [{"char_start": a, "char_end": b, "tokens": K.count(b - a, K.rate(text[a:b]) if own_rate else rate)} for a, b in cut(text)]
+
+        return texts.map(lambda t: of(t or ""))
 
     exploded = docs.select("doc_id", "text", F.posexplode(spans("text")).alias("position", "s"))
     slice_ = F.substring("text", F.col("s.char_start") + 1, F.col("s.char_end") - F.col("s.char_start"))
-    return exploded.select("doc_id", "position", "s.char_start", "s.char_end", slice_.alias("text"))
+    return exploded.select("doc_id", "position", "s.char_start", "s.char_end", slice_.alias("text"), "s.tokens")
 
 
 def fixed_windows_native(docs: DataFrame, size: int = FIXED_CHARS, overlap: int = FIXED_OVERLAP) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import dates, jsons
+from scriptorium.functions import dates, jsons, tokens
 from scriptorium.functions import text as T
 from scriptorium.operators import aggregates, checks, chunking, lexicon, quotes, relations, search, spans, works
 from scriptorium.session import spread, table
@@ -167,14 +167,14 @@ def outer_join_counts(spark, d):
     return joined.groupBy("n_name", "r_name").agg(F.count("c_custkey").alias("customers"))
 
 
-@query("""SELECT a.c_custkey AS source, b.c_custkey AS target FROM customer a JOIN orders o ON o.o_custkey = a.c_custkey
-JOIN customer b ON b.c_nationkey = a.c_nationkey AND b.c_mktsegment = a.c_mktsegment AND b.c_custkey > a.c_custkey WHERE o.o_totalprice > 400000 GROUP BY ALL""")
+@query("""WITH e AS (SELECT DISTINCT o_custkey AS c, l_suppkey AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+SELECT a.c_custkey AS source, b.s_suppkey AS target, a.c_name AS source_name, b.s_name AS target_name, a.c_nationkey = b.s_nationkey AS same_nation FROM e JOIN customer a ON a.c_custkey = c JOIN supplier b ON b.s_suppkey = s""")
 def double_self_join(spark, d):
-    customers = table(spark, d, "customer")
-    big = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    a = customers.join(big, "c_custkey", "left_semi").select(F.col("c_custkey").alias("source"), "c_nationkey", "c_mktsegment")
-    b = customers.select(F.col("c_custkey").alias("target"), "c_nationkey", "c_mktsegment")
-    return a.join(b, ["c_nationkey", "c_mktsegment"]).where("target > source").select("source", "target").distinct()
+    bought = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    edges = bought.select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target")).distinct()
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("source"), F.col("c_name").alias("source_name"), F.col("c_nationkey").alias("nation"))
+    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_name").alias("target_name"), F.col("s_nationkey").alias("of_nation"))
+    return edges.join(a, "source").join(b, "target").select("source", "target", "source_name", "target_name", (F.col("nation") == F.col("of_nation")).alias("same_nation"))
 
 
 @query("SELECT o_orderkey, o_totalprice, ord FROM orders JOIN (VALUES (0, 7), (1, 1), (2, 999999999), (3, 3)) v(ord, id) ON o_orderkey = id")
@@ -523,6 +523,25 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
 
+# A text of more than 60,000 characters is estimated from every so-manyth of them.
+_SCRIPT_COSTS = " + ".join(
+    f"length(regexp_replace(s, '[^{chars}]', '', 'g')) / {rate}"
+    for rate, chars in (
+        ("4.0", r"\x00-\x7F\x{400}-\x{4FF}"), ("3.0", r"\x{100}-\x{24F}\x{1E00}-\x{1EFF}"), ("1.68", r"\x{370}-\x{3FF}\x{1F00}-\x{1FFF}"), ("1.4", r"\x{590}-\x{5FF}\x{FB1D}-\x{FB4F}"),
+        ("3.4", r"\x{600}-\x{6FF}\x{750}-\x{77F}"), ("1.5", r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}"),
+    )
+)
+_OTHER_SCRIPTS = r"length(regexp_replace(s, '[\x00-\x7F\x{100}-\x{24F}\x{370}-\x{4FF}\x{590}-\x{6FF}\x{750}-\x{77F}\x{1E00}-\x{1FFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4F}]', '', 'g')) / 2.0"
+
+
+@query(f"""SELECT doc_id, round(rate, 6) AS rate, greatest(1, floor(length(text) / rate))::INT AS tokens FROM (
+SELECT doc_id, text, CASE WHEN text = '' THEN 4.0 ELSE length(s) / ({_SCRIPT_COSTS} + {_OTHER_SCRIPTS}) END::DOUBLE AS rate FROM (
+SELECT doc_id, coalesce(text, '') AS text, CASE WHEN length(text) > 60000 THEN array_to_string(string_split(text, '')[1:-1:length(text) // 60000 + 1], '') ELSE coalesce(text, '') END AS s FROM documents))""")
+def script_tokens(spark, d):
+    rated = spread(table(spark, d, "documents")).select("doc_id", "text", tokens.rates(F.col("text"))["rate"].alias("exact"))
+    return rated.select("doc_id", F.round("exact", 6).alias("rate"), tokens.estimate(F.col("text"), F.col("exact")).alias("tokens"))
+
+
 @query()
 def prose_window_chunks(spark, d):
     return chunking.chunk(spread(table(spark, d, "documents")), "prose_window")

@@ -19,7 +19,9 @@ def test_chunkers_quote_their_text(name):
     for text in texts:
         last = -1
         for a, b in chunking.CHUNKERS[name](text):
-            assert 0 <= a < b <= len(text) and text[a:b] == text[a:b].strip() and a > last
+            assert 0 <= a < b <= len(text) and text[a:b].strip() and a > last
+            # Windows of sentences and pieces of long ones keep the white space at their ends.
+            assert name != "fixed_window" or text[a:b] == text[a:b].strip()
             assert b - a <= 8000
             last = a
         covered = set().union(*[range(a, b) for a, b in chunking.CHUNKERS[name](text)] or [set()])

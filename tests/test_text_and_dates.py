@@ -72,3 +72,39 @@ def test_trigrams(spark):
 ])
 def test_json_containment(spark, data, literal, want):
     assert one(spark, jsons.contains(F.col("j"), literal), j=data) is want
+
+
+def test_tokens_by_script(spark):
+    from scriptorium.functions import tokens as K
+
+    def plain(text):
+        sample = text[:: len(text) // 60_000 + 1] if len(text) > 60_000 else text
+        cost = lambda c: 1 / (4 if c < 128 else next((r for a, b, r in K.SCRIPTS if a <= c <= b), 2))
+        costs = [cost(ord(c)) for c in sample]
+        return (len(sample) / sum(costs), 1 / max(costs)) if costs else (4, 4)
+
+    texts = ["", "plain", "λόγος", "Ἐν ἀρχῇ ἦν ὁ λόγος and more", "בְּרֵאשִׁית", "日本語テキスト", "мир", "سلام", "Ţ ɏ ế é 🙂", "é" * 70_001 + "字" * 60_000, "퟿￿\U0010ffff"]
+    for t in texts:
+        assert (K.rate(t), K.densest(t)) == pytest.approx(plain(t))
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string").select("i", "t", K.rates(F.col("t")).alias("r")).select("i", "r.*", K.estimate(F.col("t"), F.col("r.rate")).alias("n")).collect()
+    for r, t in zip(sorted(rows), [*texts, ""], strict=True):
+        assert (r.rate, r.densest) == pytest.approx(plain(t)) and r.n == max(1, int(len(t) / r.rate))
+
+
+def test_chunks_hold_as_many_tokens_in_every_script():
+    from scriptorium.functions import tokens as K
+    from scriptorium.operators import chunking
+
+    greek = "λόγος ἐστὶν ἀρχὴ πάντων καὶ τέλος. Ἀλλὰ μή. " * 400
+    mixed = "An English sentence of some length here. " * 300 + greek
+    for text in (greek, mixed, "漢" * 9000, "a" * 9000):
+        windows = chunking.prose_window(text)
+        assert max(K.count(b - a, K.rate(text)) for a, b in windows) <= 510  # the document's rate, as in a book that quotes another script
+        assert all(K.count(b - a, K.rate(text[a:b])) <= 2000 for a, b in chunking.whole_or_paragraph(text))
+    assert {b - a for a, b in chunking.prose_window("漢" * 9000)} == {750} and {b - a for a, b in chunking.fixed_window("漢" * 7500)} == {750}
+    # Latin windows: 2,000 characters a window, the last sentences of at most 50 tokens repeated.
+    english = "".join(f"Sentence number {i:03d} is here. " for i in range(200))
+    spans = chunking.prose_window(english)
+    assert all(english[a:b].startswith("Sentence") and english[a:b].endswith(".") for a, b in spans)
+    assert all(a[1] > b[0] and a[1] - b[0] <= 4 * 57 for a, b in zip(spans, spans[1:], strict=False))
+    assert chunking.paragraphs("a\r\n\r\nb\n \n\nc") == [(0, 1), (5, 6), (10, 11)]
