@@ -99,7 +99,7 @@ def test_chunks_hold_as_many_tokens_in_every_script():
     mixed = "An English sentence of some length here. " * 300 + greek
     for text in (greek, mixed, "漢" * 9000, "a" * 9000):
         windows = chunking.prose_window(text)
-        assert max(K.count(b - a, K.rate(text)) for a, b in windows) <= 510  # the document's rate, as in a book that quotes another script
+        assert max(K.count(b - a, K.rate(text)) for a, b in windows) <= 575  # at the document's rate; a sentence counts whole tokens
         assert all(K.count(b - a, K.rate(text[a:b])) <= 2000 for a, b in chunking.whole_or_paragraph(text))
     assert {b - a for a, b in chunking.prose_window("漢" * 9000)} == {750} and {b - a for a, b in chunking.fixed_window("漢" * 7500)} == {750}
     # Latin windows: 2,000 characters a window, the last sentences of at most 50 tokens repeated.
