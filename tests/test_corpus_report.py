@@ -20,14 +20,14 @@ def test_planted_defects(spark):
     good = (1, 1, 0, 5, "Grüße", 1, "c", "2")
     passages = [
         good, (2, 1, 6, 3, "", 1, "c", "2"), (3, 1, None, None, "x", 1, "c", "1"), (4, 4, None, 5, "x", None, None, None), (5, 3, 0, None, "x", None, "d", "1"), (6, 2, 0, 1, "  ", None, "c", "2"),
-        (7, 1, 0, 99, "Grüße", 1, "c", "2"), (8, 1, -1, 5, "Grüße", 1, "c", "2"), (9, 1, 0, 5, "Gruße", 2, "c", "2"), (10, 1, 7, 11, "Welt", 1, "c", "1"), (11, 1, 0, 5, "漢" * 700, 1, "c", "2"), (12, 1, 0, 5, "漢" * 700, 1, "c", None),
+        (7, 1, 0, 99, "Grüße", 1, "c", "2"), (8, 1, -1, 5, "Grüße", 1, "c", "2"), (9, 1, 0, 5, "Gruße", 2, "c", "2"), (10, 1, 7, 11, "Welt", 1, "c", "1"), (11, 1, 0, 5, "漢" * 1000, 1, "c", "2"), (12, 1, 0, 5, "漢" * 1000, 1, "c", None),
     ]
     found = {(r.check, r.id) for r in diagnostics.offenders(corpus(spark, passages, [(1, "Grüße, Welt"), (2, None)]), {"c": "2"}).collect()}
     assert found == {
         ("passage_span_well_formed", "2"), ("passage_has_offsets", "3"), ("passage_offsets_recoverable_by_reparse", "4"), ("passage_offsets_need_a_pack_reingest", "5"), ("document_has_canonical_text", "4"),
         ("document_text_needs_a_pack_reingest", "2"), ("document_text_needs_a_pack_reingest", "3"), ("passage_is_not_empty", "2"), ("passage_is_not_empty", "6"), ("passage_span_within_the_text", "7"),
         ("passage_span_within_the_text", "8"), ("passage_text_matches_its_span", "9"), ("passage_text_matches_its_span", "11"), ("passage_text_matches_its_span", "12"), ("passages_on_current_chunker_versions", "3"),
-        ("passages_on_current_chunker_versions", "10"), ("passages_on_current_chunker_versions", "12"), ("current_chunkers_are_not_emitting_oversized_passages", "c 2: 700 chars"), ("passage_is_not_oversized", "12"),
+        ("passages_on_current_chunker_versions", "10"), ("passages_on_current_chunker_versions", "12"), ("current_chunkers_are_not_emitting_oversized_passages", "c 2: 1000 chars"), ("passage_is_not_oversized", "12"),
     }
 
 
