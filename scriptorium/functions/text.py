@@ -163,3 +163,36 @@ def isbn13(text: Column) -> Column:
 def year(text: Column) -> Column:
     """Leading four-digit year, null if there is none."""
     return F.regexp_extract(text, r"^(\d{4})(?!\d)", 1).try_cast("int")
+
+
+#: Titles that tools write when nobody gave one, and authors that are a login, an office or a tool.
+GENERIC_TITLES = [
+    "untitled", "unknown", "document", "documento", "presentation", "powerpoint presentation", "(anonymous)", "anonymous", "no title", "title", "new document", "book1", "sheet1",
+]
+GENERIC_AUTHORS = [
+    "anonymous", "(anonymous)", "administrator", "admin", "user", "windows user", "owner", "guest", "unknown", "author", "default", "none", "(none)",
+    "camscanner", "adobe acrobat", "microsoft word", "pdfkit", "scansnap", "prince",
+]
+#: Names that tools make up, endings of files, identifiers of machines, licensees and logins.
+NUMBERED_TITLE, TOOL_TITLE, FILE_ENDING = r"(?i)^(document|doc|file|untitled|book|sheet)\s*\d+$", r"(?i)^microsoft (word|powerpoint|excel) - ", r"(?i)\.(pdf|docx?|indd|pptx?|odt|rtf|tex|qxd|fm|pages|epub)$"
+IDENTIFIER, LICENSEE, LOGIN = r"_(\S|$)", r"(?i)^registered to\s*:", r"^[A-Z]{2}[a-z]+$"
+
+
+def _mostly_letters(text: Column) -> Column:
+    letters = F.length(F.regexp_replace(text, r"\P{L}", ""))
+    return (letters >= 3) & (2 * letters >= F.length(F.regexp_replace(text, r"(?U)\s", "")))
+
+
+def usable_title(raw: Column) -> Column:
+    """A declared title without its file's ending, or null if a tool made it up."""
+    title = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(title, FILE_ENDING, ""), r"(?U)\s+$", "")
+    made_up = F.lower(title).isin(GENERIC_TITLES) | F.regexp_like(title, F.lit(NUMBERED_TITLE)) | F.regexp_like(title, F.lit(TOOL_TITLE)) | F.regexp_like(bare, F.lit(IDENTIFIER))
+    return F.when(~made_up & _mostly_letters(bare), bare)
+
+
+def usable_author(raw: Column) -> Column:
+    """A declared author, or null if that is a login, an office, a licensee or a tool."""
+    author = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    no_name = F.lower(author).isin(GENERIC_AUTHORS) | F.regexp_like(author, F.lit(LICENSEE)) | F.regexp_like(author, F.lit(IDENTIFIER)) | F.regexp_like(author, F.lit(LOGIN))
+    return F.when(~no_name & _mostly_letters(author), author)

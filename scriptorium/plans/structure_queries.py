@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import dates
+from scriptorium.functions import text as T
 from scriptorium.operators import catalog, chapters, quotes, reading, reindex, search, works
 from scriptorium.plans.queries import _COSINE, _WORDS, LEXEMES, query, six
 from scriptorium.session import table
@@ -541,3 +542,20 @@ def extraction_enriched(spark, d):
     names = nation.select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("name"))
     done = works.enrich(rows, events.select(F.col("event_id").alias("passage_id"), F.to_date("ts").alias("anchor")), names, {"letter": {"day": "fuzzy_date", "party": "entity_ref"}})
     return done.select(F.col("extraction_id").alias("event_id"), F.col("resolved")["day"].alias("day"), F.get_json_object(F.col("resolved")["party"], "$.entity_id").cast("long").alias("party"))
+
+
+# What tools declare, by the order's number; the clean ones are the type and the name of a part.
+_DECLARED = """CASE p_partkey % 12 WHEN 0 THEN 'Microsoft Word - a report.doc' WHEN 1 THEN concat('Document', CAST(p_partkey AS STRING)) WHEN 2 THEN 'Untitled' WHEN 3 THEN concat(CAST(p_partkey AS STRING), '[1].pdf') WHEN 4 THEN concat(p_name, '.docx')
+WHEN 5 THEN concat('output_', p_name) WHEN 6 THEN concat('  ', p_type, '_ part ') WHEN 7 THEN '' WHEN 8 THEN NULL ELSE p_type END AS title"""
+_AUTHORS = """CASE p_partkey % 10 WHEN 0 THEN 'PWinter' WHEN 1 THEN 'Registered to: GEICO' WHEN 2 THEN 'CamScanner' WHEN 3 THEN 'Pagination_Cover' WHEN 4 THEN concat('PP', CAST(p_partkey AS STRING)) WHEN 5 THEN NULL WHEN 6 THEN ' McClellan, George Brinton, 1826-1885 ' ELSE p_brand END AS author"""
+
+
+@query(f"""WITH r AS (SELECT p_partkey, trim(title) AS title, trim(author) AS author FROM (SELECT p_partkey, {_DECLARED}, {_AUTHORS} FROM part)),
+b AS (SELECT *, rtrim(regexp_replace(title, '\\.(pdf|docx?|indd|pptx?|odt|rtf|tex|qxd|fm|pages|epub)$', '', 'i')) AS bare FROM r),
+n AS (SELECT *, length(regexp_replace(bare, '[^\\p{{L}}]', '', 'g')) AS t_letters, length(regexp_replace(bare, '\\s', '', 'g')) AS t_dense, length(regexp_replace(author, '[^\\p{{L}}]', '', 'g')) AS a_letters, length(regexp_replace(author, '\\s', '', 'g')) AS a_dense FROM b)
+SELECT p_partkey, CASE WHEN lower(title) <> 'untitled' AND NOT regexp_matches(title, '^(document|doc|file|untitled|book|sheet)\\s*\\d+$', 'i') AND NOT regexp_matches(title, '^microsoft (word|powerpoint|excel) - ', 'i')
+AND NOT regexp_matches(bare, '_(\\S|$)') AND t_letters >= 3 AND 2 * t_letters >= t_dense THEN bare END AS title,
+CASE WHEN lower(author) <> 'camscanner' AND NOT regexp_matches(author, '^registered to\\s*:', 'i') AND NOT regexp_matches(author, '_(\\S|$)') AND NOT regexp_matches(author, '^[A-Z]{{2}}[a-z]+$') AND a_letters >= 3 AND 2 * a_letters >= a_dense THEN author END AS author FROM n""")
+def usable_names(spark, d):
+    declared = table(spark, d, "part").selectExpr("p_partkey", _DECLARED, _AUTHORS)
+    return declared.select("p_partkey", T.usable_title(F.col("title")).alias("title"), T.usable_author(F.col("author")).alias("author"))
