@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from scriptorium.plans import corpus_queries, file_queries, queries, structure_queries, verse_queries, work_queries  # noqa: F401
+from scriptorium.plans import corpus_queries, file_queries, queries, record_queries, structure_queries, verse_queries, work_queries  # noqa: F401
 from scriptorium.session import TABLES
 
 DATA = "/root/testdata/sf0.001"
