@@ -86,24 +86,31 @@ def offenders(c: Corpus, versions: dict[str, str]) -> DataFrame:
     """(check, id) of everything that breaks a check; ``versions`` are those of the chunkers in use."""
     found = lambda rows, check, key: rows.select(F.lit(check).alias("check"), key.cast("string").alias("id"))
     p, held = F.col("passage_id"), c.texts.where("text is not null").select("doc_id")
-    slots = c.passages.where("char_start is null or char_end is null").select("passage_id", "doc_id")
-    textless = c.passages.join(held, "doc_id", "left_anti").join(c.documents.select("doc_id", "source"), "doc_id")
-    lost = textless.where("char_start is null or char_end is null")
+    # What is asked of a passage alone or of its document's facts is asked in one pass; its text stays where it is.
+    facts = c.documents.select("doc_id", "source").join(held.withColumn("has_text", F.lit(True)), "doc_id", "full")
+    sized = c.passages.select("passage_id", "doc_id", "char_start", "char_end", "chunker", "chunker_version", (F.trim("text") == "").alias("blank"), (K.by_bytes(F.col("text")) > OVERSIZED).alias("oversized"), F.length("text").alias("n_chars"))
+    rows = sized.join(facts, "doc_id", "left")
+    slot = F.col("char_start").isNull() | F.col("char_end").isNull()
+    textless = F.col("has_text").isNull() & F.col("source").isNotNull()
     uri = is_uri(F.col("source"))
     expected = F.coalesce(*[F.when(F.col("chunker") == k, F.lit(v)) for k, v in versions.items()]) if versions else F.lit(None).cast("string")
     in_use = F.coalesce(F.col("chunker_version") == expected, F.lit(False))
-    oversized = c.passages.where(K.by_bytes(F.col("text")) > OVERSIZED)
+    emitted = F.format_string("%s %s: %d chars", "chunker", "chunker_version", "n_chars")
+    tests = [
+        ("passage_span_well_formed", F.col("char_end") < F.col("char_start"), p),
+        ("passage_has_offsets", slot & F.col("has_text"), p),
+        ("passage_offsets_recoverable_by_reparse", slot & textless & ~uri, p),
+        ("passage_offsets_need_a_pack_reingest", slot & textless & uri, p),
+        ("passage_is_not_empty", F.col("blank"), p),
+        ("passage_is_not_oversized", F.col("oversized") & ~in_use, p),
+        ("current_chunkers_are_not_emitting_oversized_passages", F.col("oversized") & in_use, emitted),
+        ("passages_on_current_chunker_versions", expected.isNotNull() & ~F.col("chunker_version").eqNullSafe(expected), p),
+    ]
+    broken = F.filter(F.array(*[F.when(test, F.struct(F.lit(check).alias("check"), key.cast("string").alias("id"))) for check, test, key in tests]), lambda x: x.isNotNull())
+    lost = rows.where(textless).select("doc_id", uri.alias("uri")).distinct()
     out = [
-        found(c.passages.where("char_end < char_start"), "passage_span_well_formed", p),
-        found(slots.join(held, "doc_id", "left_semi"), "passage_has_offsets", p),
-        found(lost.where(~uri), "passage_offsets_recoverable_by_reparse", p),
-        found(lost.where(uri), "passage_offsets_need_a_pack_reingest", p),
-        found(textless.where(~uri).select("doc_id").distinct(), "document_has_canonical_text", F.col("doc_id")),
-        found(textless.where(uri).select("doc_id").distinct(), "document_text_needs_a_pack_reingest", F.col("doc_id")),
-        found(c.passages.where(F.trim("text") == ""), "passage_is_not_empty", p),
-        found(oversized.where(~in_use), "passage_is_not_oversized", p),
-        found(oversized.where(in_use), "current_chunkers_are_not_emitting_oversized_passages", F.format_string("%s %s: %d chars", "chunker", "chunker_version", F.length("text"))),
-        found(c.passages.where(expected.isNotNull() & ~F.col("chunker_version").eqNullSafe(expected)), "passages_on_current_chunker_versions", p),
+        rows.select(F.explode(broken).alias("b")).select("b.check", "b.id"),
+        lost.select(F.when(F.col("uri"), "document_text_needs_a_pack_reingest").otherwise("document_has_canonical_text").alias("check"), F.col("doc_id").cast("string").alias("id")),
         span_faults(c),
     ]
     if c.embedded is not None:

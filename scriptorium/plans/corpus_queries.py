@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import diagnostics
 from scriptorium.plans.queries import query
-from scriptorium.plans.structure_queries import _D, _P, texts, windows
+from scriptorium.plans.structure_queries import _D, _P, texts
 
 VERSIONS = {"fixed_window": "4.0", "prose_window": "4.0"}
 _PASSAGES = [
@@ -57,7 +57,8 @@ _LISTED = ", ".join(f"('{name}', '{severity}')" for name, severity in diagnostic
 
 def corpus(spark: SparkSession, d: str) -> diagnostics.Corpus:
     docs = texts(spark, d)
-    cut = windows(docs, 300).join(docs.select("doc_id", "text"), "doc_id").withColumn("piece", F.expr("substr(text, char_start + 1, char_end - char_start)")).drop("text")
+    at = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 300).cast("int"))).alias("position"))
+    cut = at.select((F.col("doc_id") * 100000 + F.col("position")).alias("passage_id"), "doc_id", "position", (F.col("position") * 300).alias("char_start"), F.least(F.col("position") * 300 + 300, F.col("n")).alias("char_end"), F.expr("substr(text, position * 300 + 1, 300)").alias("piece"))
     return diagnostics.Corpus(
         passages=cut.selectExpr(*_PASSAGES), documents=docs.selectExpr(*_DOCUMENTS), texts=docs.where("doc_id % 23 <> 7").select("doc_id", "text"),
         nodes=docs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).selectExpr(*_NODES), embedded=cut.where("doc_id % 43 <> 11").select("passage_id"), indexed=cut.where("doc_id % 47 <> 12").select("passage_id"),
