@@ -114,6 +114,14 @@ def slice_span(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (low + 1).cast("int"), F.greatest(end - low, F.lit(0)).cast("int"))
 
 
+def windows(text: Column, size: int, step: int | None = None) -> Column:
+    """The windows of ``size`` characters that begin every ``step`` (``size`` if None) characters of a text, the last ones shorter; none for an empty text.
+
+    One pass over the text; slices by offset would each count its characters from the start.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{step or size}}}"), F.lit(1))
+
+
 def words(text: Column) -> Column:
     """Lower-case words (letters and digits of any script), in order."""
     return F.filter(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from scriptorium.functions import tokens as K
+from scriptorium.session import stored
 
 #: The checks and their severities.
 CHECKS = {
@@ -152,7 +153,7 @@ def report(c: Corpus, versions: dict[str, str], samples: int = 5) -> DataFrame:
     spark = c.passages.sparkSession
     left_out = set(skipped(c))
     listed = spark.createDataFrame([(name, "info" if name in left_out else severity, name in left_out) for name, severity in CHECKS.items()], "check string, severity string, skipped boolean")
-    found = offenders(c, versions)
+    found = stored(offenders(c, versions))  # read twice
     least = F.row_number().over(Window.partitionBy("check").orderBy("id"))
     # A check's smallest ids: ranks are cut off before the shuffle.
     few = found.withColumn("nth", least).where(F.col("nth") <= samples).groupBy("check").agg(F.sort_array(F.collect_list("id")).alias("samples"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.operators import diagnostics
 from scriptorium.plans.queries import query
-from scriptorium.plans.structure_queries import _D, _P, texts
+from scriptorium.plans.structure_queries import _D, _P, texts, windows
 
 VERSIONS = {"fixed_window": "4.0", "prose_window": "4.0"}
 _PASSAGES = [
@@ -57,12 +58,13 @@ _LISTED = ", ".join(f"('{name}', '{severity}')" for name, severity in diagnostic
 
 def corpus(spark: SparkSession, d: str) -> diagnostics.Corpus:
     docs = texts(spark, d)
-    at = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 300).cast("int"))).alias("position"))
-    cut = at.select((F.col("doc_id") * 100000 + F.col("position")).alias("passage_id"), "doc_id", "position", (F.col("position") * 300).alias("char_start"), F.least(F.col("position") * 300 + 300, F.col("n")).alias("char_end"), F.expr("substr(text, position * 300 + 1, 300)").alias("piece"))
+    passage, start = (F.col("doc_id") * 100000 + F.col("position")).alias("passage_id"), F.col("position") * 300
+    at = windows(docs, 300)
+    cut = docs.select("doc_id", F.posexplode(T.windows(F.col("text"), 300)).alias("position", "piece")).select(passage, "doc_id", "position", start.alias("char_start"), (start + F.length("piece")).alias("char_end"), "piece")
     return diagnostics.Corpus(
         passages=cut.selectExpr(*_PASSAGES), documents=docs.selectExpr(*_DOCUMENTS), texts=docs.where("doc_id % 23 <> 7").select("doc_id", "text"),
-        nodes=docs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).selectExpr(*_NODES), embedded=cut.where("doc_id % 43 <> 11").select("passage_id"), indexed=cut.where("doc_id % 47 <> 12").select("passage_id"),
-        words=cut.selectExpr(*_WORDS), extractions=cut.selectExpr(*_EXTRACTIONS), records=cut.where("position % 6 <> 3").selectExpr(*_RECORDS),
+        nodes=docs.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).selectExpr(*_NODES), embedded=at.where("doc_id % 43 <> 11").select("passage_id"), indexed=at.where("doc_id % 47 <> 12").select("passage_id"),
+        words=cut.selectExpr(*_WORDS), extractions=at.selectExpr(*_EXTRACTIONS), records=at.where("position % 6 <> 3").selectExpr(*_RECORDS),
     )
 
 

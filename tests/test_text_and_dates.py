@@ -108,3 +108,11 @@ def test_chunks_hold_as_many_tokens_in_every_script():
     assert all(english[a:b].startswith("Sentence") and english[a:b].rstrip().endswith(".") for a, b in spans)
     assert all(0 < a[1] - b[0] <= 4 * 57 for a, b in zip(spans, spans[1:], strict=False))
     assert chunking.paragraphs("a\r\n\r\nb\n \n\nc") == [(0, 1), (5, 6), (10, 11)]
+
+
+def test_windows_of_a_text(spark):
+    rows = ["", "a", "abcdef", "abcdefg", "a😀b\nc😀😀d" * 5, None]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    for size, step in ((3, 3), (3, 2), (5, 1), (300, 300)):
+        got = df.select("text", T.windows(F.col("text"), size, step).alias("w")).collect()
+        assert {r.text: r.w for r in got} == {t: None if t is None else [t[i : i + size] for i in range(0, len(t), step)] for t in rows}
