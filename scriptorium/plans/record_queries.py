@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import identifiers
+from scriptorium.functions import text as T
 from scriptorium.operators import extraction
 from scriptorium.plans.queries import query
 from scriptorium.plans.structure_queries import _D, _P, texts
@@ -24,8 +25,8 @@ _RECORDS = [
 
 def records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = texts(spark, d)
-    at = docs.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 300).cast("int"))).alias("position"))
-    cut = at.select("doc_id", "position", (F.col("doc_id") * 100000 + F.col("position")).alias("passage_id"), F.expr("substr(text, position * 300 + 1, 300)").alias("piece"))
+    at = docs.select("doc_id", F.posexplode(T.windows(F.col("text"), 300)).alias("position", "piece"))
+    cut = at.select("doc_id", "position", (F.col("doc_id") * 100000 + F.col("position")).alias("passage_id"), "piece")
     made = cut.selectExpr(*_RECORDS)
     quote = F.when(F.col("absent"), F.concat(F.lit("zzqq "), "cut")).otherwise(F.regexp_replace("cut", r"\s+", " "))
     string = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), F.get(F.split(F.to_json(F.struct(value.alias("x"))), r'^\{"x":|\}$'), 1)))
