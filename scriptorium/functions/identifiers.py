@@ -22,7 +22,10 @@ def unquoted(value: Column) -> Column:
 
 def doi(value: Column) -> Column:
     """The first DOI in a text, bare and in lower case, without the marks and brackets that close the sentence around it; null if there is none."""
-    found = F.regexp_replace(F.regexp_extract(unquoted(value), DOI, 0), AFTER, "")
+    return T.bound(F.regexp_replace(F.regexp_extract(unquoted(value), DOI, 0), AFTER, ""), _bare_doi)
+
+
+def _bare_doi(found: Column) -> Column:
     count = lambda mark: F.length(found) - F.length(F.replace(found, F.lit(mark), F.lit("")))
     unopened = F.least(F.length(F.regexp_extract(found, r"\)+$", 0)), F.greatest(count(")") - count("("), F.lit(0)))
     return F.when(found != "", F.lower(F.substring(found, F.lit(1), F.length(found) - unopened)))
@@ -30,7 +33,8 @@ def doi(value: Column) -> Column:
 
 def jstor(text: Column) -> Column:
     """The identifier in the first JSTOR address of a text; null if there is none."""
-    return F.nullif(F.lower(F.regexp_replace(unquoted(F.regexp_extract(text, JSTOR, 1)), AFTER_ADDRESS, "")), F.lit(""))
+    address = T.bound(F.regexp_extract(text, JSTOR, 1), unquoted)
+    return T.bound(F.lower(F.regexp_replace(address, AFTER_ADDRESS, "")), lambda x: F.nullif(x, F.lit("")))
 
 
 def isbn(value: Column) -> Column:
@@ -40,7 +44,7 @@ def isbn(value: Column) -> Column:
 
 def stated_isbn(text: Column) -> Column:
     """The first ISBN that a text calls one, if it is valid."""
-    return isbn(F.nullif(F.regexp_extract(text, ISBN, 1), F.lit("")))
+    return isbn(T.bound(F.regexp_extract(text, ISBN, 1), lambda x: F.nullif(x, F.lit(""))))
 
 
 def first_page(text: Column, second: Column) -> Column:
@@ -49,14 +53,19 @@ def first_page(text: Column, second: Column) -> Column:
 
 
 def identity(page: Column, edition_key: Column, declared_doi: Column, declared_isbn: Column) -> Column:
-    """(edition_key, doi, jstor_stable_url, isbn): a stated key as it is, else the first of DOI, JSTOR and ISBN that is declared or stands on the page."""
+    """(edition_key, doi, jstor_stable_url, isbn): a stated key as it is, else the first of DOI, JSTOR and ISBN that is declared or stands on the page.
+
+    The page is searched once for each, and only for what those before it left open.
+    """
     none = F.lit(None).cast("string")
     of = lambda key, **known: F.struct(key.alias("edition_key"), *[known.get(k, none).alias(k) for k in ("doi", "jstor_stable_url", "isbn")])
-    by_doi, by_jstor, by_isbn = F.coalesce(doi(declared_doi), doi(page)), jstor(page), F.coalesce(isbn(declared_isbn), stated_isbn(page))
-    return (
-        F.when(F.trim(edition_key) != "", of(edition_key))
-        .when(by_doi.isNotNull(), of(F.concat(F.lit("doi:"), by_doi), doi=by_doi))
-        .when(by_jstor.isNotNull(), of(F.concat(F.lit("jstor:"), by_jstor), jstor_stable_url=F.concat(F.lit("https://www.jstor.org/stable/"), by_jstor)))
-        .when(by_isbn.isNotNull(), of(F.concat(F.lit("isbn:"), by_isbn), isbn=by_isbn))
-        .otherwise(of(none))
-    )
+    as_doi = lambda x: of(F.concat(F.lit("doi:"), x), doi=x)
+    as_jstor = lambda x: of(F.concat(F.lit("jstor:"), x), jstor_stable_url=F.concat(F.lit("https://www.jstor.org/stable/"), x))
+    as_isbn = lambda x: of(F.concat(F.lit("isbn:"), x), isbn=x)
+    first = lambda value, known, rest: T.bound(value, lambda x: F.when(x.isNotNull(), known(x)).otherwise(rest))
+
+    def searched(page: Column) -> Column:
+        by_isbn = first(F.coalesce(isbn(declared_isbn), stated_isbn(page)), as_isbn, of(none))
+        return first(F.coalesce(doi(declared_doi), doi(page)), as_doi, first(jstor(page), as_jstor, by_isbn))
+
+    return F.when(F.trim(edition_key) != "", of(edition_key)).otherwise(T.bound(page, searched))

@@ -7,6 +7,7 @@ NFKC, which Spark lacks, runs in Arrow-batched pandas UDFs.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -102,6 +103,11 @@ def fold_map(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "starts"])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, with ``value`` worked out once a row however often ``body`` names it (lambdas and branches would repeat it)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def locate0(text: Column, needle: Column) -> Column:
     """0-based offset of ``needle``, null if absent."""
     at = F.instr(text, needle)
@@ -154,7 +160,10 @@ def first_doi(text: Column) -> Column:
 
 def isbn13(text: Column) -> Column:
     """A valid ISBN-10 or ISBN-13 as 13 digits; null otherwise."""
-    bare = F.upper(F.regexp_replace(text, r"[\s-]", ""))
+    return bound(F.upper(F.regexp_replace(text, r"[\s-]", "")), _valid_isbn)
+
+
+def _valid_isbn(bare: Column) -> Column:
     digit = lambda s, i: F.when(F.substring(s, i, F.lit(1)) == "X", F.lit(10)).otherwise(F.expr("0") + F.substring(s, i, F.lit(1)).try_cast("int"))
 
     def total(s: Column, n: int, weight) -> Column:

@@ -10,7 +10,7 @@ from scriptorium.functions import text as T
 from scriptorium.operators import extraction
 from scriptorium.plans.queries import query
 from scriptorium.plans.structure_queries import _D, _P, texts
-from scriptorium.session import table
+from scriptorium.session import spread, table
 
 KINDS = {
     "claim": {"assertion": {"required": True}, "quote": {"type": "evidence_span"}},
@@ -58,6 +58,6 @@ SELECT p_partkey, CASE WHEN trim(edition_key) <> '' THEN edition_key WHEN doi IS
 CASE WHEN coalesce(trim(edition_key), '') = '' THEN doi END AS doi, CASE WHEN coalesce(trim(edition_key), '') = '' AND doi IS NULL THEN 'https://www.jstor.org/stable/' || jstor END AS jstor_stable_url,
 CASE WHEN coalesce(trim(edition_key), '') = '' AND doi IS NULL AND jstor IS NULL THEN isbn END AS isbn FROM q""")
 def first_page_identity(spark, d):
-    pages = table(spark, d, "part").selectExpr(*_PAGES)
+    pages = spread(table(spark, d, "part")).selectExpr(*_PAGES)
     page = identifiers.first_page(F.col("page"), F.lit(None).cast("int"))
     return pages.select("p_partkey", identifiers.identity(page, F.col("edition_key"), F.col("doi"), F.col("isbn")).alias("i")).select("p_partkey", "i.*")

@@ -103,3 +103,12 @@ def test_identity(spark):
     assert got == [r[4] for r in rows]
     page = spark.createDataFrame([("abcdef", 3), ("abcdef", 0), ("abcdef", 99), ("x" * 20_000, None)], "t string, second int").select(I.first_page(F.col("t"), F.col("second")).alias("p")).collect()
     assert [len(r.p) for r in page] == [3, 6, 6, 12_000]
+
+
+def test_a_page_is_searched_once_for_each_identifier(spark):
+    frame = spark.createDataFrame([("x" * 50 + " ISBN 0-306-40615-2",)], "page string")
+    none = F.lit(None).cast("string")
+    found = frame.select(I.identity(F.col("page"), none, none, none).alias("x")).select("x.*")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ISBN") == 1 and plan.count("jstor\\.org") == 1
+    assert found.first().isbn == "9780306406157"
