@@ -70,9 +70,12 @@ def _by_probe(probed: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(docs.select("doc_id", "text"), "doc_id")
 
 
-def match(pairs: DataFrame) -> DataFrame:
-    """Per (quote, document): tier (0 exact, 1 normalised) and offset, JVM-side; other pairs are left out."""
-    at = T.locate0(F.col("text"), F.col("quote"))
+def match(pairs: DataFrame, verbatim: bool = True) -> DataFrame:
+    """Per (quote, document): tier (0 exact, 1 normalised) and offset, JVM-side; other pairs are left out.
+
+    Without ``verbatim`` there is no tier 0.
+    """
+    at = T.locate0(F.col("text"), F.col("quote")) if verbatim else F.lit(None).cast("int")
     folded = T.locate0(T.fold(F.col("text")), T.fold(F.col("quote")))
     exact = pairs.withColumn("exact", at)
     hit = F.when(F.col("exact").isNotNull(), F.struct(F.lit(0).alias("tier"), F.col("exact").alias("at"))).otherwise(F.struct(F.lit(1).alias("tier"), folded.alias("at")))
@@ -119,15 +122,18 @@ def exact(quotes: DataFrame, docs: DataFrame) -> DataFrame:
     return held.groupBy("quote_id").agg(F.min("doc_id").alias("doc_id"))
 
 
-def verify(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+def verify(quotes: DataFrame, docs: DataFrame, verbatim: bool = True) -> DataFrame:
     """Per quote: quote_id, verdict, doc_id, char_start (raw); exact before normalised, then the smallest doc_id; near by the longest beginning.
 
+    Quotes that are not ``verbatim`` (known to be retyped, say in capitals) are normalised at best: that a document
+    happens to hold the retyped form doesn't set it before a smaller doc_id.
+
     Of a normalised hit that can't be traced to a raw offset (combining marks), char_start is null.
     """
     asked = quotes.where(T.collapse_space(F.col("quote")) != "")  # an empty quote is never found
     pairs = candidates(asked, docs)
     best = F.min(F.struct("tier", "doc_id", "at")).alias("b")
-    found = match(pairs).groupBy("quote_id").agg(best)
+    found = match(pairs, verbatim).groupBy("quote_id").agg(best)
     # The winners' texts alone are traced back to raw offsets.
     folded = found.where("b.tier = 1").select("quote_id", "b.doc_id").join(asked.select("quote_id", "quote"), "quote_id").join(docs.select("doc_id", "text"), "doc_id")
     raw = folded.select("quote_id", folded_hit("text", "quote").alias("r")).where("r.share = 1").groupBy("quote_id").agg(F.min("r.char_start").alias("raw"))

@@ -165,3 +165,11 @@ def test_tei_keeps_lead_texts_tails_and_items_apart():
     text = parsed["text"]
     assert text == "lead\nOne\nal ph a\ntail\nfirst second\nin\nafter"
     assert [(text[s["char_start"] : s["char_end"]], s["heading"], s["level"]) for s in parsed["sections"]] == [("lead\nOne\nal ph a\ntail\nfirst second", "One", 1), ("in", "", 2), ("after", "", 1)]
+
+
+def test_retyped_quotes_are_never_exact(spark):
+    docs = spark.createDataFrame([(1, "Then a quiet harbour town slept."), (2, "THEN A QUIET HARBOUR TOWN SLEPT.")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "A QUIET HARBOUR TOWN")], "quote_id long, quote string")
+    verdicts = lambda **how: [tuple(r) for r in quotes.verify(asked, docs, **how).collect()]
+    assert verdicts() == [(7, "exact", 2, 5)]
+    assert verdicts(verbatim=False) == [(7, "normalized", 1, 5)]
