@@ -93,15 +93,14 @@ def folded_hit(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
 
     A null text or an empty quote has share 0 and no span.
     """
-    rows, last, folded, starts = [], None, "", []
+    rows, last, folded = [], None, ""
     for text, quote in zip(texts, quotes, strict=True):
         if text is None or pd.isna(text):
             rows.append((0.0, None, None, None))
             continue
         if text is not last and text != last:  # a document's quotes come one after the other
-            folded, starts = T.fold_with_offsets(text)
-            last = text
-        want = T.fold_with_offsets(quote or "")[0]
+            folded, last = T.folded_text(text), text
+        want = T.folded_text(quote or "")
         low, high = (len(want), len(want)) if want in folded else (0, len(want))
         while low < high:
             mid = (low + high + 1) // 2
@@ -110,6 +109,7 @@ def folded_hit(texts: pd.Series, quotes: pd.Series) -> pd.DataFrame:
             rows.append((0.0, None, None, None))
             continue
         at = folded.find(want[:low])
+        starts = T.fold_with_offsets(text, at + low)[1]  # offsets are traced no further than the hit
         end = starts[at + low - 1] + 1
         rows.append((low / len(want), starts[at], end, text[end : end + CONTEXT]))
     hits = pd.DataFrame(rows, columns=["share", "char_start", "char_end", "context"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import work_files
 from scriptorium.plans.queries import query
-from scriptorium.session import spread, table
+from scriptorium.session import spread, stored, table
 from scriptorium.sources import work_files as source
 
 _PARTS = [
@@ -30,7 +30,8 @@ def works(spark: SparkSession, d: str) -> DataFrame:
         F.lit("]\ncitations:\n- "), json, F.when(F.col("invalid"), '\n- {"id": "c2", "intent": "quotation"}').otherwise(""), F.lit("\n---\nA body."), F.when(F.col("unmarked"), "").otherwise("[^c1]"),
         F.when(F.col("dangling"), " And[^c7].").otherwise(""), F.when(F.col("invalid"), " Or[^c2].").otherwise(""), F.lit("\n[^c9]: an old note\n"),
     )
-    return source.read_works(spread(parts(spark, d)).select(F.col("doc_id").cast("string").alias("path"), content.cast("binary").alias("content")))
+    # Written once: every rule reads the parsed works.
+    return stored(source.read_works(spread(parts(spark, d)).select(F.col("doc_id").cast("string").alias("path"), content.cast("binary").alias("content"))))
 
 
 def _tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -60,20 +61,21 @@ f AS (
 g AS (SELECT * FROM f UNION ALL SELECT DISTINCT doc_id, 'AUTH_STATUS_UNEARNED', 'error', NULL, NULL FROM f JOIN p USING (doc_id) WHERE status = 'published' AND (severity = 'error' OR rule = 'AUTH_CITATION_EDITION_MISSING'))"""
 
 
-def findings(spark: SparkSession, d: str) -> DataFrame:
+def findings(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
     documents, texts, passages, claims = _tables(spark, d)
-    return work_files.verify(works(spark, d), documents, texts, passages, claims)
+    return work_files.verify(own, documents, texts, passages, claims)
 
 
 @query(f"WITH {_BASE} SELECT doc_id, rule, severity, citation_id, detail FROM g")
 def work_file_findings(spark, d):
-    return findings(spark, d).select(F.col("path").cast("long").alias("doc_id"), "rule", "severity", "citation_id", "detail")
+    return findings(spark, d, works(spark, d)).select(F.col("path").cast("long").alias("doc_id"), "rule", "severity", "citation_id", "detail")
 
 
 @query(f"""WITH {_BASE}, b AS (SELECT DISTINCT doc_id, rule FROM g WHERE severity = 'error' OR rule = 'AUTH_CITATION_EDITION_MISSING')
 SELECT p.doc_id, count(rule) = 0 AS passed, coalesce(string_agg(rule, ',' ORDER BY rule), '') AS blockers FROM p LEFT JOIN b ON b.doc_id = p.doc_id GROUP BY 1""")
 def work_file_gate(spark, d):
-    judged = work_files.gate(works(spark, d), findings(spark, d), publish=True)
+    own = works(spark, d)
+    judged = work_files.gate(own, findings(spark, d, own), publish=True)
     return judged.select(F.col("path").cast("long").alias("doc_id"), "passed", F.array_join("blockers", ",").alias("blockers"))
 
 

@@ -116,3 +116,10 @@ def test_windows_of_a_text(spark):
     for size, step in ((3, 3), (3, 2), (5, 1), (300, 300)):
         got = df.select("text", T.windows(F.col("text"), size, step).alias("w")).collect()
         assert {r.text: r.w for r in got} == {t: None if t is None else [t[i : i + size] for i in range(0, len(t), step)] for t in rows}
+
+
+def test_folded_text_is_the_stepwise_fold():
+    for raw in ["a-\r\n b", "a-\nB", "-\nb", "Der ﬁrst­  “Kuß”\u0085 x­y-\n\tz ", "  ", "", "İ　é 1-\n2", "a-\r\r\nb", "q--\nr"]:
+        folded, starts = T.fold_with_offsets(raw)
+        assert T.folded_text(raw) == folded
+        assert [T.fold_with_offsets(raw, n)[1][:n] for n in range(1, len(folded) + 1)] == [starts[:n] for n in range(1, len(folded) + 1)]

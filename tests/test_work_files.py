@@ -61,3 +61,13 @@ def test_footnotes_and_years(spark):
     assert work_files.rendered(works, notes).first().text == (
         "x[^c10] y[^c1]\n\n[^c1]: A. Author, *Title*, 2nd, vol. II (1862), p. 7, folio 3r. [exact]\n[^c10]: document 6, document 6. [no_canonical_text] [provisional]\n"
     )
+
+
+def test_works_are_parsed_and_quotations_searched_once(spark):
+    from scriptorium.plans import file_queries
+
+    d = "/root/testdata/sf0.001"
+    own = file_queries.works(spark, d)
+    assert "MapInPandas" not in own._jdf.queryExecution().optimizedPlan().toString()
+    plan = file_queries.findings(spark, d, own)._jdf.queryExecution().optimizedPlan().toString()
+    assert "folded_hit" not in plan  # both readers of the findings read what is written
