@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from scriptorium.functions import text as T
+from scriptorium.session import bounded_batches
 
 NEAR_SHARE, CONTEXT = 0.5, 80
 #: Characters around a window that are searched with it, beside the length of the quote.
@@ -155,6 +156,7 @@ def verify_in_document(requests: DataFrame, docs: DataFrame) -> DataFrame:
     the text holds from its beginning on (1 if all), ``context`` what the text says where a near quote departs from it.
     A document without text is its own verdict.
     """
+    bounded_batches(docs.sparkSession)
     for c in ("window_start", "window_end"):
         requests = requests if c in requests.columns else requests.withColumn(c, F.lit(None).cast("int"))
     asked = requests.select("quote_id", "doc_id", F.trim("quote").alias("quote"), "window_start", "window_end")
