@@ -7,8 +7,10 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from scriptorium.operators import spans
+from scriptorium.session import bounded_batches
 
 #: Fixed value: share of passages with dependents that may lose their place before a re-chunk is refused.
 ORPHAN_SHARE = 0.005
@@ -79,26 +81,33 @@ def recover_offsets(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """Spans of passages by their text: passage_id, doc_id, char_start, char_end (null where the text isn't found).
 
     A document's passages are matched in order of position; each search resumes
-    after the last match and falls back to the document's beginning.  One
-    document is one group: its text and passages are read once.
+    after the last match and falls back to the document's beginning.  A document
+    is one row with its text and its passages.
     """
-    asked = passages.select("doc_id", "passage_id", "position", F.col("text").alias("wanted"))
+    bounded_batches(docs.sparkSession)
+    own = passages.select("doc_id", F.struct(F.col("position").isNull().alias("last"), "position", "passage_id", F.col("text").alias("wanted")).alias("p")).groupBy("doc_id").agg(F.sort_array(F.collect_list("p")).alias("own"))
+    held = own.join(docs.select("doc_id", "text"), "doc_id", "left")
+    return held.select("doc_id", F.explode(_recovered("text", "own")).alias("r")).select("r.passage_id", "doc_id", "r.char_start", "r.char_end")
 
-    def match(key, own: pd.DataFrame, source: pd.DataFrame) -> pd.DataFrame:
-        text = source["text"].iloc[0] if len(source) and source["text"].iloc[0] is not None else None
+
+_PLACES = Ty.ArrayType(Ty.StructType([Ty.StructField(name, Ty.LongType()) for name in ("passage_id", "char_start", "char_end")]))
+
+
+@F.pandas_udf(_PLACES)
+def _recovered(texts: pd.Series, passages: pd.Series) -> pd.Series:
+    def places(text: str | None, own) -> list[dict]:
         out, cursor = [], 0
-        for r in own.sort_values(["position", "passage_id"]).itertuples(index=False):
-            at = -1
-            if text is not None and r.wanted:
-                at = text.find(r.wanted, cursor)
-                at = text.find(r.wanted) if at < 0 else at
+        for p in own:
+            wanted, at = p["wanted"], -1
+            if text is not None and wanted:
+                at = text.find(wanted, cursor)
+                at = text.find(wanted) if at < 0 else at
             if at >= 0:
-                cursor = at + len(r.wanted)
-            out.append((r.passage_id, r.doc_id, at if at >= 0 else None, cursor if at >= 0 else None))
-        frame = pd.DataFrame(out, columns=["passage_id", "doc_id", "char_start", "char_end"])
-        return frame.astype({"char_start": "Int64", "char_end": "Int64"})
+                cursor = at + len(wanted)
+            out.append({"passage_id": p["passage_id"], "char_start": at if at >= 0 else None, "char_end": cursor if at >= 0 else None})
+        return out
 
-    return asked.groupBy("doc_id").cogroup(docs.select(F.col("doc_id").alias("__of"), "text").groupBy("__of")).applyInPandas(match, "passage_id long, doc_id long, char_start long, char_end long")
+    return pd.Series([places(t, own) for t, own in zip(texts, passages, strict=True)], dtype="object")
 
 
 def documents_with_gaps(passages: DataFrame, texts: DataFrame) -> DataFrame:

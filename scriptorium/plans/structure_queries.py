@@ -184,7 +184,8 @@ def reindex_orphans(spark, d):
 @query(f"WITH {_D}, {_P} SELECT passage_id, char_start, char_end FROM p")
 def offset_recovery(spark, d):
     docs = texts(spark, d)
-    passages = windows(docs, 300).join(docs, "doc_id").withColumn("text", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    cut = docs.select("doc_id", F.posexplode(T.windows(F.col("text"), 300)).alias("position", "text"))
+    passages = cut.withColumn("passage_id", F.col("doc_id") * 100000 + F.col("position"))
     return reindex.recover_offsets(passages, docs).drop("doc_id")
 
 
