@@ -179,11 +179,13 @@ def store_embeddings(embeddings: DataFrame, new: DataFrame, dim: int) -> DataFra
 
 def resolve_spans(requests: DataFrame, stored: DataFrame, docs: DataFrame) -> DataFrame:
     """Get or create: per requested (doc_id, start, end) its span_id, its text and whether it is new; spans outside the text are left out."""
-    asked = requests.select("doc_id", "start", "end").distinct().join(docs.select("doc_id", "text"), "doc_id").where("0 <= start and start < end and end <= length(text)")
+    placed = requests.select("doc_id", "start", "end").distinct().join(docs.select("doc_id", "text"), "doc_id").where("0 <= start and start < end and end <= length(text)")
+    # Cut before the next join, so that no span takes its whole text along.
+    asked = placed.select("doc_id", "start", "end", T.slice_span(F.col("text"), F.col("start"), F.col("end")).alias("span_text"))
     known = stored.select("doc_id", "start", "end", "span_id")
     made = F.sha2(F.concat_ws("/", "doc_id", "start", "end"), 256)
     joined = asked.join(known, ["doc_id", "start", "end"], "left")
-    return joined.select(F.coalesce("span_id", made).alias("span_id"), "doc_id", "start", "end", T.slice_span(F.col("text"), F.col("start"), F.col("end")).alias("span_text"), F.col("span_id").isNull().alias("created"))
+    return joined.select(F.coalesce("span_id", made).alias("span_id"), "doc_id", "start", "end", "span_text", F.col("span_id").isNull().alias("created"))
 
 
 def guarded_upsert(rows: DataFrame, drafts: DataFrame, keys: list[str], stamp: str = "updated_at") -> DataFrame:
