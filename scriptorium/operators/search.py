@@ -6,12 +6,16 @@ Every limit has a total order that ends in an id, so results are deterministic;
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.session import bounded_batches
 
 RRF_OFFSET = 60
 #: Text-search configurations by ISO 639-1 code, that of other languages, and the weight of a lexeme.
@@ -69,8 +73,31 @@ def language_config(lang: Column) -> Column:
 def inverted_index(docs: DataFrame, lang: Column | None = None) -> DataFrame:
     """(doc_id, lang_config, lexeme, tf, positions): write it partitioned by lang_config to reuse it."""
     config = F.coalesce(lang, F.lit("simple")) if lang is not None else F.lit("simple")
-    exploded = docs.select("doc_id", config.alias("lang_config"), F.posexplode(T.words(F.col("text"))).alias("pos", "lexeme"))
-    return exploded.groupBy("doc_id", "lang_config", "lexeme").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    bounded_batches(docs.sparkSession)
+    # A document is one row, so its words are grouped where it is read and nothing is shuffled.
+    own = docs.select("doc_id", config.alias("lang_config"), T.words(F.col("text")).alias("words"))
+    return own.mapInArrow(_lexemes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_config string, lexeme string, tf long, positions array<int>")
+
+
+def _lexemes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each distinct word of each document (doc_id, lang_config, words) with its positions."""
+    for batch in batches:
+        words = batch.column("words")
+        coded = words.flatten().dictionary_encode()
+        if not len(coded):
+            continue
+        counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        codes = coded.indices.to_numpy().astype(np.int64)
+        keys = rows * len(coded.dictionary) + codes
+        order = np.argsort(keys, kind="stable")
+        begins = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        bounds = np.append(begins, len(order))
+        first = order[begins]
+        own = [batch.column(c).take(pa.array(rows[first])) for c in ("doc_id", "lang_config")]
+        positions = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at[order], pa.int32()))
+        yield pa.RecordBatch.from_arrays([*own, coded.dictionary.take(pa.array(codes[first])), pa.array(np.diff(bounds), pa.int64()), positions], ["doc_id", "lang_config", "lexeme", "tf", "positions"])
 
 
 def write_index(index: DataFrame, path: str) -> None:
