@@ -96,7 +96,9 @@ def anchor_contexts(anchors: DataFrame, docs: DataFrame, nodes: DataFrame, aroun
         nodes.select(F.col("path").alias("r_id"), "doc_id", F.col("node_start").alias("r_start"), F.col("node_end").alias("r_end"), "depth"),
     ).select(F.col("l_id").alias("anchor_id"), F.col("r_id").alias("path"))
     context = T.slice_span(F.col("text"), F.greatest(F.col("start") - around, F.lit(0)), F.col("end") + around)
-    return anchors.join(docs.select("doc_id", "text"), "doc_id", "left").withColumn("context", context).drop("text").join(held, "anchor_id", "left")
+    # Contexts are many times the text, so they are cut after the last shuffle.
+    joined = anchors.join(held, "anchor_id", "left").join(docs.select("doc_id", "text"), "doc_id", "left").withColumn("context", context)
+    return joined.select("anchor_id", "doc_id", *[c for c in anchors.columns if c not in ("anchor_id", "doc_id")], "context", "path")
 
 
 def outline(nodes: DataFrame, max_depth: int | None = None, dated_only: bool = False) -> DataFrame:
