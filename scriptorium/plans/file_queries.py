@@ -61,9 +61,9 @@ f AS (
 g AS (SELECT * FROM f UNION ALL SELECT DISTINCT doc_id, 'AUTH_STATUS_UNEARNED', 'error', NULL, NULL FROM f JOIN p USING (doc_id) WHERE status = 'published' AND (severity = 'error' OR rule = 'AUTH_CITATION_EDITION_MISSING'))"""
 
 
-def findings(spark: SparkSession, d: str, own: DataFrame) -> DataFrame:
+def findings(spark: SparkSession, d: str, own: DataFrame | None = None) -> DataFrame:
     documents, texts, passages, claims = _tables(spark, d)
-    return work_files.verify(own, documents, texts, passages, claims)
+    return work_files.verify(works(spark, d) if own is None else own, documents, texts, passages, claims)
 
 
 @query(f"WITH {_BASE} SELECT doc_id, rule, severity, citation_id, detail FROM g")

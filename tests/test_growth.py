@@ -42,3 +42,12 @@ def test_contexts_are_cut_after_the_last_join(spark):
     assert [tuple(r) for r in found.collect()] == [(7, 1, 2, 3, "bcd", "r")]
     shown = plan(found)
     assert shown.index("AS context") < shown.index("Join")
+
+
+def test_citations_are_joined_once_and_quotations_stay_where_they_are(spark):
+    from scriptorium.operators import revisions
+    from scriptorium.plans import work_queries
+
+    r = work_queries.tables(spark, "/root/testdata/sf0.001")
+    assert all("Join" not in plan(df) for df in (r.items, r.occurrences, r.spans, r.passages))
+    assert "quoted_text" not in revisions.cited_items(r).columns
