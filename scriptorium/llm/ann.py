@@ -12,8 +12,10 @@ on the original vectors.
 
 A round ships each sampled vector once to each of its at most
 ``2 * (SAMPLE + REVERSE)`` introducers, in ``PASSES`` parts, of which only one
-is stored at a time; nothing else that is shipped holds a vector.  Inside the
-graph, vectors are 8-bit; that affects only which classes are looked at.
+is stored at a time; nothing else that is shipped holds a vector.  While all
+8-bit vectors take at most ``SMALL_BYTES``, they are broadcast instead, and a
+round shuffles twice: edges to their introducers, and what they find.  Inside
+the graph, vectors are 8-bit; that affects only which classes are looked at.
 Measured recall at 5 is in the README.  The beam grows with each doubling of
 the number of classes.
 
@@ -46,10 +48,26 @@ SETTLED = 0.05
 SMALL, BEAM, MORE_BEAM = 1 << 14, 112, 24
 #: Classes per query that are scored exactly, besides 4 for each neighbour asked for.
 FINAL = 32
+#: What is looked up is broadcast if it takes at most so many bytes, else shuffled.
+SMALL_BYTES = 8 << 20
 _GRAPH = "id long, q8 binary, nbrs binary, sims binary, fresh binary, worst float, added int"
 _FOUND = "id long, nbrs binary, sims binary"
 
 
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """``df``, with a hint to broadcast it if its ``size`` bytes are few."""
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
+def _vector_bytes(count: int, dim: int) -> int:
+    return count * (dim + 24)
+
+
+def _few(df: DataFrame, size: int) -> DataFrame:
+    """``df``, if what it is made from is small, in no more tasks than keep all cores busy: starting one costs more than its rows."""
+    return df.coalesce(3 * df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_BYTES else df
+
+
 def beam_width(count: int) -> int:
     """The beam for ``count`` classes."""
     return BEAM + MORE_BEAM * math.ceil(max(0.0, math.log2(max(1, count) / SMALL)))
@@ -155,7 +173,7 @@ def _random_neighbours(codes: DataFrame, dim: int, count: int) -> DataFrame:
     return deals.withColumn("part", F.pmod(F.xxhash64("order"), F.lit(parts))).groupBy("deal", "part").applyInPandas(follow, _FOUND)
 
 
-def _merge(graph: DataFrame, found: list[DataFrame], count: int, salt: int) -> DataFrame:
+def _merge(graph: DataFrame, found: list[DataFrame], count: int, dim: int, salt: int) -> DataFrame:
     """The graph with each class's K best of what it has and what was found for it."""
     rows = graph.select("id", "q8", "nbrs", "sims", "fresh")
     for part in found:
@@ -182,10 +200,23 @@ def _merge(graph: DataFrame, found: list[DataFrame], count: int, salt: int) -> D
         own["worst"], own["added"] = own["worst"].fillna(-2).astype(np.float32), own["added"].fillna(0).astype(np.int32)
         return own[["id", "q8", "nbrs", "sims", "fresh", "worst", "added"]]
 
-    return cut(_by_bucket(rows, 2000, count).groupBy("bucket").applyInPandas(merge, _GRAPH))
+    return cut(_few(_by_bucket(rows, 2000, count).groupBy("bucket").applyInPandas(merge, _GRAPH), _vector_bytes(count, dim)))
+
 
+def _directed(owner: np.ndarray, other: np.ndarray, new: np.ndarray, salt: int, most: int) -> pd.DataFrame:
+    """Edges as their owner sees them, and backwards; of those that lead to one class only the ``most`` first by ``turn``."""
+    turn = _mix64(owner.view(np.uint64) + np.uint64(salt)).view(np.int64)
+    o = np.lexsort((owner, turn, new, other))
+    group = _mix64(other.view(np.uint64) * np.uint64(2) + new.astype(np.uint64))[o]
+    o = o[_ranks(group) < most]
+    both = lambda a, b: np.concatenate([a, b[o]])
+    return pd.DataFrame({"hub": both(owner, other), "member": both(other, owner), "new": both(new, new), "back": np.arange(len(owner) + len(o)) >= len(owner), "turn": both(turn, turn)})
 
-def _introduce(graph: DataFrame, dim: int, count: int, salt: int, part: int) -> DataFrame:
+
+_DIRECTED = "hub long, member long, new boolean, back boolean, turn long"
+
+
+def _introduce(graph: DataFrame, dim: int, count: int, salt: int, part: int, parts: int) -> DataFrame:
     """``_FOUND``: what the members that one part of the introducers brings together learn of each other."""
 
     def spread(batches):
@@ -193,14 +224,14 @@ def _introduce(graph: DataFrame, dim: int, count: int, salt: int, part: int) ->
             sizes = pdf["nbrs"].str.len().to_numpy() // 8
             owner, other, fresh = np.repeat(pdf["id"].to_numpy(), sizes), _i64(pdf["nbrs"]), np.frombuffer(b"".join(pdf["fresh"]), np.int8)
             take = _sampled(owner, other, fresh, salt)
-            yield pd.DataFrame({"a": owner[take], "b": other[take], "new": fresh[take] > 0})
+            yield _directed(owner[take], other[take], fresh[take] > 0, salt, REVERSE)
 
-    edges = graph.select("id", "nbrs", "fresh").mapInPandas(spread, "a long, b long, new boolean")
-    mine = lambda c: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(PASSES)) == part
-    nth = F.row_number().over(Window.partitionBy("b", "new").orderBy(F.xxhash64("a", F.lit(salt)), "a"))
-    back = edges.where(mine("b")).withColumn("nth", nth).where(F.col("nth") <= REVERSE).select(F.col("b").alias("hub"), F.col("a").alias("member"), "new")
-    at = edges.where(mine("a")).select(F.col("a").alias("hub"), F.col("b").alias("member"), "new").union(back)
-    joined = at.join(graph.select(F.col("id").alias("member"), "q8", "worst"), "member").select("hub", "member", "new", "q8", "worst")
+    edges = graph.select("id", "nbrs", "fresh").mapInPandas(spread, _DIRECTED).where(F.pmod(F.xxhash64("hub", F.lit(salt)), F.lit(parts)) == part)
+    # Dealt by bucket, edges are ranked and introduced where they are; of its own a class has at most SAMPLE anyway.
+    nth = F.row_number().over(Window.partitionBy("bucket", "hub", "back", "new").orderBy("turn", "member"))
+    at = _by_bucket(edges, 1000, count, "hub").repartition("bucket").withColumn("nth", nth).where(F.col("nth") <= F.when(F.col("back"), REVERSE).otherwise(SAMPLE))
+    known = _small(graph.select(F.col("id").alias("member"), "q8", "worst"), _vector_bytes(count, dim))
+    joined = at.join(known, "member").select("bucket", "hub", "member", "new", "q8", "worst")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["hub", "member", "new"], ascending=[True, True, False], kind="stable")
@@ -232,7 +263,7 @@ def _introduce(graph: DataFrame, dim: int, count: int, salt: int, part: int) ->
         names, nbrs, values = _runs(owner[o], other[o], sims[o])
         return pd.DataFrame({"id": names, "nbrs": nbrs, "sims": values})
 
-    return cut(_by_bucket(joined, 1000, count, "hub").groupBy("bucket").applyInPandas(meet, _FOUND))
+    return _few(joined.groupBy("bucket").applyInPandas(meet, _FOUND), _vector_bytes(count, dim))
 
 
 def build_graph(codes: DataFrame, count: int, dim: int, rounds: int | None = None) -> DataFrame:
@@ -241,11 +272,14 @@ def build_graph(codes: DataFrame, count: int, dim: int, rounds: int | None = Non
     ``rounds`` ends the descent early (0: random neighbours only), to see what it brings.
     """
     nothing = codes.select("id", "q8", *[F.lit(b"").alias(c) for c in ("nbrs", "sims", "fresh")])
-    graph, n = _merge(nothing, [_random_neighbours(codes, dim, count)], count, 0), 0
+    graph, n = _merge(nothing, [_random_neighbours(codes, dim, count)], count, dim, 0), 0
     while rounds is None or n < rounds:
         n += 1
-        found = [_introduce(graph, dim, count, n, part) for part in range(PASSES)]
-        better = _merge(graph, found, count, n)
+        if _vector_bytes(count, dim) <= SMALL_BYTES:
+            found = [_introduce(graph, dim, count, n, 0, 1)]
+        else:
+            found = [cut(_introduce(graph, dim, count, n, part, PASSES)) for part in range(PASSES)]
+        better = _merge(graph, found, count, dim, n)
         for old in (graph, *found):
             discard(old)
         graph = better
@@ -254,40 +288,39 @@ def build_graph(codes: DataFrame, count: int, dim: int, rounds: int | None = Non
     return graph
 
 
-def _edges(graph: DataFrame) -> DataFrame:
-    """(a, b): every directed edge."""
+def _links(graph: DataFrame, count: int, dim: int) -> DataFrame:
+    """(a, ends): of each class where its edges end, and where up to 2K of those that lead to it begin."""
 
     def spread(batches):
         for pdf in batches:
             sizes = pdf["nbrs"].str.len().to_numpy() // 8
-            yield pd.DataFrame({"a": np.repeat(pdf["id"].to_numpy(), sizes), "b": _i64(pdf["nbrs"])})
+            owner = np.repeat(pdf["id"].to_numpy(), sizes)
+            yield _directed(owner, _i64(pdf["nbrs"]), np.zeros(len(owner), bool), 99, 2 * K)
 
-    return graph.select("id", "nbrs").mapInPandas(spread, "a long, b long")
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["hub", "back", "turn", "member"])
+        nth = _ranks(_mix64(pdf["hub"].to_numpy().view(np.uint64) * np.uint64(2) + pdf["back"].to_numpy().astype(np.uint64)))
+        pdf = pdf[~pdf["back"].to_numpy() | (nth < 2 * K)].drop_duplicates(["hub", "member"]).sort_values(["hub", "member"])
+        names, ends = _runs(pdf["hub"].to_numpy(), pdf["member"].to_numpy())
+        return pd.DataFrame({"a": names, "ends": ends})
 
+    edges = graph.select("id", "nbrs").mapInPandas(spread, _DIRECTED)
+    return cut(_few(_by_bucket(edges, 2000, count, "hub").groupBy("bucket").applyInPandas(gather, "a long, ends binary"), _vector_bytes(count, dim)))
 
-def _links(graph: DataFrame) -> DataFrame:
-    """(a, b): every edge, and up to 2K of those that lead to each class, taken backwards."""
-    edges = cut(_edges(graph))
-    nth = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", F.lit(99)), "a"))
-    back = edges.withColumn("nth", nth).where(F.col("nth") <= 2 * K).select(F.col("b").alias("a"), F.col("a").alias("b"))
-    links = cut(edges.union(back).distinct())
-    discard(edges)
-    return links
 
-
-_STATE = "q long, q8 binary, ids binary, sims binary, done binary, seen binary"
+_STATE = "q long, q8 binary, ids binary, sims binary, done binary, seen binary, open int"
 
 
 def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, count: int, final: int = FINAL) -> DataFrame:
     """(q, id) of the best classes found for each class of ``queries(q)``, which are graph nodes."""
-    links = _links(graph)
+    links = _links(graph, count, dim)
     beam = beam_width(count)
     bucket = lambda df: _by_bucket(df, 500, count // 50, "q")
 
     def begin(batches):
         for pdf in batches:
             ids = [np.int64(i).tobytes() for i in pdf["q"]]
-            yield pd.DataFrame({"q": pdf["q"], "q8": pdf["q8"], "ids": ids, "sims": [np.float32(1).tobytes()] * len(pdf), "done": [b"\0"] * len(pdf), "seen": ids})
+            yield pd.DataFrame({"q": pdf["q"], "q8": pdf["q8"], "ids": ids, "sims": [np.float32(1).tobytes()] * len(pdf), "done": [b"\0"] * len(pdf), "seen": ids, "open": np.ones(len(pdf), np.int32)})
 
     state = cut(queries.join(codes, F.col("q") == F.col("id")).select("q", "q8").mapInPandas(begin, _STATE))
 
@@ -311,18 +344,20 @@ def search(codes: DataFrame, graph: DataFrame, queries: DataFrame, dim: int, cou
             near = (x[lo:hi][fresh] @ _unit([r.q8], dim)[0])[first] if len(got) else np.zeros(0, np.float32)
             ids_, sims_, done = np.concatenate([have, got]), np.concatenate([sims, near]), np.concatenate([np.ones(len(have), np.int8), np.zeros(len(got), np.int8)])
             top = np.lexsort((ids_, -sims_))[:beam]
-            out.append((r.q, r.q8, ids_[top].tobytes(), sims_[top].astype(np.float32).tobytes(), done[top].tobytes(), np.concatenate([seen, got]).tobytes()))
-        return pd.DataFrame(out, columns=["q", "q8", "ids", "sims", "done", "seen"])
+            out.append((r.q, r.q8, ids_[top].tobytes(), sims_[top].astype(np.float32).tobytes(), done[top].tobytes(), np.concatenate([seen, got]).tobytes(), int((done[top] == 0).sum())))
+        return pd.DataFrame(out, columns=["q", "q8", "ids", "sims", "done", "seen", "open"])
 
-    while True:
-        todo = cut(state.select("q", "ids", "done").mapInPandas(frontier, "q long, node long"))
-        if todo.isEmpty():
-            break
-        asked = todo.join(links, F.col("node") == F.col("a")).select("q", F.col("b").alias("id")).distinct()
-        answers = asked.join(codes, "id").select("q", "id", "q8")
-        nxt = cut(bucket(state).groupBy("bucket").cogroup(bucket(answers).groupBy("bucket")).applyInPandas(advance, _STATE))
+    def ends(batches):
+        for pdf in batches:
+            sizes = pdf["ends"].str.len().to_numpy() // 8
+            yield pd.DataFrame({"q": np.repeat(pdf["q"].to_numpy(), sizes), "id": _i64(pdf["ends"])}).drop_duplicates()
+
+    while open_ := state.agg(F.sum("open")).first()[0]:
+        todo = state.where("open > 0").select("q", "ids", "done").mapInPandas(frontier, "q long, node long")
+        asked = links.join(_small(todo, 16 * open_), F.col("node") == F.col("a")).select("q", "ends").mapInPandas(ends, "q long, id long")
+        answers = bucket(asked).repartition("bucket").distinct().join(_small(codes, _vector_bytes(count, dim)), "id").select("bucket", "q", "id", "q8")
+        nxt = cut(_few(bucket(state).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInPandas(advance, _STATE), _vector_bytes(count, dim)))
         discard(state)
-        discard(todo)
         state = nxt
 
     def leaders(batches):
@@ -365,7 +400,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, rounds: int | None
     discard(graph)
     u, v = F.col("u"), F.col("v")
     pairs = (
-        found.join(exact.select("id", F.col("embedding").cast("array<double>").alias("v")), "id")
+        _small(found, 16 * found.count()).join(exact.select("id", F.col("embedding").cast("array<double>").alias("v")), "id")
         .join(exact.select(F.col("id").alias("q"), F.col("embedding").cast("array<double>").alias("u")), "q")
         .select("q", "id", (_dot(u, v) / (F.sqrt(_dot(u, u)) * F.sqrt(_dot(v, v)))).alias("score"))
     )
