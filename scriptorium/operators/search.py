@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.session import bounded_batches
+from scriptorium.session import bounded_batches, spread
 
 RRF_OFFSET = 60
 #: Text-search configurations by ISO 639-1 code, that of other languages, and the weight of a lexeme.
@@ -235,5 +235,7 @@ def rerank(fused: DataFrame, score: Column, k: int) -> DataFrame:
 
 def fuzzy_names(names: DataFrame, query: str, k: int, threshold: float = 0.1) -> DataFrame:
     """Names by trigram similarity above a threshold: id, name, score."""
-    similarity = T.trigram_similarity(T.trigrams(F.col("name")), T.trigrams(F.lit(query)))
-    return names.select("id", "name", similarity.alias("score")).where(F.col("score") > threshold).orderBy(F.desc("score"), "id").limit(k)
+    similarity = T.bound(T.trigrams(F.col("name")), lambda a: T.trigram_similarity(a, T.trigrams(F.lit(query))))
+    # The threshold is held against the best k, so that a name is scored once; a filter below the limit would score it again.
+    scored = spread(names.select("id", "name")).select("id", "name", similarity.alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(k).where(F.col("score") > threshold)
