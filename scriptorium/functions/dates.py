@@ -53,6 +53,7 @@ FORMS = {
     "month day": (rf"^{_NAME}\s+{_DAY}$", 0, 1, 2),
     "day month": (rf"^{_DAY}\s+{_NAME}$", 0, 2, 1),
 }
+ANCHORED = ("today", "yesterday", "near month", "bare day", "month day", "day month")
 PRECISION = {"season": "season", "month": "month", "decade": "decade", "year": "year"}
 
 
@@ -87,10 +88,13 @@ def parse(phrase: Column, anchor: Column | None = None) -> Column:
     month, or the month before if still to come; a month and day without a year are the last such month.  Without an
     anchor these forms are refused, and so is an impossible day.
     """
-    anchor = F.lit(None).cast("date") if anchor is None else anchor
+    return _parsed(phrase, F.lit(None).cast("date") if anchor is None else anchor, _closed)
+
+
+def _parsed(phrase: Column, anchor: Column, last) -> Column:
+    """``last`` of struct(start, kind, week, near): the first day, the precision, whether a week is meant, whether the form needs an anchor."""
     clean = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.trim(c), _LEAD, "")), r"[,.]+$", "")
     names = list(FORMS)
-    table = lambda i: F.array(*[F.lit(FORMS[n][i]) for n in names])
 
     def unweek(p: Column) -> Column:
         week = F.regexp_like(p, F.lit(_WEEK))
@@ -101,8 +105,8 @@ def parse(phrase: Column, anchor: Column | None = None) -> Column:
         return F.struct(r["p"].alias("p"), r["week"].alias("week"), which.alias("i"))
 
     def read(r: Column) -> Column:
-        group = lambda i: F.element_at(table(i), r["i"])
-        part = lambda i: F.when(group(i) > 0, F.call_function("regexp_extract", r["p"], group(0), group(i)))
+        # Each form's own pattern is a literal, compiled once; one looked up by form would be compiled anew for each row.
+        part = lambda i: F.coalesce(*[F.when(r["i"] == n, F.regexp_extract(r["p"], f[0], f[i])) for n, f in enumerate(FORMS.values(), 1) if f[i]])
         return F.struct(
             F.element_at(F.array(*[F.lit(n) for n in names]), r["i"]).alias("form"), r["week"].alias("week"), part(1).try_cast("int").alias("y"), part(2).alias("m"), part(3).try_cast("int").alias("d")
         )
@@ -118,21 +122,21 @@ def parse(phrase: Column, anchor: Column | None = None) -> Column:
         year = year.when(is_form("month day", "day month"), F.year(anchor) - F.when(named > F.month(anchor), 1).otherwise(0)).otherwise(r["y"])
         whole = F.when(year.isNotNull() & month.isNotNull(), _date(year, month, F.when(is_form(*PRECISION), F.lit(1)).otherwise(r["d"])))
         at = F.when(is_form("today"), anchor).when(is_form("yesterday"), F.date_sub(anchor, 1)).otherwise(whole)
-        return F.struct(at.alias("start"), F.coalesce(_lookup(PRECISION, r["form"]), F.lit("day")).alias("kind"), r["week"].alias("week"))
+        return F.struct(at.alias("start"), F.coalesce(_lookup(PRECISION, r["form"]), F.lit("day")).alias("kind"), r["week"].alias("week"), is_form(*ANCHORED).alias("near"))
+
+    return _bound(clean(F.lower(phrase)), unweek, form, read, start, last)
 
-    def close(r: Column) -> Column:
-        last = F.last_day(F.add_months(r["start"], _lookup({"season": 2, "month": 0, "year": 11, "decade": 119}, r["kind"])))
-        end = F.when(r["week"], F.date_add(r["start"], 6)).when(r["kind"] == "day", r["start"]).otherwise(last)
-        kind = F.when(r["week"], F.lit("week")).otherwise(r["kind"])
-        return F.struct(r["start"].alias("start"), end.alias("end"), F.when(r["start"].isNotNull(), kind).alias("precision"))
 
-    return _bound(clean(F.lower(phrase)), unweek, form, read, start, close)
+def _closed(r: Column) -> Column:
+    last = F.last_day(F.add_months(r["start"], _lookup({"season": 2, "month": 0, "year": 11, "decade": 119}, r["kind"])))
+    end = F.when(r["week"], F.date_add(r["start"], 6)).when(r["kind"] == "day", r["start"]).otherwise(last)
+    kind = F.when(r["week"], F.lit("week")).otherwise(r["kind"])
+    return F.struct(r["start"].alias("start"), end.alias("end"), F.when(r["start"].isNotNull(), kind).alias("precision"))
 
 
 def anchored(phrase: Column, anchor: Column) -> Column:
     """The day of a phrase that needs the letter's date; null for other phrases."""
-    p = parse(phrase, anchor)
-    return F.when(parse(phrase)["start"].isNull() & (p["precision"] == "day"), p["start"])
+    return _parsed(phrase, anchor, lambda r: F.when(r["near"] & (r["kind"] == "day") & ~r["week"], r["start"]))
 
 
 def overlaps(start: Column, end: Column, low: Column, high: Column) -> Column:

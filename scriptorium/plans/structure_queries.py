@@ -13,7 +13,7 @@ from scriptorium.functions import dates
 from scriptorium.functions import text as T
 from scriptorium.operators import catalog, chapters, quotes, reading, reindex, search, works
 from scriptorium.plans.queries import _COSINE, _WORDS, LEXEMES, query, six
-from scriptorium.session import table
+from scriptorium.session import spread, table
 
 _D = "d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0)"
 _P = "p AS (SELECT doc_id * 100000 + i AS passage_id, doc_id, i AS position, 300 * i AS char_start, least(300 * i + 300, n) AS char_end FROM (SELECT *, unnest(generate_series(0, (n - 1) // 300)) AS i FROM d))"
@@ -485,7 +485,7 @@ WHEN 4 THEN make_date(year(a) - CASE WHEN month(a) < 7 THEN 1 ELSE 0 END, 7, n)
 def anchored_dates(spark, d):
     written = ["yours of the %sth ult.", "the %s inst.", "%sd proximo", "the %s", "July %s", "yesterday"]
     phrase = F.replace(F.element_at(F.array(*[F.lit(w) for w in written]), (F.col("o_orderkey") % 6 + 1).cast("int")), F.lit("%s"), (F.col("o_orderkey") % 31 + 1).cast("string"))
-    return table(spark, d, "orders").select("o_orderkey", dates.anchored(phrase, F.to_date("o_orderdate")).alias("day"))
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_orderdate")).select("o_orderkey", dates.anchored(phrase, F.to_date("o_orderdate")).alias("day"))
 
 
 @query("""SELECT o_orderkey, length('No. ' || o_orderkey || ' Camp, ') AS char_start, length('No. ' || o_orderkey || ' Camp, ') + 6 + length(day(a)::VARCHAR) + CASE WHEN o_orderkey % 2 = 0 THEN 11 ELSE 5 END AS char_end,
