@@ -5,6 +5,7 @@ Checks of spans read each text once, by document, however many passages quote it
 
 from __future__ import annotations
 
+import hashlib
 from typing import NamedTuple
 
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from scriptorium.functions import tokens as K
-from scriptorium.session import stored
+from scriptorium.session import bounded_batches, stored
 
 #: The checks and their severities.
 CHECKS = {
@@ -46,12 +47,25 @@ def is_uri(source: Column) -> Column:
     return F.contains(source, F.lit("://")) | (F.contains(source, F.lit(":")) & ~F.startswith(source, F.lit("/")))
 
 
+#: Bytes from which a quoted text travels as its SHA-256 (as many hexadecimal digits, so that no shorter text equals one).
+DIGEST_FROM = 64
+
+
+def _mark(quoted: Column) -> Column:
+    return F.when(F.octet_length(quoted) < DIGEST_FROM, quoted).otherwise(F.sha2(quoted.cast("binary"), 256))
+
+
+def _mark_of(text: str) -> str:
+    data = text.encode()
+    return text if len(data) < DIGEST_FROM else hashlib.sha256(data).hexdigest()
+
+
 _SPANS = Ty.ArrayType(Ty.StructType([Ty.StructField("kind", Ty.StringType()), Ty.StructField("id", Ty.StringType()), Ty.StructField("fault", Ty.StringType())]))
 
 
 @F.pandas_udf(_SPANS)
 def _span_faults(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    """Spans (kind, id, start, end, quoted) that run past their document's text, or don't quote it; of nodes only the end is held against it."""
+    """Spans (kind, id, start, end, quoted) that run past their document's text, or don't quote it (quoted: the text's mark); of nodes only the end is held against it."""
 
     def faults(text: str, own) -> list[dict]:
         out = []
@@ -60,7 +74,7 @@ def _span_faults(texts: pd.Series, spans: pd.Series) -> pd.Series:
             # A word past the end quotes nothing either; a passage past the end has one fault.
             if past:
                 out.append({"kind": s["kind"], "id": s["id"], "fault": "past"})
-            if s["kind"] != "node" and not (past and s["kind"] == "passage") and (text[max(0, s["start"]) : max(0, s["end"])] if s["start"] >= 0 else None) != s["quoted"]:
+            if s["kind"] != "node" and not (past and s["kind"] == "passage") and (_mark_of(text[max(0, s["start"]) : max(0, s["end"])]) if s["start"] >= 0 else None) != s["quoted"]:
                 out.append({"kind": s["kind"], "id": s["id"], "fault": "differs"})
         return out
 
@@ -69,13 +83,14 @@ def _span_faults(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def span_faults(c: Corpus) -> DataFrame:
     """(check, id): spans of passages, words and nodes held against their document's text."""
-    span = lambda df, kind, key, quoted: df.where("char_start is not null and char_end is not null").select("doc_id", F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), quoted.alias("quoted")).alias("span"))
+    span = lambda df, kind, key, quoted: df.where("char_start is not null and char_end is not null").select("doc_id", F.struct(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col("char_start").cast("int").alias("start"), F.col("char_end").cast("int").alias("end"), _mark(quoted).alias("quoted")).alias("span"))
     spans = span(c.passages, "passage", "passage_id", F.col("text"))
     if c.nodes is not None:
         spans = spans.union(span(c.nodes, "node", "node_id", F.lit(None).cast("string")))
     if c.words is not None:
         spans = spans.union(span(c.words, "word", "word_id", F.col("surface")))
-    # One row a document: as many spans as it has, and its text once.
+    # One row a document: as many spans as it has, without what they quote, and its text once.
+    bounded_batches(c.passages.sparkSession)
     own = spans.groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
     found = own.join(c.texts.where("text is not null"), "doc_id").select(F.explode(_span_faults("text", "spans")).alias("f")).select("f.*")
     names = {("passage", "past"): "passage_span_within_the_text", ("passage", "differs"): "passage_text_matches_its_span", ("node", "past"): "node_span_within_the_text", ("word", "past"): "word_span_is_inside_its_document", ("word", "differs"): "word_span_quotes_its_word"}
