@@ -51,3 +51,35 @@ def test_citations_are_joined_once_and_quotations_stay_where_they_are(spark):
     r = work_queries.tables(spark, "/root/testdata/sf0.001")
     assert all("Join" not in plan(df) for df in (r.items, r.occurrences, r.spans, r.passages))
     assert "quoted_text" not in revisions.cited_items(r).columns
+
+
+def test_rules_are_written_one_by_one_and_slices_change_nothing(spark, monkeypatch):
+    from scriptorium.operators import revisions as R
+    from tests.test_revisions import CLEAN, KEY, frames
+
+    odd = [(n, f"b{n}", f"b{n + 1}", 1, "quotation", None, f"{{{{cite:{KEY(n)}}}}} {{{{cite:{KEY(3).upper()}}}}} {{{{cite:é {n}}}}}") for n in range(1, 6)]
+    held = [(10 * n, n, f"b{n % 4}", KEY(n) if n < 4 else "é 4", "quotation") for n in range(1, 6)]
+    r = frames(spark, blocks=odd, occurrences=held, items=[(10 * n, 0, 7, "e8", 100, "q" * 600, "near") for n in range(1, 6)], revisions=[(n, "essay", "essay", "frozen", "0") for n in range(1, 6)], texts=CLEAN["texts"])
+    whole = R.validate(r)
+    assert "Join" not in plan(whole)
+    rows = lambda df: sorted(map(str, df.collect()))
+    monkeypatch.setattr(R, "SLICE_ROWS", 1)
+    assert R.slice_count(r.occurrences) == 5 and rows(R.validate(r)) == rows(whole)
+
+
+def test_packed_keys_keep_their_text(spark):
+    from scriptorium.operators import revisions as R
+
+    keys = ["00000000-0000-4000-8000-00000000abcd", "00000000-0000-4000-8000-00000000ABCD", "", "é", "x" * 16, "000000000000-4000-8000-00000000abcd--", None]
+    found = spark.createDataFrame([(k,) for k in keys], "k string").select("k", R.packed("k").alias("p")).select("k", F.length("p").alias("n"), R.unpacked("p").alias("back")).collect()
+    assert [x.back for x in found] == keys and found[0].n == 17
+
+
+def test_a_policy_joins_only_findings_that_it_names(spark):
+    from scriptorium.operators import revisions as R
+
+    revisions = spark.createDataFrame([(1, "essay"), (2, "note")], "revision_id long, work_type string")
+    found = spark.createDataFrame([("AUTH_SPAN_REGION", 1), ("AUTH_SPAN_REGION", 2), ("AUTH_SPAN_REGION", 3), ("AUTH_UNUSED_CITATION", 1), ("OTHER", 1)], "rule string, revision_id long")
+    moved = R.with_severity(found, revisions, {"essay": {"AUTH_SPAN_REGION": "allow"}})
+    assert sorted((x.rule, x.revision_id, x.severity) for x in moved.collect()) == [("AUTH_SPAN_REGION", 2, "warning"), ("AUTH_SPAN_REGION", 3, "warning"), ("AUTH_UNUSED_CITATION", 1, "warning")]
+    assert "Join" not in plan(R.with_severity(found, revisions))
