@@ -83,3 +83,16 @@ def test_a_policy_joins_only_findings_that_it_names(spark):
     moved = R.with_severity(found, revisions, {"essay": {"AUTH_SPAN_REGION": "allow"}})
     assert sorted((x.rule, x.revision_id, x.severity) for x in moved.collect()) == [("AUTH_SPAN_REGION", 2, "warning"), ("AUTH_SPAN_REGION", 3, "warning"), ("AUTH_UNUSED_CITATION", 1, "warning")]
     assert "Join" not in plan(R.with_severity(found, revisions))
+
+
+def test_subjects_travel_only_with_rules_waived_by_subject(spark):
+    from scriptorium.operators import revisions as R
+
+    revisions = spark.createDataFrame([(1,), (2,)], "revision_id long")
+    found = spark.createDataFrame([(1, rule, f"b{n}", None, "error") for rule in ("AUTH_DOCUMENT_UNKNOWN", "AUTH_QUOTE_UNVERIFIED") for n in range(3)], "revision_id long, rule string, block_key string, citation_key string, severity string")
+    waivers = spark.createDataFrame([(1, "AUTH_QUOTE_UNVERIFIED", "b0"), (2, "AUTH_DOCUMENT_UNKNOWN", None)], "revision_id long, rule string, subject string")
+    judged = R.gate(found, revisions, waivers)
+    assert plan(judged).count("AUTH_QUOTE_UNVERIFIED") and "about" in plan(judged)
+    assert {x.revision_id: x.blockers for x in judged.collect()} == {1: ["AUTH_DOCUMENT_UNKNOWN", "AUTH_QUOTE_UNVERIFIED"], 2: []}
+    every = waivers.unionByName(spark.createDataFrame([(1, "AUTH_QUOTE_UNVERIFIED", f"b{n}") for n in (1, 2)] + [(1, "AUTH_DOCUMENT_UNKNOWN", None)], waivers.schema))
+    assert {x.revision_id: x.passed for x in R.gate(found, revisions, every).collect()} == {1: True, 2: True}
