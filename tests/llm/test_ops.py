@@ -142,6 +142,22 @@ def test_near_duplicates_in_a_large_group(spark, monkeypatch):
     assert near(spark, data) == brute_near(data)
 
 
+def test_strays_meet_the_others_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "MEMBERS", 8)
+    sent, stray_links, compare = [], near_dup._stray_links, near_dup.cut
+
+    def seen(rows, links):
+        monkeypatch.setattr(near_dup, "cut", lambda df: (sent.append(1), compare(df))[1])
+        return stray_links(rows, links)
+
+    monkeypatch.setattr(near_dup, "_stray_links", seen)
+    rng = random.Random(7)
+    passage = [f"p{i}" for i in range(60)]
+    data = [(i, " ".join(passage + [f"q{i // 2}x{k}" for k in range(rng.choice([20, 24, 30]))])) for i in range(60)]
+    assert near(spark, data) == brute_near(data)
+    assert len(sent) > 2
+
+
 def test_near_duplicates_of_many_copies_and_a_common_passage(spark):
     copy = " ".join(f"c{i}" for i in range(30))
     passage = " ".join(f"p{i}" for i in range(60))
